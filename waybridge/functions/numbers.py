@@ -11,7 +11,7 @@ from pyspark.sql import Column, functions as F
 from waybridge import constants as C
 from waybridge.functions.text import strip
 
-MONEY = "decimal(38,10)"
+MONEY = "decimal(28,10)"
 
 
 def _parsed(value: Column | None, code: str) -> Column:
@@ -19,46 +19,51 @@ def _parsed(value: Column | None, code: str) -> Column:
     return F.struct(value.alias("value"), F.lit(code).alias("code"))
 
 
-def parse_number(text: Column, kind: Column | None = None) -> Column:
-    """Strict contract: plain or comma-grouped digits only; units and remarks are set apart.
-
-    ``kind`` is the JSON type of the source value; a boolean is never a number.
-    """
-    bare = strip(text)
+def number_contract(bare: Column, kind: Column | None = None) -> Column:
+    """Contract of a text that is already stripped; see ``parse_number``."""
     # numbers beyond the double range become infinite and are refused
-    value = F.when(bare.rlike(C.NUMBER_PATTERN), F.regexp_replace(bare, ",", "").try_cast("double"))
-    finite = value.isNotNull() & (F.abs(value) < float("inf"))
+    value = F.when(bare.rlike(C.NUMBER_PATTERN), F.replace(bare, F.lit(","), F.lit("")).try_cast("double"))
     parsed = (
-        F.when(text.isNull() | (bare == ""), _parsed(None, "missing"))
-        .when(finite, _parsed(value, "ok"))
-        .when(value.isNull() & bare.rlike(C.WITH_UNIT_PATTERN), _parsed(None, "with_unit"))
+        F.when(bare.isNull() | (bare == ""), _parsed(None, "missing"))
+        .when(F.abs(value) < float("inf"), _parsed(value, "ok"))
+        .when(~bare.rlike(C.NUMBER_PATTERN) & bare.rlike(C.WITH_UNIT_PATTERN), _parsed(None, "with_unit"))
         .otherwise(_parsed(None, "not_numeric"))
     )
     if kind is None:
         return parsed
     as_double = bare.try_cast("double")
     native = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
-    usable = as_double.isNotNull() & ~F.isnan(as_double) & (F.abs(as_double) < float("inf"))
     return (
-        F.when(kind == "VOID", _parsed(None, "missing"))
+        F.when(kind == "STRING", parsed)
+        .when(kind == "VOID", _parsed(None, "missing"))
         .when(kind == "BOOLEAN", _parsed(None, "not_numeric"))
-        .when(native & usable, _parsed(as_double, "ok"))
+        .when(native & (F.abs(as_double) < float("inf")), _parsed(as_double, "ok"))
         .when(native, _parsed(None, "not_numeric"))
         .otherwise(parsed)
     )
 
 
-def parse_packages(text: Column, kind: Column | None = None) -> Column:
-    """Package count: a positive whole number; fractions are left for review."""
-    num = parse_number(text, kind)
-    ok = num["code"] == "ok"
+def parse_number(text: Column, kind: Column | None = None) -> Column:
+    """Strict contract: plain or comma-grouped digits only; units and remarks are set apart.
+
+    ``kind`` is the JSON type of the source value; a boolean is never a number.
+    """
+    return number_contract(strip(text), kind)
+
+
+def package_contract(number: Column) -> Column:
+    """Package count from a parsed number: positive and whole; fractions are left for review."""
     return (
-        F.when(ok & (num["value"] <= 0), _parsed(None, "not_numeric"))
-        .when(ok & (num["value"] != F.floor(num["value"])), _parsed(num["value"], "with_unit"))
-        .otherwise(num)
+        F.when(number["value"] <= 0, _parsed(None, "not_numeric"))
+        .when(number["value"] != F.floor(number["value"]), _parsed(number["value"], "with_unit"))
+        .otherwise(number)
     )
 
 
+def parse_packages(text: Column, kind: Column | None = None) -> Column:
+    return package_contract(parse_number(text, kind))
+
+
 def money(text: Column) -> Column:
     """Lenient amount: thousands commas and currency signs dropped, null when unreadable."""
     return F.translate(strip(text.cast("string")), ",¥元", "").try_cast(MONEY)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from waybridge import constants as C
 from waybridge.functions import similarity as S, text as T
 from waybridge.functions.canonical import canonical_value, field_state
-from waybridge.functions.numbers import parse_number, parse_packages
+from waybridge.functions.numbers import number_contract, package_contract
 from waybridge.operators.rules import with_rule_issues
 
 # check id, status column, position in the report
@@ -40,14 +40,22 @@ ENDS = "␟"
 MALFORMED = "␀"
 
 
-def field(name: str) -> Column:
-    return F.try_element_at(F.col("fields"), F.lit(name))
+FIELDS = ["invoice_no", "packing_list_no", "waybill_no", "declaration_no", "co_no",
+          "goods_description", "total_packages", "gross_weight_kg", "consignor_name",
+          "consignee_name", "container_no", "total_amount", "declared_value", "currency",
+          "waybill_type", "route_countries", "departure_country", "destination_country"]
 
 
-def field_text(name: str) -> Column:
-    """Text of a field, null when absent or blank."""
-    value = field(name)
-    return F.when(value["kind"] != "VOID", T.blank_to_null(value["text"]))
+def opened(docs: DataFrame, names: list[str]) -> DataFrame:
+    """Look every named field up once: its struct as ``name`` and its stripped text as ``name_text``.
+
+    The text is null when the field is absent or blank. Later steps refer to these
+    columns, which keeps their expressions small.
+    """
+    keep = [c for c in docs.columns]
+    docs = docs.select(*keep, *[F.try_element_at("fields", F.lit(n)).alias(n) for n in names])
+    text = lambda n: F.when(F.col(n)["kind"] != "VOID", F.nullif(T.strip(F.col(n)["text"]), F.lit("")))
+    return docs.select(*keep, *names, *[text(n).alias(f"{n}_text") for n in names])
 
 
 def is_list(value: Column) -> Column:
@@ -74,14 +82,12 @@ def _route_state() -> Column:
 
 def _identity_problem() -> Column:
     """0 complete, 1 needs a look, 2 fails: unknown type, empty document, missing number."""
-    numbers = [(t, f) for t, f in C.IDENTITY_FIELDS.items()]
-    missing = F.lit(False)
-    state = F.lit(None).cast("string")
-    for doc_type, name in numbers:
+    missing, state = F.lit(False), F.lit(None).cast("string")
+    for doc_type, name in C.IDENTITY_FIELDS.items():
         here = F.col("doc_type") == doc_type
         meta = F.try_element_at(F.col("field_meta"), F.lit(name))["status"]
-        missing = missing | (here & field_text(name).isNull())
-        state = F.when(here, field_state(meta, field(name))).otherwise(state)
+        missing = missing | (here & F.col(f"{name}_text").isNull())
+        state = F.when(here, field_state(meta, F.col(name))).otherwise(state)
     return (
         F.when(F.col("doc_type") == C.UNKNOWN, 1)
         .when(F.coalesce(F.size("fields"), F.lit(0)) <= 0, 2)
@@ -102,39 +108,48 @@ def prepare(docs: DataFrame, rules: DataFrame | None = None) -> DataFrame:
             F.col("doc_type") != C.UNKNOWN,
             F.when(fails, C.FAIL).when(F.size("rule_issues") > 0, C.WARNING).otherwise(C.PASS),
         ).alias("rule_state")]
-    number = lambda name, parse: parse(field(name)["text"], field(name)["kind"])
-    route = field("route_countries")
-    declared_type = T.squeeze(field_text("waybill_type"))
-    flat = docs.select(
+    number = lambda name: number_contract(F.col(f"{name}_text"), F.col(name)["kind"])
+    text = lambda name: F.col(f"{name}_text")
+    route = F.col("route_countries")
+    declared_type = T.squeeze(text("waybill_type"))
+    flat = opened(docs, FIELDS).select(
         "batch_id", "doc_index", "doc_id", "doc_type", *extra,
         F.col("doc_type").isin(*C.WAYBILL_TYPES).alias("is_waybill"),
         (F.col("doc_type") == C.CUSTOMS).alias("is_customs"),
         (F.col("doc_type") == "invoice").alias("is_invoice"),
         _identity_problem().alias("identity_problem"),
-        T.squeeze(field_text("goods_description")).alias("goods"),
-        field_text("total_packages").isNotNull().alias("has_packages"),
-        number("total_packages", parse_packages).alias("packages"),
-        field_text("gross_weight_kg").isNotNull().alias("has_weight"),
-        number("gross_weight_kg", parse_number).alias("weight"),
-        T.party_key(field_text("consignor_name")).alias("consignor"),
-        T.party_key(field_text("consignee_name")).alias("consignee"),
-        T.waybill_key(field_text("waybill_no")).alias("waybill_no"),
-        T.container_key(field_text("container_no")).alias("container"),
-        number("total_amount", parse_number).alias("amount"),
-        number("declared_value", parse_number).alias("declared"),
-        F.upper(T.squeeze(field_text("currency"))).alias("currency"),
+        T.squeeze(text("goods_description")).alias("goods"),
+        text("total_packages").isNotNull().alias("has_packages"),
+        number("total_packages").alias("packages"),
+        text("gross_weight_kg").isNotNull().alias("has_weight"),
+        number("gross_weight_kg").alias("weight"),
+        T.party_key(text("consignor_name")).alias("consignor"),
+        T.party_key(text("consignee_name")).alias("consignee"),
+        T.waybill_key(text("waybill_no")).alias("waybill_no"),
+        T.container_key(text("container_no")).alias("container"),
+        number("total_amount").alias("amount"),
+        number("declared_value").alias("declared"),
+        F.upper(T.squeeze(text("currency"))).alias("currency"),
         F.when((F.col("doc_type") == "smgs_rail_waybill") & declared_type.isNull(), "SMGS")
         .otherwise(declared_type).alias("waybill_type"),
         F.when(is_list(route), route["items"]).alias("route"),
-        F.coalesce((field_text("route_countries").isNotNull()) & ~route["text"].isin("[]", "{}"),
+        F.coalesce(text("route_countries").isNotNull() & ~text("route_countries").isin("[]", "{}"),
                    F.lit(False)).alias("has_route"),
         F.coalesce((route["kind"] != "ARRAY<STRING>") | F.exists(route["items"], lambda c: c.isNull()),
                    F.lit(False)).alias("route_malformed"),
-        field_text("departure_country").alias("departure"),
-        field_text("destination_country").alias("destination"),
+        field_value("departure_country").alias("departure"),
+        field_value("destination_country").alias("destination"),
     )
-    return flat.withColumn("waybill_kind", T.waybill_kind(F.col("waybill_type"))).withColumn(
-        "route_state", _route_state())
+    flat = flat.withColumns({
+        "waybill_kind": T.waybill_kind(F.col("waybill_type")),
+        "packages": package_contract(F.col("packages")),
+    })
+    return flat.withColumn("route_state", _route_state())
+
+
+def field_value(name: str) -> Column:
+    """The untouched text of an opened field, null when blank."""
+    return F.when(F.col(f"{name}_text").isNotNull(), F.col(name)["text"])
 
 
 def _count(condition: Column) -> Column:

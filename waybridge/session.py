@@ -22,6 +22,8 @@ def local_session(name: str = "waybridge", cpus: int | str = "*") -> SparkSessio
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        # call-site capture costs more than building the plans of this package
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
