@@ -29,8 +29,8 @@ def caption_pattern(field: str, caption: str) -> str:
     else:
         value = "(.+)"
     if caption in C.LOOSE_CAPTIONS:
-        return rf"(?iu){caption}[ \t]*[:：]?[ \t]*{value}"
-    return rf"(?iu){caption}[^:：\n]*[:：][ \t]*{value}"
+        return rf"(?iudU){caption}[ \t]*[:：]?[ \t]*{value}"
+    return rf"(?iudU){caption}[^:：\n]*[:：][ \t]*{value}"
 
 
 def captured(text: Column, field: str, captions: list[str]) -> Column:
