@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from demo import verify_sql as Q, views as V
@@ -115,7 +116,8 @@ def check_route_ends(spark, sf_dir):
 
 def _checked(spark, sf_dir):
     docs, batches, rules = V.docs(spark, sf_dir), V.batches(spark, sf_dir), default_rules(spark)
-    flat = K.prepare(docs, rules)
+    # four branches read the prepared rows; they are kept, spilling to disk, while the query runs
+    flat = K.prepare(docs, rules).persist(StorageLevel.MEMORY_AND_DISK)
     return docs, batches, flat, K.statuses(docs, batches, rules, flat=flat)
 
 

@@ -19,14 +19,22 @@ def _parsed(value: Column | None, code: str) -> Column:
     return F.struct(value.alias("value"), F.lit(code).alias("code"))
 
 
-def number_contract(bare: Column, kind: Column | None = None) -> Column:
-    """Contract of a text that is already stripped; see ``parse_number``."""
+def plain_number(bare: Column) -> Column:
+    """Value of a stripped text that is nothing but a number, else null."""
+    return F.when(bare.rlike(C.NUMBER_PATTERN), F.replace(bare, F.lit(","), F.lit("")).try_cast("double"))
+
+
+def number_contract(bare: Column, kind: Column | None = None, value: Column | None = None) -> Column:
+    """Contract of a text that is already stripped; see ``parse_number``.
+
+    ``value`` may name a column that holds ``plain_number`` of the text.
+    """
+    value = plain_number(bare) if value is None else value
     # numbers beyond the double range become infinite and are refused
-    value = F.when(bare.rlike(C.NUMBER_PATTERN), F.replace(bare, F.lit(","), F.lit("")).try_cast("double"))
     parsed = (
         F.when(bare.isNull() | (bare == ""), _parsed(None, "missing"))
         .when(F.abs(value) < float("inf"), _parsed(value, "ok"))
-        .when(~bare.rlike(C.NUMBER_PATTERN) & bare.rlike(C.WITH_UNIT_PATTERN), _parsed(None, "with_unit"))
+        .when(value.isNull() & bare.rlike(C.WITH_UNIT_PATTERN), _parsed(None, "with_unit"))
         .otherwise(_parsed(None, "not_numeric"))
     )
     if kind is None:

@@ -5,23 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+# every character that counts as white space
+SPACES = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+          "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def blank_to_null(value: Column) -> Column:
     """Null for blank strings, the untouched value otherwise."""
-    return F.when(F.regexp_replace(value, r"(?U)\s+", "") != "", value)
+    return F.when(strip(value) != "", value)
 
 
 def strip(value: Column) -> Column:
     """Trim every kind of white space, tabs and line ends included."""
-    return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+    return F.trim(value, F.lit(SPACES))
 
 
 def squeeze(value: Column) -> Column:
     """Trim and fold runs of white space to one blank."""
-    return F.trim(F.regexp_replace(value, r"(?U)\s+", " "))
+    blanks = F.translate(value, SPACES, " " * len(SPACES))
+    return F.trim(F.regexp_replace(blanks, " {2,}", " "))
 
 
 def remove_spaces(value: Column) -> Column:
-    return F.regexp_replace(value, r"(?U)\s+", "")
+    return F.translate(value, SPACES, "")
 
 
 def party_key(value: Column) -> Column:

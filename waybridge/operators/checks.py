@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from waybridge import constants as C
 from waybridge.functions import similarity as S, text as T
 from waybridge.functions.canonical import canonical_value, field_state
-from waybridge.functions.numbers import number_contract, package_contract
+from waybridge.functions.numbers import number_contract, package_contract, plain_number
 from waybridge.operators.rules import with_rule_issues
 
 # check id, status column, position in the report
@@ -55,7 +55,9 @@ def opened(docs: DataFrame, names: list[str]) -> DataFrame:
     keep = [c for c in docs.columns]
     docs = docs.select(*keep, *[F.try_element_at("fields", F.lit(n)).alias(n) for n in names])
     text = lambda n: F.when(F.col(n)["kind"] != "VOID", F.nullif(T.strip(F.col(n)["text"]), F.lit("")))
-    return docs.select(*keep, *names, *[text(n).alias(f"{n}_text") for n in names])
+    docs = docs.select(*keep, *names, *[text(n).alias(f"{n}_text") for n in names])
+    numeric = [n for n in names if n in C.NUMERIC_FIELDS]
+    return docs.select("*", *[plain_number(F.col(f"{n}_text")).alias(f"{n}_value") for n in numeric])
 
 
 def is_list(value: Column) -> Column:
@@ -108,7 +110,7 @@ def prepare(docs: DataFrame, rules: DataFrame | None = None) -> DataFrame:
             F.col("doc_type") != C.UNKNOWN,
             F.when(fails, C.FAIL).when(F.size("rule_issues") > 0, C.WARNING).otherwise(C.PASS),
         ).alias("rule_state")]
-    number = lambda name: number_contract(F.col(f"{name}_text"), F.col(name)["kind"])
+    number = lambda name: number_contract(F.col(f"{name}_text"), F.col(name)["kind"], F.col(f"{name}_value"))
     text = lambda name: F.col(f"{name}_text")
     route = F.col("route_countries")
     declared_type = T.squeeze(text("waybill_type"))
@@ -295,12 +297,13 @@ def goods_scores(flat: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     groups = text_groups(flat, ["goods"]) if groups is None else groups
     base = text_facts(groups, ["goods"]).where("goods_groups > 1").select("batch_id", "goods_base")
     pairs = groups.join(base, "batch_id").where(F.col("norm") != F.col("goods_base"))
-    score = S.similarity(F.col("goods_base"), F.col("norm"))
-    guard = S.contradiction(F.col("goods_base"), F.col("norm"))
+    scored = F.struct(
+        S.similarity(F.col("goods_base"), F.col("norm")).alias("score"),
+        S.contradiction(F.col("goods_base"), F.col("norm")).alias("guard"))
+    # through a generator the score is worked out once per pair: filters on it stay above
     return (
         pairs.select("batch_id", F.col("goods_base").alias("base_text"), F.col("norm").alias("other_text"),
-                     F.col("n").alias("n_docs"), F.col("first").alias("first_doc"),
-                     score.alias("score"), guard.alias("guard"))
+                     F.col("n").alias("n_docs"), F.col("first").alias("first_doc"), F.inline(F.array(scored)))
         .withColumn("grade", S.grade(F.col("score"), F.col("guard")))
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from waybridge import constants as C
 from waybridge.functions.numbers import parse_number
+from waybridge.functions.text import strip
 
 RULE_SCHEMA = ("rule_id string, doc_type string, field string, rule_type string, pattern string, "
                "min double, max double, severity string, message string, suggestion string, "
@@ -70,7 +71,7 @@ def _judged(rules: DataFrame) -> DataFrame:
 
 def value_missing(value: Column) -> Column:
     """Null, blank text, or an empty list or object."""
-    blank = F.regexp_replace(F.coalesce(value["text"], F.lit("")), r"(?U)\s+", "") == ""
+    blank = strip(F.coalesce(value["text"], F.lit(""))) == ""
     return value.isNull() | (value["kind"] == "VOID") | blank | value["text"].isin("[]", "{}")
 
 
