@@ -28,19 +28,25 @@ def local_session(name: str = "waybridge", cpus: int | str = "*") -> SparkSessio
     )
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage into the cluster's shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder for intermediate data, named by ``spark.checkpoint.dir``.
 
-    The folder comes from ``spark.checkpoint.dir``. Only a local master may
-    fall back to a temporary folder, because executors share its disk.
+    Only a local master may fall back to a temporary folder, because its tasks share the disk.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        context = spark.sparkContext
+        if context.getCheckpointDir() is not None:
+            return context.getCheckpointDir()
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="waybridge-")
+    return folder
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut lineage: write the rows into the shared checkpoint folder and go on from there."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="waybridge-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
