@@ -168,7 +168,7 @@ PASSAGES = "SELECT DISTINCT p_name AS passage, p_name AS text FROM part"
 
 @query("passage_topk", f"""WITH q AS ({gram_sql('documents', 'doc_id')}), p AS ({gram_sql(f'({PASSAGES})', 'passage')}), qn AS (SELECT doc_id, sum(n * n)::DOUBLE q2 FROM q GROUP BY doc_id), pn AS (SELECT passage, sum(n * n)::DOUBLE p2 FROM p GROUP BY passage),
 s AS (SELECT doc_id, passage, round(dot / (sqrt(q2) * sqrt(p2)), 4) score FROM (SELECT doc_id, passage, sum(q.n * p.n)::DOUBLE dot FROM q JOIN p ON q.gram = p.gram GROUP BY doc_id, passage) JOIN qn USING (doc_id) JOIN pn USING (passage))
-SELECT doc_id, passage, round(score, 3) AS score, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, passage) r FROM s WHERE score >= 0.12) WHERE r <= 2""")
+SELECT doc_id, passage, CAST(round(CAST(score AS DECIMAL(10,4)), 3) AS DOUBLE) AS score, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, passage) r FROM s WHERE score >= 0.12) WHERE r <= 2""")
 def passage_topk(spark, sf_dir):
     V.tables(spark, sf_dir, "documents", "part")
     scores = PS.passage_scores(spark.table("documents"), spark.sql(PASSAGES), "doc_id", "passage")

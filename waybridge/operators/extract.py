@@ -196,9 +196,11 @@ def line_values(lines: DataFrame, captions: dict[str, list[str]] = LINE_CAPTIONS
         for f, words in captions.items()])
     hits = rows.select("file", "line_no", "next_text", F.inline(F.filter(entries, lambda e: e["hit"])))
     following = F.when(~caption_like(F.col("next_text")) & plausible(F.col("next_text")), T.strip(F.col("next_text")))
-    raw = F.when(plausible(F.col("tail")), F.col("tail")).otherwise(following)
-    found = hits.withColumn("raw", without_leading_remark(raw)).withColumn(
-        "value", parsed_value(F.col("field"), F.col("raw"))).where("value is not null")
+    raw = without_leading_remark(F.when(plausible(F.col("tail")), F.col("tail")).otherwise(following))
+    # each step through a generator, so that no pattern is evaluated twice
+    found = hits.select("file", "field", "line_no", F.inline(F.array(F.struct(raw.alias("raw")))))
+    found = found.select("file", "field", "line_no", "raw", F.inline(F.array(F.struct(
+        parsed_value(F.col("field"), F.col("raw")).alias("value"))))).where("value is not null")
     return found.groupBy("file", "field").agg(
         F.min_by(F.struct("raw", "value", "line_no"), "line_no").alias("v")).select("file", "field", "v.*")
 
@@ -248,9 +250,9 @@ def box_candidates(lines: DataFrame) -> DataFrame:
 
 def box_values(lines: DataFrame) -> DataFrame:
     """First plausible value of every box field; captions with a box number beat those without."""
-    rows = box_candidates(lines)
     value = parsed_value(F.col("field"), F.col("raw"))
-    rows = rows.withColumn("value", value).where("value is not null")
+    rows = box_candidates(lines).select("*", F.inline(F.array(F.struct(value.alias("value"))))).where(
+        "value is not null")
     order = F.struct(F.col("box").isNull(), "page", "c_line", "seq_top", "line_no")
     return rows.groupBy("file", "field").agg(
         F.min_by(F.struct("raw", "value", "page", F.col("box").isNotNull().alias("numbered")), order).alias("v")
