@@ -58,7 +58,11 @@ def check_doc_rules(spark, sf_dir):
 
 @query("check_goods_description", Q.checks("SELECT batch_id, groups AS goods_groups, st AS status FROM s_c1"))
 def check_goods_description(spark, sf_dir):
-    return status(spark, sf_dir, "CONS-001", "cons_001", "goods_groups")
+    docs = V.docs(spark, sf_dir)
+    flat = K.prepare(docs)
+    groups = K.text_groups(flat, ["goods"]).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = K.statuses(docs, checks=["CONS-001"], flat=flat, groups=groups)
+    return rows.select("batch_id", "goods_groups", F.col("cons_001").alias("status"))
 
 
 @query("goods_similarity", Q.checks("SELECT batch_id, base_text, other_text, n_docs, CAST(score AS DOUBLE) AS score, guard, grade FROM go_r"))
@@ -116,27 +120,29 @@ def check_route_ends(spark, sf_dir):
 
 def _checked(spark, sf_dir):
     docs, batches, rules = V.docs(spark, sf_dir), V.batches(spark, sf_dir), default_rules(spark)
-    # four branches read the prepared rows; they are kept, spilling to disk, while the query runs
+    # several branches read the prepared rows and their text groups; both are kept, spilling to disk
     flat = K.prepare(docs, rules).persist(StorageLevel.MEMORY_AND_DISK)
-    return docs, batches, flat, K.statuses(docs, batches, rules, flat=flat)
+    groups = K.text_groups(flat, K.kinds_for(K.ALL_CHECKS)).persist(StorageLevel.MEMORY_AND_DISK)
+    repeated = K.duplicate_types(docs, batches)
+    return repeated, flat, K.statuses(docs, batches, rules, flat=flat, groups=groups, repeated=repeated)
 
 
 @query("verify_all_risk", Q.everything("SELECT batch_id, score, grade, n_total, n_pass, n_warning, n_fail FROM scored"))
 def verify_all_risk(spark, sf_dir):
-    _, _, _, checked = _checked(spark, sf_dir)
+    _, _, checked = _checked(spark, sf_dir)
     return P.summary(checked).select("batch_id", "score", "grade", "n_total", "n_pass", "n_warning", "n_fail")
 
 
 @query("fail_escalation", Q.everything("SELECT batch_id, check_id, doc_index, st AS status, CAST(coalesce(before, 0) AS BIGINT) AS fails_before, CAST(points AS INT) AS points FROM pts"))
 def fail_escalation(spark, sf_dir):
-    _, _, flat, checked = _checked(spark, sf_dir)
+    _, flat, checked = _checked(spark, sf_dir)
     return P.scored_results(P.results(checked, flat), checked).select(
         "batch_id", "check_id", F.coalesce("doc_index", F.lit(-1)).alias("doc_index"), "status", "fails_before", "points")
 
 
 @query("nonpass_results", Q.everything("SELECT batch_id, check_id, doc_index, st AS status, CASE st WHEN 'FAIL' THEN 0 ELSE 1 END AS severity FROM pts WHERE st <> 'PASS'"))
 def nonpass_results(spark, sf_dir):
-    _, _, flat, checked = _checked(spark, sf_dir)
+    _, flat, checked = _checked(spark, sf_dir)
     return P.suggestions(P.results(checked, flat)).select(
         "batch_id", "check_id", F.coalesce("doc_index", F.lit(-1)).alias("doc_index"), "status", "severity")
 
@@ -146,8 +152,8 @@ GROUPS = """SELECT docs.batch_id, docs.doc_index, count(*) FILTER (WHERE inv.st
 
 
 def _groups(spark, sf_dir):
-    docs, batches, flat, checked = _checked(spark, sf_dir)
-    return P.document_groups(flat, checked, K.duplicate_types(docs, batches))
+    repeated, flat, checked = _checked(spark, sf_dir)
+    return P.document_groups(flat, checked, repeated)
 
 
 @query("document_groups", Q.everything(GROUPS, involved=True))
@@ -164,7 +170,7 @@ def stored_documents(spark, sf_dir):
 
 @query("batch_level_issues", Q.everything("SELECT batch_id, check_id, st AS status FROM res WHERE st <> 'PASS' AND doc_index = -1 AND NOT EXISTS (SELECT 1 FROM inv WHERE inv.batch_id = res.batch_id AND inv.check_id = res.check_id)", involved=True))
 def batch_level_issues(spark, sf_dir):
-    _, _, _, checked = _checked(spark, sf_dir)
+    _, _, checked = _checked(spark, sf_dir)
     return P.batch_level_issues(checked)
 
 
@@ -172,7 +178,7 @@ def batch_level_issues(spark, sf_dir):
   coalesce((SELECT arg_min(check_id, ord + CASE st WHEN 'FAIL' THEN 0 ELSE 100 END) FROM res WHERE res.batch_id = s.batch_id AND st <> 'PASS'), '') AS worst_check,
   t.n_docs, t.doc_types FROM scored s JOIN (SELECT batch_id, count(*) n_docs, string_agg(DISTINCT doc_type, ',' ORDER BY doc_type) doc_types FROM docs GROUP BY batch_id) t USING (batch_id)"""))
 def batch_summary(spark, sf_dir):
-    _, _, flat, checked = _checked(spark, sf_dir)
+    _, flat, checked = _checked(spark, sf_dir)
     return P.lite_summary(P.summary(checked), flat).withColumn("worst_check", F.coalesce("worst_check", F.lit("")))
 
 

@@ -10,14 +10,25 @@ SPACES = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003
           "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
+_CLASS = SPACES.replace(" ", r"\x20")
+
+
+def is_blank(value: Column) -> Column:
+    """No character other than white space; printable ASCII decides it early."""
+    return F.when(value.rlike("[!-~]"), False).otherwise(~value.rlike(f"[^{_CLASS}]"))
+
+
 def blank_to_null(value: Column) -> Column:
     """Null for blank strings, the untouched value otherwise."""
-    return F.when(strip(value) != "", value)
+    return F.when(~is_blank(value), value)
 
 
 def strip(value: Column) -> Column:
-    """Trim every kind of white space, tabs and line ends included."""
-    return F.trim(value, F.lit(SPACES))
+    """Trim every kind of white space, tabs and line ends included.
+
+    A text that starts and ends with printable ASCII has nothing to trim.
+    """
+    return F.when(value.rlike("^[^!-~]|[^!-~]$"), F.btrim(value, F.lit(SPACES))).otherwise(value)
 
 
 def squeeze(value: Column) -> Column:

@@ -19,9 +19,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from waybridge import constants as C
 from waybridge.functions import similarity as S, text as T
-from waybridge.functions.canonical import canonical_value, field_state
+from waybridge.functions.canonical import canonical_value
 from waybridge.functions.numbers import number_contract, package_contract, plain_number
 from waybridge.operators.rules import with_rule_issues
+from waybridge.session import written
 
 # check id, status column, position in the report
 CHECKS = [
@@ -47,16 +48,26 @@ FIELDS = ["invoice_no", "packing_list_no", "waybill_no", "declaration_no", "co_n
 
 
 def opened(docs: DataFrame, names: list[str]) -> DataFrame:
-    """Look every named field up once: its struct as ``name`` and its stripped text as ``name_text``.
+    """Look every named field up once: ``name_text`` (stripped, null when absent or blank),
+    ``name_kind`` and ``name_value`` for numbers, and the route as a struct.
 
-    The text is null when the field is absent or blank. Later steps refer to these
-    columns, which keeps their expressions small.
+    One small step after the other: later steps refer to columns instead of repeating
+    expressions, and the rows stay narrow enough for whole-stage code generation.
     """
-    keep = [c for c in docs.columns]
-    docs = docs.select(*keep, *[F.try_element_at("fields", F.lit(n)).alias(n) for n in names])
-    text = lambda n: F.when(F.col(n)["kind"] != "VOID", F.nullif(T.strip(F.col(n)["text"]), F.lit("")))
-    docs = docs.select(*keep, *names, *[text(n).alias(f"{n}_text") for n in names])
+    keep = docs.columns
     numeric = [n for n in names if n in C.NUMERIC_FIELDS]
+    at = lambda n: F.try_element_at(F.col("fields"), F.lit(n))
+    docs = docs.select(
+        *keep, *[at(n)["text"].alias(f"{n}_raw") for n in names if n != "route_countries"],
+        *[at(n)["kind"].alias(f"{n}_kind") for n in numeric], at("route_countries").alias("route_countries"))
+    kinds = [f"{n}_kind" for n in numeric]
+    raws = [n for n in names if n != "route_countries"]
+    untouched = ["departure_country", "destination_country"]
+    docs = docs.select(*keep, *kinds, "route_countries", *[f"{n}_raw" for n in untouched],
+                       *[T.strip(F.col(f"{n}_raw")).alias(f"{n}_text") for n in raws],
+                       T.strip(F.col("route_countries")["text"]).alias("route_countries_text"))
+    docs = docs.select(*keep, *kinds, "route_countries", *[f"{n}_raw" for n in untouched],
+                       *[F.nullif(F.col(f"{n}_text"), F.lit("")).alias(f"{n}_text") for n in names])
     return docs.select("*", *[plain_number(F.col(f"{n}_text")).alias(f"{n}_value") for n in numeric])
 
 
@@ -89,7 +100,7 @@ def _identity_problem() -> Column:
         here = F.col("doc_type") == doc_type
         meta = F.try_element_at(F.col("field_meta"), F.lit(name))["status"]
         missing = missing | (here & F.col(f"{name}_text").isNull())
-        state = F.when(here, field_state(meta, F.col(name))).otherwise(state)
+        state = F.when(here, meta).otherwise(state)
     return (
         F.when(F.col("doc_type") == C.UNKNOWN, 1)
         .when(F.coalesce(F.size("fields"), F.lit(0)) <= 0, 2)
@@ -110,7 +121,7 @@ def prepare(docs: DataFrame, rules: DataFrame | None = None) -> DataFrame:
             F.col("doc_type") != C.UNKNOWN,
             F.when(fails, C.FAIL).when(F.size("rule_issues") > 0, C.WARNING).otherwise(C.PASS),
         ).alias("rule_state")]
-    number = lambda name: number_contract(F.col(f"{name}_text"), F.col(name)["kind"], F.col(f"{name}_value"))
+    number = lambda name: number_contract(F.col(f"{name}_text"), F.col(f"{name}_kind"), F.col(f"{name}_value"))
     text = lambda name: F.col(f"{name}_text")
     route = F.col("route_countries")
     declared_type = T.squeeze(text("waybill_type"))
@@ -151,7 +162,7 @@ def prepare(docs: DataFrame, rules: DataFrame | None = None) -> DataFrame:
 
 def field_value(name: str) -> Column:
     """The untouched text of an opened field, null when blank."""
-    return F.when(F.col(f"{name}_text").isNotNull(), F.col(name)["text"])
+    return F.when(F.col(f"{name}_text").isNotNull(), F.col(f"{name}_raw"))
 
 
 def _count(condition: Column) -> Column:
@@ -334,8 +345,9 @@ def composition_differences(docs: DataFrame, batches: DataFrame) -> DataFrame:
 def duplicate_types(docs: DataFrame, batches: DataFrame | None = None) -> DataFrame:
     """Types that occur more often than allowed, with the fields that conflict.
 
-    The narrow count runs first; only documents of repeated types are opened up,
-    and every comparison is a distinct count per field instead of document pairs.
+    The narrow count runs first and its outcome is written out: with its size known, the
+    documents are filtered in place while it is small. Only documents of repeated types are
+    opened up, and every comparison is a count per field value instead of document pairs.
     """
     counts = type_counts(docs)
     if batches is not None:
@@ -343,7 +355,7 @@ def duplicate_types(docs: DataFrame, batches: DataFrame | None = None) -> DataFr
         counts = counts.join(allowed, ["batch_id", "doc_type"], "left")
     else:
         counts = counts.withColumn("allowed", F.lit(None).cast("int"))
-    repeated = counts.where(F.col("actual") > F.coalesce("allowed", F.lit(1)))
+    repeated = written(counts.where(F.col("actual") > F.coalesce("allowed", F.lit(1))))
     entries = (
         docs.withColumn("doc_type", F.coalesce("doc_type", F.lit(C.UNKNOWN)))
         .join(repeated.select("batch_id", "doc_type"), ["batch_id", "doc_type"], "left_semi")
@@ -361,7 +373,7 @@ def duplicate_types(docs: DataFrame, batches: DataFrame | None = None) -> DataFr
     )
 
 
-def _kinds_for(checks: set[str]) -> list[str]:
+def kinds_for(checks) -> list[str]:
     need = {"CONS-001": "goods", "CONS-002": "packages", "CONS-004": "consignor", "CONS-005": "consignee",
             "CONS-006": "waybill_no", "CONS-007": "container", "CONS-008": "currency", "ROUTE-002": "ends"}
     return [kind for check, kind in need.items() if check in checks]
@@ -383,12 +395,15 @@ def _worst_deviation(low: str, high: str, base: str) -> Column:
 
 
 def statuses(docs: DataFrame, batches: DataFrame | None = None, rules: DataFrame | None = None,
-             checks: list[str] | None = None, flat: DataFrame | None = None) -> DataFrame:
+             checks: list[str] | None = None, flat: DataFrame | None = None,
+             groups: DataFrame | None = None, repeated: DataFrame | None = None) -> DataFrame:
     """One row per batch with a status column per check and the facts behind it.
 
     ``batches`` brings declared compositions and structural problems, ``rules``
     the document rules; without them those checks are left out. ``checks``
-    narrows the work to the named checks.
+    narrows the work to the named checks. ``flat`` and ``groups`` may bring prepared
+    rows and text groups that the caller keeps, as both are read more than once, and
+    ``repeated`` the outcome of ``duplicate_types``.
     """
     wanted = set(checks or ALL_CHECKS)
     use_rules = rules is not None and RULE_CHECK in wanted
@@ -399,9 +414,10 @@ def statuses(docs: DataFrame, batches: DataFrame | None = None, rules: DataFrame
         out = batches.select("batch_id", F.coalesce(F.size("declared"), F.lit(0)).alias("n_declared"),
                              "structure_problems").join(out, "batch_id", "left")
         out = out.fillna(0, [c for c in out.columns if c.startswith(("n_", "has_"))])
-    kinds = _kinds_for(wanted)
+    kinds = kinds_for(wanted)
     if kinds:
-        out = out.join(text_facts(text_groups(flat, kinds), kinds), "batch_id", "left")
+        groups = text_groups(flat, kinds) if groups is None else groups
+        out = out.join(text_facts(groups, kinds), "batch_id", "left")
     columns: dict[str, Column] = {}
     if "SYS-001" in wanted:
         broken = n("structure_problems") > 0 if batches is not None else F.lit(False)
@@ -414,7 +430,8 @@ def statuses(docs: DataFrame, batches: DataFrame | None = None, rules: DataFrame
         columns["doc_002"] = (F.when(n("identity_problem") == 2, C.FAIL)
                               .when(n("identity_problem") == 1, C.WARNING).otherwise(C.PASS))
     if "DOC-003" in wanted:
-        repeats = duplicate_types(docs, batches).groupBy("batch_id").agg(
+        repeated = duplicate_types(docs, batches) if repeated is None else repeated
+        repeats = repeated.groupBy("batch_id").agg(
             F.count("*").alias("repeated_types"),
             _count(F.col("conflicting_fields") > 0).alias("conflicting_types"))
         out = out.join(repeats, "batch_id", "left")
@@ -428,7 +445,7 @@ def statuses(docs: DataFrame, batches: DataFrame | None = None, rules: DataFrame
             F.col("n_declared") > 0,
             F.when(n("composition_differences") > 0, C.WARNING).otherwise(C.PASS))
     if "CONS-001" in wanted:
-        scores = goods_scores(flat).groupBy("batch_id").agg(
+        scores = goods_scores(flat, groups.where("kind = 'goods'")).groupBy("batch_id").agg(
             _count(F.col("grade") == "mismatch").alias("goods_mismatches"),
             _count(F.col("grade") == "suspect").alias("goods_suspects"))
         out = out.join(scores, "batch_id", "left")

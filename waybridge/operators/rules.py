@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from waybridge import constants as C
 from waybridge.functions.numbers import parse_number
-from waybridge.functions.text import strip
+from waybridge.functions.text import is_blank, strip
 
 RULE_SCHEMA = ("rule_id string, doc_type string, field string, rule_type string, pattern string, "
                "min double, max double, severity string, message string, suggestion string, "
@@ -69,10 +69,13 @@ def _judged(rules: DataFrame) -> DataFrame:
     return rules.where(F.coalesce("enabled", F.lit(True))).withColumn("problem", problem)
 
 
-def value_missing(value: Column) -> Column:
-    """Null, blank text, or an empty list or object."""
-    blank = strip(F.coalesce(value["text"], F.lit(""))) == ""
-    return value.isNull() | (value["kind"] == "VOID") | blank | value["text"].isin("[]", "{}")
+def filled_fields(fields: Column) -> Column:
+    """Names of the fields that hold something: no null, blank text, empty list or object."""
+    def holds(value: Column) -> Column:
+        text = value["text"]
+        return (value["kind"] != "VOID") & text.isNotNull() & ~is_blank(text) & ~text.isin("[]", "{}")
+
+    return F.map_keys(F.map_filter(fields, lambda k, v: F.coalesce(holds(v), F.lit(False))))
 
 
 def rules_by_type(rules: DataFrame) -> DataFrame:
@@ -86,20 +89,19 @@ def rules_by_type(rules: DataFrame) -> DataFrame:
 
 
 def _violated(rule: Column, fields: Column, meta: Column) -> Column:
-    value = F.try_element_at(fields, rule["field"])
-    missing = value_missing(value)
-    has_meta = meta.isNotNull() & (F.size(meta) > 0)
+    missing = ~F.array_contains(F.col("filled"), rule["field"])
+    has_meta = F.coalesce(F.size(meta), F.lit(0)) > 0
     status = F.try_element_at(meta, rule["field"])["status"]
-    required = F.when(has_meta, missing & F.coalesce(status == C.BUSINESS_MISSING, F.lit(False))).otherwise(missing)
-    wrong_format = ~missing & ~F.rlike(F.trim(value["text"]), F.concat(F.lit("^(?:"), rule["pattern"], F.lit(")$")))
+    value = F.try_element_at(fields, rule["field"])
     number = parse_number(value["text"], value["kind"])
     outside = (F.coalesce(number["value"] < rule["min"], F.lit(False))
                | F.coalesce(number["value"] > rule["max"], F.lit(False)))
-    out_of_range = (number["code"] == "ok") & outside
     return F.coalesce(
-        F.when(rule["rule_type"] == "required", required)
-        .when(rule["rule_type"] == "format", wrong_format)
-        .when(rule["rule_type"] == "range", out_of_range),
+        F.when(rule["rule_type"] == "required",
+               missing & F.when(has_meta, status == C.BUSINESS_MISSING).otherwise(True))
+        .when(rule["rule_type"] == "format",
+              ~missing & ~F.rlike(strip(value["text"]), F.concat(F.lit("^(?:"), rule["pattern"], F.lit(")$"))))
+        .when(rule["rule_type"] == "range", (number["code"] == "ok") & outside),
         F.lit(False),
     )
 
@@ -118,10 +120,12 @@ def with_rule_issues(docs: DataFrame, rules: DataFrame) -> DataFrame:
     issue = F.transform(broken, lambda r: F.struct(
         r["field"].alias("field"), r["rule_id"].alias("rule_id"), r["severity"].alias("severity"),
         r["message"].alias("message"), r["rule_order"].alias("rule_order")))
-    fails = F.filter(issue, lambda i: i["severity"] == "fail")
-    others = F.filter(issue, lambda i: i["severity"] != "fail")
+    fails = F.filter("_issues", lambda i: i["severity"] == "fail")
+    others = F.filter("_issues", lambda i: i["severity"] != "fail")
     return (
         docs.join(per_type, "doc_type", "left")
-        .withColumn("rule_issues", F.concat(fails, others))
-        .drop("rules")
+        .withColumn("filled", filled_fields(F.col("fields")))
+        .withColumn("_issues", issue)
+        .withColumn("rule_issues", F.when(F.size("_issues") < 2, F.col("_issues")).otherwise(F.concat(fails, others)))
+        .drop("rules", "filled", "_issues")
     )

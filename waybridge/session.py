@@ -8,6 +8,7 @@ when its size estimate, or under adaptive execution its measured size, is below
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +23,8 @@ def local_session(name: str = "waybridge", cpus: int | str = "*") -> SparkSessio
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        # wide projections generate methods that the JVM would otherwise only interpret
+        .config("spark.driver.extraJavaOptions", "-XX:-DontCompileHugeMethods")
         # call-site capture costs more than building the plans of this package
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
@@ -50,3 +53,15 @@ def durable(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write rows as a table in the shared folder and read it back.
+
+    From then on its size is known exactly, so Spark broadcasts it when it is small
+    and shuffles it when it is not.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -100,6 +100,7 @@ def docs_from_wide(wide: DataFrame, texts: list[str], lists: list[str] = ()) ->
                              F.lit(None).cast("array<string>").alias("items"))
         return F.struct(F.lit(name).alias("key"), value.alias("value"))
 
+    # plain projections, so that queries which need no fields never build them
     filled = F.filter(F.array(*[entry(n) for n in [*texts, *lists]]),
                       lambda e: e["value"]["text"].isNotNull())
     return wide.select(
