@@ -223,13 +223,17 @@ NUMBERS = ["total_packages", "gross_weight_kg", "total_amount", "declared_value"
     f"SELECT batch_id, doc_index, '{f}' AS field, {Q.code(f)} AS code, CASE WHEN {Q.code(f)} = 'ok' THEN {Q.number(f)} ELSE -1 END AS value FROM docs WHERE {f} IS NOT NULL"
     for f in NUMBERS))
 def number_contract(spark, sf_dir):
-    from waybridge.functions.numbers import parse_number
+    from waybridge.functions.numbers import number_contract as contract, plain_number
+    from waybridge.functions.text import strip
     from waybridge.sources.batches import doc_fields
 
     rows = doc_fields(V.docs(spark, sf_dir)).where(F.col("field").isin(*NUMBERS))
-    parsed = parse_number(F.col("text"), F.col("kind"))
-    return rows.withColumn("n", parsed).select(
-        "batch_id", "doc_index", "field", "n.code", F.coalesce("n.value", F.lit(-1.0)).alias("value"))
+    # one small step after the other keeps every expression short
+    rows = rows.withColumn("bare", strip(F.col("text")))
+    rows = rows.withColumn("plain", plain_number(F.col("bare")))
+    rows = rows.select("batch_id", "doc_index", "field", F.inline(F.array(
+        contract(F.col("bare"), F.col("kind"), F.col("plain")))))
+    return rows.withColumn("value", F.coalesce("value", F.lit(-1.0)))
 
 
 INDEX = " UNION ".join(

@@ -109,10 +109,14 @@ def docs_from_wide(wide: DataFrame, texts: list[str], lists: list[str] = ()) ->
 
 
 def doc_fields(docs: DataFrame) -> DataFrame:
-    """Long form: one row per document field."""
-    return docs.select("batch_id", "doc_index", "doc_type", "doc_id",
-                       F.explode("fields").alias("field", "value"),
-                       "field_meta").select(
+    """Long form: one row per document field.
+
+    The outer form keeps the optimizer from copying the expression behind ``fields``
+    into a filter below; documents without fields are dropped afterwards.
+    """
+    rows = docs.select("batch_id", "doc_index", "doc_type", "doc_id",
+                       F.explode_outer("fields").alias("field", "value"), "field_meta")
+    return rows.where("field is not null").select(
         "batch_id", "doc_index", "doc_type", "doc_id", "field", F.col("value.kind").alias("kind"),
         F.col("value.text").alias("text"), F.col("value.items").alias("items"),
         F.try_element_at("field_meta", F.col("field"))["status"].alias("status"))
