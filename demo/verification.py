@@ -10,7 +10,7 @@ from demo.registry import query
 from waybridge import constants as C
 from waybridge.operators import checks as K, fields as FL, lookup as L, sinks, tables as TB
 from waybridge.operators.rules import default_rules
-from waybridge.operators.scenario import risk_change, scenario_documents
+from waybridge.operators.scenario import scenario_documents
 from waybridge.plans import verify as P
 
 
@@ -280,8 +280,12 @@ def scenario_risk(spark, sf_dir):
         edit("count", F.lit(C.CUSTOMS), "total_packages", "300", 1),
         edit("party", F.lit(C.CUSTOMS), "consignee_name", "ACME", 0),
         edit("party", F.concat(F.lit("invoice-"), "batch_id"), "consignee_name", "ACME", 1))))
-    edited = scenario_documents(docs, edits)
-    scored = P.verify(edited, rules=default_rules(spark))
+    keep = StorageLevel.MEMORY_AND_DISK
+    edited = scenario_documents(docs, edits).persist(keep)
+    rules = default_rules(spark)
+    flat = K.prepare(edited, rules).persist(keep)
+    groups = K.text_groups(flat, K.kinds_for(K.ALL_CHECKS)).persist(keep)
+    scored = P.summary(K.statuses(edited, rules=rules, flat=flat, groups=groups))
     return scored.select(
         F.split_part("batch_id", F.lit("#"), F.lit(1)).alias("batch_id"),
         F.split_part("batch_id", F.lit("#"), F.lit(2)).alias("scenario_id"),
