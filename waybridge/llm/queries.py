@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from waybridge.llm import packing
+from waybridge.llm import compression, language_id, line_dedup, nb_svm, packing, secret_scan, warc, winnowing
 from waybridge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +27,38 @@ def query(name: str, sql: str | None = None):
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"),
                         keep_ids=False).drop("ids")
+
+
+@query("op3_secret_scan")
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(table(spark, sf_dir, "documents"))
+
+
+@query("op4_warc")
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.records(warc.bundles(table(spark, sf_dir, "pages")), payloads=False).drop("payload", "url")
+
+
+@query("op7_compression")
+def op7_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.judge(table(spark, sf_dir, "documents"))
+
+
+@query("op2_nb_svm")
+def op2_nb_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nb_svm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_language_id")
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op8_line_dedup", line_dedup.SQL)
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op5_winnowing")
+def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
