@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame
 from waybridge.llm.common import batched, mix, per_batch, record_batch
 
 #: Whole texts: bytes from, lowest and highest ratio of compressed to plain size.
-WHOLE_BANDS = ((200, 0.15, 1.00), (1_000, 0.12, 0.90), (4_000, 0.09, 0.80), (16_000, 0.06, 0.75))
+WHOLE_BANDS = ((200, 0.25, 0.98), (1_000, 0.20, 0.85), (4_000, 0.16, 0.75), (16_000, 0.10, 0.70))
 #: Chunks of this many bytes, their band, and the share of chunks outside it that rejects a text.
-CHUNK, CHUNK_BAND, CHUNK_SHARE = 4_096, (0.06, 0.80), 0.5
+CHUNK, CHUNK_BAND, CHUNK_SHARE = 4_096, (0.12, 0.80), 0.5
 LEVEL = 3
 WINDOW = 5
 _SPACE = b" \t\n\r\x0b\x0c"
