@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from waybridge.llm import compression, language_id, line_dedup, nb_svm, packing, secret_scan, warc, winnowing
+from waybridge.llm import (
+    compression, language_id, line_dedup, nb_svm, packing, page_diff, secret_scan, signature_join, warc, winnowing)
 from waybridge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +63,13 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_winnowing")
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op9_signature_join")
+def op9_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_join.join_components(table(spark, sf_dir, "documents"))
+
+
+@query("op10_page_diff")
+def op10_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_diff.main_text(table(spark, sf_dir, "pages"))

@@ -136,62 +136,55 @@ def signature(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little")
 
 
-def _folded(bits: np.ndarray, size: int) -> np.ndarray:
-    """The bitmap's signature at a smaller width: low bits of a place stay, so the halves are OR-ed."""
-    return np.bitwise_or.reduce(bits.reshape(-1, size), axis=0)
-
-
 class Tree:
-    """Classes sorted by size, and above them levels of nodes: OR of bitmaps, least and largest size."""
+    """Classes ordered so that likely partners are neighbours, and above them levels of nodes.
+
+    A level holds per node: OR of bitmaps, least and largest size, largest number of tokens that share a bit with
+    another token of their set, least and largest tie (the component a class is known to be in).
+    """
 
     def __init__(self, bits: np.ndarray, sizes: np.ndarray, ties: np.ndarray):
-        self.levels = [(bits, sizes, sizes, ties, ties)]
+        excess = sizes - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+        self.levels = [(bits, sizes, sizes, excess, ties, ties)]
         while len(self.levels[-1][0]) > 1:
-            bits, least, most, low, high = self.levels[-1]
+            bits, least, most, excess, low, high = self.levels[-1]
             cut = np.arange(0, len(bits), FANOUT)
-            self.levels.append((np.bitwise_or.reduceat(bits, cut, axis=0), np.minimum.reduceat(least, cut),
-                                np.maximum.reduceat(most, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)))
+            self.levels.append((
+                np.bitwise_or.reduceat(bits, cut, axis=0), np.minimum.reduceat(least, cut),
+                np.maximum.reduceat(most, cut), np.maximum.reduceat(excess, cut),
+                np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)))
 
 
-def _possible(a: tuple, i: np.ndarray, b: tuple, j: np.ndarray, percent: int, leaf: bool) -> np.ndarray:
-    """Whether node pairs can hold a pair of sets that reaches the similarity and joins two components.
+def possible(a: tuple, i: np.ndarray, b: tuple, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether node pairs can hold two sets that reach the similarity and join components, and their largest overlap.
 
-    With x the least size on a side and ``out`` the bits that all sets of the side have and the other lacks, the overlap
-    is at most x - out. At leaves those bits are the set's own; above them only sizes and ties tell,
-    and what a leaf's bitmap has outside a node's.
+    The shared tokens of two sets lie on bits that both have, one on each, save for those tokens of a set that
+    share a bit with another. So the overlap is at most the bits of both ORs plus that excess; the similarity
+    needs percent / (100 + percent) of the sum of sizes.
     """
-    bits_a, least_a, most_a, low_a, high_a = a
-    bits_b, least_b, most_b, low_b, high_b = b
+    bits_a, least_a, most_a, excess_a, low_a, high_a = a
+    bits_b, least_b, most_b, excess_b, low_b, high_b = b
     ok = (100 * most_a[i] >= percent * least_b[j]) & (100 * most_b[j] >= percent * least_a[i])
     ok &= ~((low_a[i] == high_a[i]) & (low_b[j] == high_b[j]) & (low_a[i] == low_b[j]))
+    overlap = np.zeros(len(i), np.int64)
     at = np.flatnonzero(ok)
-    for some in np.array_split(at, max(1, len(at) * bits_a.shape[1] // (1 << 24))):
-        x, y = bits_a[i[some]], bits_b[j[some]]
-        if leaf:
-            lacks = np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64)
-            over = np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64)
-            nx, ny = least_a[i[some]], least_b[j[some]]
-            most = np.minimum(nx - lacks, ny - over)
-            ok[some] = 100 * most >= percent * (nx + ny - most)
-        else:
-            # a side that is one class must lie almost wholly inside the other side's OR
-            single_x, single_y = least_a[i[some]] == most_a[i[some]], least_b[j[some]] == most_b[j[some]]
-            lacks = np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64)
-            over = np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64)
-            del single_x, single_y, lacks, over
-    return ok
+    for some in np.array_split(at, len(at) * bits_a.shape[1] // (1 << 25) + 1):
+        both = np.bitwise_count(bits_a[i[some]] & bits_b[j[some]]).sum(axis=1, dtype=np.int64)
+        most = both + np.minimum(excess_a[i[some]], excess_b[j[some]])
+        overlap[some] = most
+        ok[some] = most * (100 + percent) >= percent * (least_a[i[some]] + least_b[j[some]])
+    return ok, overlap
 
 
-def candidates(one: Tree, two: Tree, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Leaf pairs left by the dual traversal of two trees (a tree with itself gives each pair both ways)."""
+def candidates(one: Tree, two: Tree, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class pairs, and their largest overlap, that the dual traversal of two trees leaves over."""
     at = [len(one.levels) - 1, len(two.levels) - 1]
     i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
     while True:
-        leaf = at == [0, 0]
-        ok = _possible(one.levels[at[0]], i, two.levels[at[1]], j, percent, leaf)
+        ok, overlap = possible(one.levels[at[0]], i, two.levels[at[1]], j, percent)
         i, j = i[ok], j[ok]
-        if leaf or not len(i):
-            return i, j
+        if at == [0, 0] or not len(i):
+            return i, j, overlap[ok]
         if at[0] >= at[1]:
             at[0] -= 1
             i, j = _children(i, j, len(one.levels[at[0]][0]))
@@ -204,3 +197,179 @@ def _children(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     child = (i[:, None] * FANOUT + np.arange(FANOUT)).ravel()
     other = np.repeat(j, FANOUT)
     return child[child < n], other[child < n]
+
+
+def _one_width(bits: list[bytes]) -> np.ndarray:
+    """Bitmaps as rows of 64-bit words, the wider ones folded to the narrowest: low bits of a place stay."""
+    narrow = min(map(len, bits))
+    out = [np.frombuffer(b, np.uint64) for b in bits]
+    return np.stack([b if len(b) * 8 == narrow else np.bitwise_or.reduce(b.reshape(-1, narrow // 8), axis=0) for b in out])
+
+
+def search(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links that would join components, most promising first, for the classes of one pair of leaves.
+
+    ``rows`` hold (side, class, size, first token, tie, bitmap, refuted partners); side 2 is empty when a leaf meets itself.
+    """
+    rows = sorted(rows, key=lambda r: (r[0], r[3], r[2], r[1]))
+    bits = _one_width([r[5] for r in rows])
+    side, name, sizes, ties = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 2, 4))
+    trees, places = [], []
+    for s in (1, 2):
+        at = np.flatnonzero(side == s)
+        places.append(at)
+        trees.append(Tree(bits[at], sizes[at], ties[at]) if len(at) else None)
+    other = 0 if trees[1] is None else 1
+    i, j, overlap = candidates(trees[0], trees[other], percent)
+    i, j = places[0][i], places[other][j]
+    refuted = {(r[1], p) for r in rows for p in (r[6] if r[6] is not None else ())}
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    out = []
+    for k in np.lexsort((name[j], name[i], -overlap / (sizes[i] + sizes[j] + 1))).tolist() if len(i) else ():
+        a, b = int(i[k]), int(j[k])
+        low, high = (a, b) if name[a] < name[b] else (b, a)
+        x, y = find(int(ties[a])), find(int(ties[b]))
+        if x != y and (int(name[low]), int(name[high])) not in refuted:
+            root[x] = y
+            out.append((int(name[low]), int(name[high])))
+    return out
+
+
+_PAIR = ["leader", "band1", "leaf1", "band2", "leaf2"]
+
+
+def _proposed(work: DataFrame, percent: int) -> DataFrame:
+    """Search every pair of leaves; rows of a pair follow one another inside a partition."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        held, key = [], None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in _PAIR], 1)
+            columns = [batch.column(c).to_pylist() for c in ("side", "cls", "n", "first", "tie", "bits", "refuted")]
+            rows = list(zip(*columns))
+            new = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1
+            cuts, found = [0, *new.tolist(), len(rows)], []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                now = tuple(keys[a].tolist())
+                if now != key:
+                    if len(held) > 1:
+                        found += search(held, percent)
+                    held, key = [], now
+                held += rows[a:b]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], schema=schema)
+        if len(held) > 1 and (found := search(held, percent)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], schema=schema)
+
+    ordered = work.repartition(*_PAIR).sortWithinPartitions(*_PAIR)
+    return batched(ordered).mapInArrow(run, "a long, b long").distinct()
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, shingle: int, ranks) -> DataFrame:
+    """(cls, tokens, bits, first) of the classes in ``wanted`` (cls, doc_id, version), from their texts."""
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = token_sets(batch.column("text"), shingle, ranks.value)
+        return pa.RecordBatch.from_arrays(
+            [batch.column("cls"), _arrays(sets), pa.array([signature(s).tobytes() for s in sets], pa.binary()),
+             pa.array([int(s[0]) for s in sets], pa.int64())], names=["cls", "tokens", "bits", "first"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_version"), "text")
+    texts = rows.join(wanted, F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_version") == F.col("version")))
+    return stored(batched(texts.select("cls", "text")).mapInArrow(
+        per_batch(run), "cls long, tokens array<long>, bits binary, first long").dropDuplicates(["cls"]))
+
+
+def classes_and_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """Rows (row, doc_id, version, n_shingles, cls) of all documents and components (node, component) of classes."""
+    spark = docs.sparkSession
+    ranks = spark.sparkContext.broadcast(token_ranks(docs, shingle))
+    rows = described(docs, shingle, percent, ranks)
+    same = ["d1", "d2", "n_shingles"]
+    classes = rows.where("n_shingles > 0").groupBy(*same).agg(F.min("row").alias("cls"))
+    members = rows.select("row", "doc_id", "version", *same).join(classes, same, "left").drop("d1", "d2")
+    heads = rows.join(classes.select("cls"), F.col("row") == F.col("cls")).select(
+        "cls", F.col("n_shingles").alias("n"), "doc_id", "version", "prefix")
+    tokens = heads.select("cls", "n", F.explode("prefix").alias("token"))
+    shared = tokens.groupBy("token").agg(F.min("cls").alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    blocks = stored(tokens.join(shared, "token").select("leader", "cls", "n").distinct())
+    sets = _sets(docs, blocks.select("cls").distinct().join(heads.drop("prefix", "n"), "cls"), shingle, ranks)
+    # partners differ in size by the similarity at most, so they are in one band or in two neighbours
+    banded = blocks.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("long"))
+    counted = banded.groupBy("leader", "band").agg(F.ceil(F.count(F.lit(1)) / LEAF).alias("leaves"))
+    leafed = stored(banded.join(counted, ["leader", "band"]).withColumn(
+        "leaf", F.pmod(F.xxhash64("cls"), F.col("leaves"))).drop("leaves"))
+    nothing = spark.createDataFrame([], "a long, b long")
+    links, refuted, tied, turn = nothing, nothing, spark.createDataFrame([], "node long, component long"), 0
+    while True:
+        now = leafed.join(tied, F.col("cls") == F.col("node"), "left").select(
+            "leader", "band", "leaf", "cls", "n", F.coalesce("component", "cls").alias("tie"))
+        leaves = now.groupBy("leader", "band", "leaf").agg(F.min("tie").alias("low"), F.max("tie").alias("high"))
+        one, two = (leaves.select("leader", *[F.col(c).alias(f"{c}{k}") for c in ("band", "leaf", "low", "high")]) for k in (1, 2))
+        # the neighbouring band is reached by an equality too
+        two = two.withColumn("from", F.explode(F.array(F.col("band2"), F.col("band2") - 1)))
+        pairs = one.join(two.withColumnRenamed("leader", "_leader"), (F.col("leader") == F.col("_leader")) & (F.col("band1") == F.col("from"))).where(
+            "band1 < band2 or leaf1 <= leaf2").where("least(low1, low2) < greatest(high1, high2)")
+        if turn == 0:
+            pairs = pairs.where("leaf1 = 0 or (band1 = band2 and leaf1 = leaf2)")
+        pairs = pairs.select(*_PAIR)
+        against = refuted.groupBy("a").agg(F.collect_set("b").alias("refuted"))
+        known = now.join(sets.select("cls", "bits", "first"), "cls").join(against, F.col("cls") == F.col("a"), "left").drop("a")
+        work = None
+        for k in (1, 2):
+            mine = pairs if k == 1 else pairs.where("band1 <> band2 or leaf1 <> leaf2")
+            part = mine.withColumns({"band": F.col(f"band{k}"), "leaf": F.col(f"leaf{k}")}).join(
+                known, ["leader", "band", "leaf"]).select(
+                *_PAIR, F.lit(k).alias("side"), "cls", "n", "first", "tie", "bits", "refuted")
+            work = part if work is None else work.unionByName(part)
+        proposed = stored(_proposed(work, percent))
+        if proposed.isEmpty():
+            if turn:
+                break
+        else:
+            sided = lambda c: sets.select(F.col("cls").alias(c), F.col("tokens").alias(f"{c}_tokens"))
+            both = F.size(F.array_intersect("a_tokens", "b_tokens"))
+            checked = stored(proposed.join(sided("a"), "a").join(sided("b"), "b").select("a", "b", (
+                both * (100 + percent) >= percent * (F.size("a_tokens") + F.size("b_tokens"))).alias("linked")))
+            links = links.unionByName(checked.where("linked").drop("linked"))
+            refuted = refuted.unionByName(checked.where("not linked").drop("linked"))
+            tied = components(links)
+        turn += 1
+    return members, tied
+
+
+def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(row, doc_id, version, n_shingles, group) of all documents."""
+    members, tied = classes_and_links(docs, shingle, percent)
+    return members.join(tied, F.col("cls") == F.col("node"), "left").select(
+        "row", "doc_id", "version", "n_shingles", F.coalesce("component", "cls").alias("group"))
+
+
+def join_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Size of every document's set, and the smallest doc_id that links lead to."""
+    rows = _grouped(docs, shingle, percent)
+    names = rows.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(names, "group", "left").select(
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_per_component(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Rows of ``docs``, columns unchanged: the smallest doc_id of every component, and all texts without shingles."""
+    rows = stored(_grouped(docs, shingle, percent))
+    first = rows.where("group is not null").groupBy("group").agg(
+        F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"), "version")).alias("s"))
+    # texts without shingles are no copies of each other and all stay
+    keep = first.select(F.col("s.doc_id").alias("_doc"), F.col("s.version").alias("_version"), F.lit(True).alias("_some")).unionByName(
+        rows.where("group is null").select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version"), F.lit(False).alias("_some")).distinct())
+    kept = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_version")))
+    if not rows.where("group is not null").groupBy("doc_id", "version").count().where("count > 1").isEmpty():
+        # repeated rows cannot be told apart by id and text; one of them stays
+        kept = kept.where("_some").dropDuplicates(["_doc", "_version"]).unionByName(kept.where("not _some"))
+    return kept.select(*[docs[c] for c in docs.columns])
