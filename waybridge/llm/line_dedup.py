@@ -78,29 +78,36 @@ def keep_bitmaps(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: in
                     lambda r: F.struct(r["s"].alias("start"), (r["e"] - r["s"] + 1).alias("length"))).alias("lost"))
 
 
-def deduplicated(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """``docs`` with shared lines taken out of ``text``, and columns ``_n_lines`` and ``_dropped``."""
-    bitmaps = keep_bitmaps(docs, least_chars, least_docs).select(
-        F.col("doc_id").alias("_doc"), F.col("version").alias("_version"), "dropped", "lost")
-    joined = docs.join(
-        bitmaps, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc"))
-        & (F.xxhash64("text") == F.col("_version")), "left")
-    n_lines = F.size(_lines(F.col("text"))).cast("long")
+def _applied(docs: DataFrame, least_chars: int, least_docs: int) -> DataFrame:
+    """(doc, n_lines, dropped, kept) of every row: the row itself and its text without the dropped lines."""
+    bitmaps = keep_bitmaps(docs, least_chars, least_docs)
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64("text").alias("own_version"))
+    joined = rows.join(
+        bitmaps, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_version") == F.col("version")), "left")
+    text = F.col("doc.text")
     # the runs, unrolled into one sign per line; lines behind the last run have none and stay
     before = lambda i: F.coalesce(F.get("lost", i - 1)["start"] + F.get("lost", i - 1)["length"], F.lit(0))
     keep = F.flatten(F.transform("lost", lambda r, i: F.concat(
         F.array_repeat(F.lit(True), r["start"] - before(i)), F.array_repeat(F.lit(False), r["length"]))))
-    lines = F.zip_with(_lines(F.col("text")), keep, lambda line, sign: F.when(F.coalesce(sign, F.lit(True)), line))
+    lines = F.zip_with(_lines(text), keep, lambda line, sign: F.when(F.coalesce(sign, F.lit(True)), line))
     # joining leaves out nulls, which are the dropped lines
-    text = F.when(F.col("lost").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(lines, "\n"))
-    return joined.withColumn("_n_lines", n_lines).withColumn("_dropped", F.coalesce("dropped", F.lit(0).cast("long"))).withColumn(
-        "text", text).drop("_doc", "_version", "dropped", "lost")
+    return joined.select(
+        "doc", F.size(_lines(text)).cast("long").alias("n_lines"), F.coalesce("dropped", F.lit(0).cast("long")).alias("dropped"),
+        F.when(F.col("lost").isNull(), text).otherwise(F.array_join(lines, "\n")).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """``docs`` with shared lines taken out of ``text``, columns unchanged."""
+    return _applied(docs, least_chars, least_docs).select(
+        *[F.col("kept").alias("text") if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns])
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    return deduplicated(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select(
-        "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"),
-        F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+def digests(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """Lines of every document, how many it loses, and the digest of the text that stays."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _applied(rows, least_chars, least_docs).select(
+        F.col("doc.doc_id").alias("doc_id"), "n_lines", F.col("dropped").alias("n_dropped"),
+        F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 SQL = """

@@ -366,10 +366,11 @@ def one_per_component(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
     first = rows.where("group is not null").groupBy("group").agg(
         F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"), "version")).alias("s"))
     # texts without shingles are no copies of each other and all stay
-    keep = first.select(F.col("s.doc_id").alias("_doc"), F.col("s.version").alias("_version"), F.lit(True).alias("_some")).unionByName(
-        rows.where("group is null").select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version"), F.lit(False).alias("_some")).distinct())
-    kept = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_version")))
+    keep = first.select("s.doc_id", "s.version", F.lit(True).alias("some")).unionByName(
+        rows.where("group is null").select("doc_id", "version", F.lit(False).alias("some")).distinct())
+    whole = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64("text").alias("own_version"))
+    kept = whole.join(keep, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_version") == F.col("version")))
     if not rows.where("group is not null").groupBy("doc_id", "version").count().where("count > 1").isEmpty():
         # repeated rows cannot be told apart by id and text; one of them stays
-        kept = kept.where("_some").dropDuplicates(["_doc", "_version"]).unionByName(kept.where("not _some"))
-    return kept.select(*[docs[c] for c in docs.columns])
+        kept = kept.where("some").dropDuplicates(["own_id", "own_version"]).unionByName(kept.where("not some"))
+    return kept.select("doc.*")

@@ -157,30 +157,33 @@ def _reach(a: str, b: str, side: int, first: int) -> Column:
 
 
 def hits(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Three tables: rows (row, doc_id, n_words), spans (row, start, end) of hit words, and (row, item_id)."""
+    """Three tables: rows (row, doc_id, n_words), spans (row, doc_id, version, start, end) of hit words, and (row, item_id).
+
+    ``version`` is a hash of the text: with doc_id it finds the row again.
+    """
     item_marks = stored(_item_marks(items))
     sizes = sorted(r["k"] for r in item_marks.where("k > 0").select("k").distinct().collect())  # 1 to 9 at most
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(item_marks))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("marks", _MARK_TYPE)])
+    schema = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("n_words", pa.int64()), ("marks", _MARK_TYPE)])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         hashes, starts = words(batch.column("text"))
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(np.diff(starts)), pa.array(_marks(hashes, starts, sizes, shared.value), _MARK_TYPE)],
+            [batch.column("doc_id"), batch.column("version"), pa.array(np.diff(starts)), pa.array(_marks(hashes, starts, sizes, shared.value), _MARK_TYPE)],
             schema=schema)
 
-    rows = stored(batched(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(
-        per_batch(run), f"doc_id long, n_words long, marks {_MARK}").withColumn("row", F.monotonically_increasing_id()))
+    rows = stored(batched(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")).mapInArrow(
+        per_batch(run), f"doc_id long, version long, n_words long, marks {_MARK}").withColumn("row", F.monotonically_increasing_id()))
     contexts = item_marks.select("k", "h", F.col("around").alias("there")).distinct()
-    found = rows.select("row", F.inline("marks")).join(contexts, ["k", "h"])
+    found = rows.select("row", "doc_id", "version", F.inline("marks")).join(contexts, ["k", "h"])
     left, right = _reach("around", "there", SIDE, 0), _reach("around", "there", SIDE, SIDE)
     found = found.withColumn("left", F.when(F.col("k") > 0, 0).otherwise(left)).withColumn(
         "right", F.when(F.col("k") > 0, 0).otherwise(right)).where(
         (F.col("k") > 0) | (F.col("left") + F.col("right") + K >= SPAN))
     length = F.when(F.col("k") > 0, F.col("k")).otherwise(K)
-    found = stored(found.select("row", "k", "h", "there", (F.col("place") - F.col("left")).alias("start"),
+    found = stored(found.select("row", "doc_id", "version", "k", "h", "there", (F.col("place") - F.col("left")).alias("start"),
                                 (F.col("place") + length + F.col("right")).alias("end")))
-    spans = found.select("row", "start", "end").distinct()
+    spans = found.select("row", "doc_id", "version", "start", "end").distinct()
     named = found.select("row", "k", "h", "there").distinct().join(
         item_marks.withColumnRenamed("around", "there"), ["k", "h", "there"]).select("row", "item_id").distinct()
     return rows.drop("marks"), spans, named
@@ -205,3 +208,12 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
         "doc_id", "n_words", F.coalesce("n_hit", none).alias("n_hit"), F.coalesce("n_items", none).alias("n_items"),
         F.sha2(F.coalesce("items", F.lit("")).cast("binary"), 256).alias("items_sha256"),
         (F.coalesce("n_hit", none) > 0).alias("contaminated"))
+
+
+def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Rows of ``docs`` without a word inside an occurring window, columns unchanged."""
+    _, spans, _ = hits(docs, items)
+    marked = spans.select("version", "doc_id").distinct()
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64("text").alias("own_version"))
+    return rows.join(
+        marked, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_version") == F.col("version")), "left_anti").select("doc.*")
