@@ -43,7 +43,7 @@ def test_a_bundle_is_a_seekable_file_and_records_open_one_frame(spark):
     rows = frames.where("bundle = 0").orderBy("frame").collect()
     file = b"".join(bytes(r.data) for r in rows)
     places = warc.frame_places(bytes(rows[-1].data))
-    assert len(places) == len(rows) - 1 > 2
+    assert len(places) == len(rows) - 1 > 1
     plain = b"".join(zstandard.ZstdDecompressor().decompress(file[a:a + n], max_output_size=m) for a, n, m in places)
     # any reader of the plain format sees the same bytes, the seek table being skipped
     reader = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(file), read_across_frames=True)

@@ -63,7 +63,8 @@ def entropy_stretches(data: bytes, window: int, limit: float) -> list[tuple[int,
     """
     if len(data) < window:
         return []
-    term = [0.0] + [c * math.log2(c) for c in range(1, window + 1)]
+    # a window holds one more character for a moment, between one entering and one leaving
+    term = [0.0] + [c * math.log2(c) for c in range(1, window + 2)]
     counts = [0] * 256
     total = 0.0
     most = (math.log2(window) - limit) * window + 1e-9
