@@ -30,6 +30,8 @@ FEATURE_BITS = 18
 FEATURES = 1 << FEATURE_BITS
 #: Labelled rows that the linear model is fitted on at most, half of them from each class.
 SAMPLE_ROWS = 4_000
+#: Slots of labelled ids, and so most rows of the table that is broadcast to find them.
+LABEL_SLOTS = 1 << 20
 SMOOTHING, COST, EPOCHS = 1.0, 1.0, 12
 THRESHOLD = 0.3
 _SIGNS = ".,;:!?%&$#*+=/|-_()[]{}\"'"
@@ -131,7 +133,11 @@ def labelled(docs: DataFrame, labels: DataFrame, folds: int, held_out: int) -> D
     marks = labels.where("quality is not null and doc_id is not null").groupBy(
         F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") > 0).cast("int").alias("y"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(fold(F.col("doc_id"), folds) != held_out)
-    return stored(rows.join(marks, "doc_id"))
+    # texts without a label are left out before the shuffle, as far as the slots of labelled ids tell them apart
+    slot = F.xxhash64("doc_id").bitwiseAND(LABEL_SLOTS - 1).alias("slot")
+    slots = marks.select(slot).distinct()
+    likely = rows.withColumn("slot", slot).join(F.broadcast(slots), "slot", "left_semi").drop("slot")
+    return stored(likely.join(marks, "doc_id"))
 
 
 def class_counts(train: DataFrame) -> np.ndarray:
@@ -167,9 +173,19 @@ def fit(train: DataFrame) -> Model:
     for label in (0, 1):
         part = train.where(F.col("y") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS // 2)
         some = part if some is None else some.unionByName(part)
-    sample = some.select("doc_id", "y", "text").toArrow().sort_by("doc_id")
+
+    def describe(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows, found = features(batch.column("text"))
+        offsets = np.searchsorted(rows, np.arange(batch.num_rows + 1)).astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("y"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.astype(np.int32)))],
+            names=["doc_id", "y", "found"])
+
+    sample = batched(some.select("doc_id", "y", "text")).mapInArrow(
+        per_batch(describe), "doc_id long, y int, found array<int>").toArrow().sort_by("doc_id")
     y = sample["y"].to_numpy().astype(float)
-    rows, found = features(sample["text"].combine_chunks() if sample.num_rows else pa.array([], pa.string()))
+    lists = sample["found"].combine_chunks()
+    rows, found = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy().astype(np.int64)
     cut = np.searchsorted(rows, np.arange(len(y) + 1))
     index = [found[a:b] for a, b in zip(cut[:-1], cut[1:])]
     value = [scale[i] / max(np.linalg.norm(scale[i]), 1e-9) for i in index]
