@@ -2,8 +2,8 @@
 
 Each document is the set of its distinct word shingles. Documents with equal sets are one class. Two sets that reach
 the similarity share a token among the first of each in any common order (prefix filter); the order puts
-tokens that many documents hold last, so that shared passages do not bring strangers together. Classes that
-share such a token meet in the block of the smallest class that holds it.
+tokens that many documents hold last, so that shared passages do not bring strangers together. Classes of
+neighbouring size bands that share such a token meet in the block of the smallest of them.
 
 A block is searched with signature trees. A class's signature is a bitmap of its tokens; a node of the tree holds the
 OR of its children's bitmaps and their range of sizes. Pairs of nodes are followed from the roots down and
@@ -37,7 +37,9 @@ from waybridge.llm.components import components
 
 SHINGLE, PERCENT = 3, 90
 #: Slots in which documents per token are counted, to order tokens; the order does not change results.
-SLOT_BITS = 20
+SLOT_BITS = 22
+#: Slots of a table that is broadcast to leave rows out before a shuffle; bounds its rows.
+FILTER_SLOTS = 1 << 20
 #: Classes in a leaf of a block, children of a tree node, and widest signature in bits.
 LEAF, FANOUT, WIDEST = 256, 8, 1 << 17
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -86,14 +88,16 @@ def token_sets(column: pa.Array, shingle: int, ranks: np.ndarray | None = None)
 def token_ranks(docs: DataFrame, shingle: int) -> np.ndarray:
     """Rank per slot of token hashes: 0, or the logarithm of the documents in a slot that stands out."""
     def count(batches):
-        seen = np.zeros(1 << SLOT_BITS, np.int64)
+        seen, held, size = np.zeros(1 << SLOT_BITS, np.int64), [], 0
         for batch in batches:
             for tokens in token_sets(batch.column("text"), shingle):
-                seen += np.bincount(tokens >> (56 - SLOT_BITS), minlength=1 << SLOT_BITS) if len(tokens) > 4096 else 0
-                if len(tokens) <= 4096:
-                    # tokens of a text are distinct, slots may not be
-                    np.add.at(seen, tokens >> (56 - SLOT_BITS), 1)
-        heavy = np.flatnonzero(seen > 16 + 4 * seen.mean())
+                held.append((tokens >> (56 - SLOT_BITS)).astype(np.int32))
+                size += len(tokens)
+            if size > 1 << SLOT_BITS:
+                seen += np.bincount(np.concatenate(held), minlength=len(seen))
+                held, size = [], 0
+        seen += np.bincount(np.concatenate([*held, np.zeros(0, np.int32)]), minlength=len(seen))
+        heavy = np.flatnonzero(seen > 4 + 4 * seen.mean())
         yield pa.RecordBatch.from_arrays([pa.array(heavy), pa.array(seen[heavy])], names=["slot", "n"])
 
     rows = batched(docs.select("text")).mapInArrow(count, "slot long, n long").groupBy("slot").agg(
@@ -206,9 +210,10 @@ def _one_width(bits: list[bytes]) -> np.ndarray:
     return np.stack([b if len(b) * 8 == narrow else np.bitwise_or.reduce(b.reshape(-1, narrow // 8), axis=0) for b in out])
 
 
-def search(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+def search(rows: list[tuple], percent: int, spare: int = 0) -> list[tuple[int, int]]:
     """Links that would join components, most promising first, for the classes of one pair of leaves.
 
+    Beyond one link for each two components, ``spare`` more per such link are proposed, in case the first is refuted.
     ``rows`` hold (side, class, size, first token, tie, bitmap, refuted partners); side 2 is empty when a leaf meets itself.
     """
     rows = sorted(rows, key=lambda r: (r[0], r[3], r[2], r[1]))
@@ -231,21 +236,25 @@ def search(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
             x = up
         return x
 
-    out = []
+    out, more = [], []
     for k in np.lexsort((name[j], name[i], -overlap / (sizes[i] + sizes[j] + 1))).tolist() if len(i) else ():
         a, b = int(i[k]), int(j[k])
         low, high = (a, b) if name[a] < name[b] else (b, a)
+        if low == high or ties[a] == ties[b] or (link := (int(name[low]), int(name[high]))) in refuted:
+            continue
         x, y = find(int(ties[a])), find(int(ties[b]))
-        if x != y and (int(name[low]), int(name[high])) not in refuted:
+        if x != y:
             root[x] = y
-            out.append((int(name[low]), int(name[high])))
-    return out
+            out.append(link)
+        else:
+            more.append(link)
+    return out + list(dict.fromkeys(more))[:spare * len(out)]
 
 
 _PAIR = ["leader", "band1", "leaf1", "band2", "leaf2"]
 
 
-def _proposed(work: DataFrame, percent: int) -> DataFrame:
+def _proposed(work: DataFrame, percent: int, spare: int) -> DataFrame:
     """Search every pair of leaves; rows of a pair follow one another inside a partition."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -261,19 +270,26 @@ def _proposed(work: DataFrame, percent: int) -> DataFrame:
                 now = tuple(keys[a].tolist())
                 if now != key:
                     if len(held) > 1:
-                        found += search(held, percent)
+                        found += search(held, percent, spare)
                     held, key = [], now
                 held += rows[a:b]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], schema=schema)
-        if len(held) > 1 and (found := search(held, percent)):
+        if len(held) > 1 and (found := search(held, percent, spare)):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], schema=schema)
 
     ordered = work.repartition(*_PAIR).sortWithinPartitions(*_PAIR)
     return batched(ordered).mapInArrow(run, "a long, b long").distinct()
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, shingle: int, ranks) -> DataFrame:
+def _slotted(rows: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
+    """Rows that may have their key in ``wanted``: a broadcast of at most ``FILTER_SLOTS`` slots leaves out the others."""
+    slot = F.xxhash64(*keys).bitwiseAND(FILTER_SLOTS - 1)
+    slots = wanted.select(slot.alias("_slot")).distinct()
+    return rows.withColumn("_slot", slot).join(F.broadcast(slots), "_slot", "left_semi").drop("_slot")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, shingle: int, ranks, repeated: bool) -> DataFrame:
     """(cls, tokens, bits, first) of the classes in ``wanted`` (cls, doc_id, version), from their texts."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = token_sets(batch.column("text"), shingle, ranks.value)
@@ -281,10 +297,31 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int, ranks) -> DataFrame:
             [batch.column("cls"), _arrays(sets), pa.array([signature(s).tobytes() for s in sets], pa.binary()),
              pa.array([int(s[0]) for s in sets], pa.int64())], names=["cls", "tokens", "bits", "first"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_version"), "text")
-    texts = rows.join(wanted, F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_version") == F.col("version")))
-    return stored(batched(texts.select("cls", "text")).mapInArrow(
-        per_batch(run), "cls long, tokens array<long>, bits binary, first long").dropDuplicates(["cls"]))
+    key = ["doc_id", "version"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
+    rows = _slotted(rows, key, wanted).withColumnsRenamed({"doc_id": "own_id", "version": "own_version"})
+    texts = rows.join(wanted, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_version") == F.col("version"))).select("cls", "text")
+    return stored(batched(texts.dropDuplicates(["cls"]) if repeated else texts).mapInArrow(
+        per_batch(run), "cls long, tokens array<long>, bits binary, first long"))
+
+
+def _blocks(heads: DataFrame, percent: int) -> DataFrame:
+    """(leader, cls, n, band) of classes that share a prefix token with another one of about their size.
+
+    Partners differ in size by the similarity at most, so they are in one band or in two neighbours: a token is looked at
+    per pair of neighbouring bands. Two classes are named by the smallest and largest of their group; only tokens of
+    larger groups are joined back.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("long")
+    placed = heads.select("cls", "n", band.alias("band"), F.explode(F.array(band, band + 1)).alias("pair"), "prefix")
+    tokens = placed.select("cls", "n", "band", "pair", F.explode("prefix").alias("token"))
+    named = F.struct("cls", "n", "band")
+    groups = stored(tokens.groupBy("token", "pair").agg(
+        F.min(named).alias("low"), F.max(named).alias("high"), F.count(F.lit(1)).alias("m")).where("m > 1"))
+    large = groups.where("m > 2").select("token", "pair", F.col("low.cls").alias("leader"))
+    many = _slotted(tokens, ["token", "pair"], large).join(large, ["token", "pair"]).select("leader", "cls", "n", "band")
+    two = groups.where("m = 2").select(F.col("low.cls").alias("leader"), F.explode(F.array("low", "high")).alias("s")).select("leader", "s.*")
+    return stored(many.unionByName(two).distinct())
 
 
 def classes_and_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -297,12 +334,9 @@ def classes_and_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
     members = rows.select("row", "doc_id", "version", *same).join(classes, same, "left").drop("d1", "d2")
     heads = rows.join(classes.select("cls"), F.col("row") == F.col("cls")).select(
         "cls", F.col("n_shingles").alias("n"), "doc_id", "version", "prefix")
-    tokens = heads.select("cls", "n", F.explode("prefix").alias("token"))
-    shared = tokens.groupBy("token").agg(F.min("cls").alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    blocks = stored(tokens.join(shared, "token").select("leader", "cls", "n").distinct())
-    sets = _sets(docs, blocks.select("cls").distinct().join(heads.drop("prefix", "n"), "cls"), shingle, ranks)
-    # partners differ in size by the similarity at most, so they are in one band or in two neighbours
-    banded = blocks.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("long"))
+    banded = _blocks(heads, percent)
+    repeated = not rows.where("n_shingles > 0").groupBy("doc_id", "version").count().where("count > 1").isEmpty()
+    sets = _sets(docs, banded.select("cls").distinct().join(heads.drop("prefix", "n"), "cls"), shingle, ranks, repeated)
     counted = banded.groupBy("leader", "band").agg(F.ceil(F.count(F.lit(1)) / LEAF).alias("leaves"))
     leafed = stored(banded.join(counted, ["leader", "band"]).withColumn(
         "leaf", F.pmod(F.xxhash64("cls"), F.col("leaves"))).drop("leaves"))
@@ -329,7 +363,8 @@ def classes_and_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
                 known, ["leader", "band", "leaf"]).select(
                 *_PAIR, F.lit(k).alias("side"), "cls", "n", "first", "tie", "bits", "refuted")
             work = part if work is None else work.unionByName(part)
-        proposed = stored(_proposed(work, percent))
+        # a block whose links are refuted proposes four times as many in the next turn
+        proposed = stored(_proposed(work, percent, 4 ** turn if turn else 0))
         if proposed.isEmpty():
             if turn:
                 break
@@ -338,9 +373,11 @@ def classes_and_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
             both = F.size(F.array_intersect("a_tokens", "b_tokens"))
             checked = stored(proposed.join(sided("a"), "a").join(sided("b"), "b").select("a", "b", (
                 both * (100 + percent) >= percent * (F.size("a_tokens") + F.size("b_tokens"))).alias("linked")))
-            links = links.unionByName(checked.where("linked").drop("linked"))
             refuted = refuted.unionByName(checked.where("not linked").drop("linked"))
-            tied = components(links)
+            new = checked.where("linked").drop("linked")
+            if not new.isEmpty():
+                links = links.unionByName(new)
+                tied = components(links)
         turn += 1
     return members, tied
 
