@@ -97,6 +97,17 @@ def test_no_pair_above_the_limit_is_pruned():
     assert len(wide.levels) == 3
 
 
+def test_sets_that_reach_the_limit_share_a_key():
+    rng = np.random.default_rng(4)
+    for percent in (60, 80, 90, 95):
+        for _ in range(400):
+            x = np.unique(rng.integers(0, 1 << 40, rng.integers(1, 120)))
+            y = np.unique(np.concatenate([x[rng.random(len(x)) > rng.choice([0, 0.05, 0.1])], rng.integers(0, 1 << 40, rng.integers(0, 12))]))
+            both = len(np.intersect1d(x, y))
+            if len(y) and both < len(x) + len(y) - both and 100 * both >= percent * (len(x) + len(y) - both):
+                assert set(signature_join.block_keys(x, percent).tolist()) & set(signature_join.block_keys(y, percent).tolist())
+
+
 def test_components_of_long_chains(spark):
     chain = [(i, i + 1) for i in range(300)] + [(1000, 1002), (1001, 1002), (5000, 5000)]
     random.Random(3).shuffle(chain)

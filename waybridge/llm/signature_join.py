@@ -1,9 +1,10 @@
 """N-gram Jaccard join with signature trees.
 
 Each document is the set of its distinct word shingles. Documents with equal sets are one class. Two sets that reach
-the similarity share a token among the first of each in any common order (prefix filter); the order puts
-tokens that many documents hold last, so that shared passages do not bring strangers together. Classes of
-neighbouring size bands that share such a token meet in the block of the smallest of them.
+the similarity differ in few tokens. In any common order, and among the first tokens twice as many as may differ plus
+two, some neighbouring pair is therefore the same in both; classes that share such a pair meet in the block of the
+smallest of them. A passage that many documents share seldom leaves neighbours together, since other tokens fall
+between; the order also puts tokens that many documents hold last.
 
 A block is searched with signature trees. A class's signature is a bitmap of its tokens; a node of the tree holds the
 OR of its children's bitmaps and their range of sizes. Pairs of nodes are followed from the roots down and
@@ -107,8 +108,20 @@ def token_ranks(docs: DataFrame, shingle: int) -> np.ndarray:
     return ranks
 
 
-def _prefix(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+def block_keys(tokens: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of which two sets that reach the similarity, and are not equal, share one.
+
+    With t the similarity and n tokens, a partner differs in at most d = n (1 - t) / t tokens in all. Of the 2 d + 1
+    neighbouring pairs among the first 2 d + 2 tokens of both sets together each differing token spoils two, so
+    one is whole in both sets. From 0.8 on a set has that many tokens; below, single tokens of the prefix
+    that two sets must share are the keys.
+    """
+    n = len(tokens)
+    if percent < 80:
+        return tokens[:n - -(-percent * n // 100) + 1]
+    d = n * (100 - percent) // percent
+    first = tokens[:2 * d + 2].astype(np.uint64)
+    return mix(first[:-1] * np.uint64(3) + first[1:]).astype(np.int64) if d else tokens[:0]
 
 
 def _arrays(values: list[np.ndarray]) -> pa.Array:
@@ -117,18 +130,18 @@ def _arrays(values: list[np.ndarray]) -> pa.Array:
 
 
 def described(docs: DataFrame, shingle: int, percent: int, ranks) -> DataFrame:
-    """(row, doc_id, version, n_shingles, d1, d2, prefix) of every document, written once."""
+    """(row, doc_id, version, n_shingles, d1, d2, keys) of every document, written once."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = token_sets(batch.column("text"), shingle, ranks.value)
         digest = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("version"), pa.array([len(s) for s in sets], pa.int64()),
-             pa.array(digest[:, 0]), pa.array(digest[:, 1]), _arrays([s[:_prefix(len(s), percent)] for s in sets])],
-            names=["doc_id", "version", "n_shingles", "d1", "d2", "prefix"])
+             pa.array(digest[:, 0]), pa.array(digest[:, 1]), _arrays([block_keys(s, percent) for s in sets])],
+            names=["doc_id", "version", "n_shingles", "d1", "d2", "keys"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
     return stored(batched(rows).mapInArrow(
-        per_batch(run), "doc_id long, version long, n_shingles long, d1 long, d2 long, prefix array<long>").withColumn(
+        per_batch(run), "doc_id long, version long, n_shingles long, d1 long, d2 long, keys array<long>").withColumn(
         "row", F.monotonically_increasing_id()))
 
 
@@ -306,22 +319,17 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int, ranks, repeated: boo
 
 
 def _blocks(heads: DataFrame, percent: int) -> DataFrame:
-    """(leader, cls, n, band) of classes that share a prefix token with another one of about their size.
+    """(leader, cls, n, band) of classes that share a key with another one.
 
-    Partners differ in size by the similarity at most, so they are in one band or in two neighbours: a token is looked at
-    per pair of neighbouring bands. Two classes are named by the smallest and largest of their group; only tokens of
-    larger groups are joined back.
+    Keys are counted by their least and largest class, which adds up before the shuffle; only keys of two or more classes are
+    joined back. Partners differ in size by the similarity at most, so they are in one band or in two neighbours.
     """
+    keys = heads.select("cls", F.explode("keys").alias("key"))
+    shared = stored(keys.groupBy("key").agg(F.min("cls").alias("leader"), F.max("cls").alias("last")).where(
+        "leader < last").drop("last"))
+    held = stored(_slotted(keys, ["key"], shared).join(shared, "key").select("leader", "cls").distinct())
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("long")
-    placed = heads.select("cls", "n", band.alias("band"), F.explode(F.array(band, band + 1)).alias("pair"), "prefix")
-    tokens = placed.select("cls", "n", "band", "pair", F.explode("prefix").alias("token"))
-    named = F.struct("cls", "n", "band")
-    groups = stored(tokens.groupBy("token", "pair").agg(
-        F.min(named).alias("low"), F.max(named).alias("high"), F.count(F.lit(1)).alias("m")).where("m > 1"))
-    large = groups.where("m > 2").select("token", "pair", F.col("low.cls").alias("leader"))
-    many = _slotted(tokens, ["token", "pair"], large).join(large, ["token", "pair"]).select("leader", "cls", "n", "band")
-    two = groups.where("m = 2").select(F.col("low.cls").alias("leader"), F.explode(F.array("low", "high")).alias("s")).select("leader", "s.*")
-    return stored(many.unionByName(two).distinct())
+    return held.join(heads.select("cls", "n"), "cls").withColumn("band", band)
 
 
 def classes_and_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -333,10 +341,10 @@ def classes_and_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
     classes = rows.where("n_shingles > 0").groupBy(*same).agg(F.min("row").alias("cls"))
     members = rows.select("row", "doc_id", "version", *same).join(classes, same, "left").drop("d1", "d2")
     heads = rows.join(classes.select("cls"), F.col("row") == F.col("cls")).select(
-        "cls", F.col("n_shingles").alias("n"), "doc_id", "version", "prefix")
+        "cls", F.col("n_shingles").alias("n"), "doc_id", "version", "keys")
     banded = _blocks(heads, percent)
     repeated = not rows.where("n_shingles > 0").groupBy("doc_id", "version").count().where("count > 1").isEmpty()
-    sets = _sets(docs, banded.select("cls").distinct().join(heads.drop("prefix", "n"), "cls"), shingle, ranks, repeated)
+    sets = _sets(docs, banded.select("cls").distinct().join(heads.drop("keys", "n"), "cls"), shingle, ranks, repeated)
     counted = banded.groupBy("leader", "band").agg(F.ceil(F.count(F.lit(1)) / LEAF).alias("leaves"))
     leafed = stored(banded.join(counted, ["leader", "band"]).withColumn(
         "leaf", F.pmod(F.xxhash64("cls"), F.col("leaves"))).drop("leaves"))
