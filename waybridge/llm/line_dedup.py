@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from waybridge.llm.common import stored
+from waybridge.llm.common import discard, stored
 
 LEAST_CHARS, LEAST_DOCS = 40, 5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -42,11 +42,13 @@ def dropped_places(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs:
     """(doc_id, version, pos) of every line that loses its place."""
     hashed = ["h1", "h2"]
     # the cut is written, so all later steps see the same ranges
+    found = stored(_places(docs, least_chars))
     places = stored(
-        stored(_places(docs, least_chars))
+        found
         .repartitionByRange("h1", "h2", F.col("doc_id").desc_nulls_last(), "pos")
         .withColumn("slice", F.spark_partition_id())
         .sortWithinPartitions("h1", "h2", F.col("doc_id").desc_nulls_last(), "pos"))
+    discard(found)
     stream = Window.partitionBy("slice", *hashed).orderBy(F.col("doc_id").desc_nulls_last(), "pos")
     parts = (
         places.withColumn("new", F.row_number().over(stream) == 1)

@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from waybridge.llm.common import batched, mix, objects, per_batch, record_batch, stored
+from waybridge.llm.common import batched, discard, mix, objects, per_batch, record_batch, stored
 
 #: Hashed n-grams; bounds the model and the count tables.
 FEATURE_BITS = 18
@@ -203,6 +203,14 @@ def fit(train: DataFrame) -> Model:
     return model
 
 
+def learned(docs: DataFrame, labels: DataFrame, folds: int, held_out: int) -> Model:
+    """Model from the labelled rows outside the held-out fold."""
+    train = labelled(docs, labels, folds, held_out)
+    model = fit(train)
+    discard(train)
+    return model
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Score of every whole text, in column ``score`` behind the columns of ``docs``' doc_id."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -230,7 +238,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -> DataFrame:
     """Learn from the labelled rows outside the held-out fold and score every row."""
-    model = fit(labelled(docs, labels, folds, held_out))
+    model = learned(docs, labels, folds, held_out)
     return score(docs, model).select(
         "doc_id", (fold(F.col("doc_id"), folds) == held_out).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -33,7 +33,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from waybridge.llm.common import batched, mix, per_batch, stored
+from waybridge.llm.common import batched, discard, mix, per_batch, stored
 from waybridge.llm.components import components
 
 SHINGLE, PERCENT = 3, 90
@@ -321,13 +321,18 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int, ranks, repeated: boo
 def _blocks(heads: DataFrame, percent: int) -> DataFrame:
     """(leader, cls, n, band) of classes that share a key with another one.
 
-    Keys are counted by their least and largest class, which adds up before the shuffle; only keys of two or more classes are
-    joined back. Partners differ in size by the similarity at most, so they are in one band or in two neighbours.
+    Keys are counted by their least and largest class, which adds up before the shuffle; two classes of a key are named by these, and
+    only keys of more classes are joined back. Partners differ in size by the similarity at most, so they are in one band or in
+    two neighbours.
     """
     keys = heads.select("cls", F.explode("keys").alias("key"))
-    shared = stored(keys.groupBy("key").agg(F.min("cls").alias("leader"), F.max("cls").alias("last")).where(
-        "leader < last").drop("last"))
-    held = stored(_slotted(keys, ["key"], shared).join(shared, "key").select("leader", "cls").distinct())
+    shared = stored(keys.groupBy("key").agg(
+        F.min("cls").alias("leader"), F.max("cls").alias("last"), F.count(F.lit(1)).alias("m")).where("m > 1"))
+    large = shared.where("m > 2").select("key", "leader")
+    many = _slotted(keys, ["key"], large).join(large, "key").select("leader", "cls")
+    two = shared.where("m = 2").select("leader", F.explode(F.array("leader", "last")).alias("cls"))
+    held = stored(many.unionByName(two).distinct())
+    discard(shared)
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("long")
     return held.join(heads.select("cls", "n"), "cls").withColumn("band", band)
 
@@ -336,15 +341,17 @@ def classes_and_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
     """Rows (row, doc_id, version, n_shingles, cls) of all documents and components (node, component) of classes."""
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(token_ranks(docs, shingle))
-    rows = described(docs, shingle, percent, ranks)
+    keyed = described(docs, shingle, percent, ranks)
     same = ["d1", "d2", "n_shingles"]
-    classes = rows.where("n_shingles > 0").groupBy(*same).agg(F.min("row").alias("cls"))
-    members = rows.select("row", "doc_id", "version", *same).join(classes, same, "left").drop("d1", "d2")
-    heads = rows.join(classes.select("cls"), F.col("row") == F.col("cls")).select(
-        "cls", F.col("n_shingles").alias("n"), "doc_id", "version", "keys")
-    banded = _blocks(heads, percent)
-    repeated = not rows.where("n_shingles > 0").groupBy("doc_id", "version").count().where("count > 1").isEmpty()
-    sets = _sets(docs, banded.select("cls").distinct().join(heads.drop("keys", "n"), "cls"), shingle, ranks, repeated)
+    classes = stored(keyed.where("n_shingles > 0").groupBy(*same).agg(F.min("row").alias("cls")))
+    members = stored(keyed.select("row", "doc_id", "version", *same).join(classes, same, "left").drop("d1", "d2"))
+    heads = keyed.join(classes.select("cls"), F.col("row") == F.col("cls")).select(
+        "cls", F.col("n_shingles").alias("n"), "keys")
+    banded = stored(_blocks(heads, percent))
+    discard(keyed)
+    repeated = not members.where("cls is not null").groupBy("doc_id", "version").count().where("count > 1").isEmpty()
+    first = members.where("row = cls").select("cls", "doc_id", "version")
+    sets = _sets(docs, first.join(banded.select("cls").distinct(), "cls"), shingle, ranks, repeated)
     counted = banded.groupBy("leader", "band").agg(F.ceil(F.count(F.lit(1)) / LEAF).alias("leaves"))
     leafed = stored(banded.join(counted, ["leader", "band"]).withColumn(
         "leaf", F.pmod(F.xxhash64("cls"), F.col("leaves"))).drop("leaves"))
@@ -363,7 +370,12 @@ def classes_and_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
             pairs = pairs.where("leaf1 = 0 or (band1 = band2 and leaf1 = leaf2)")
         pairs = pairs.select(*_PAIR)
         against = refuted.groupBy("a").agg(F.collect_set("b").alias("refuted"))
-        known = now.join(sets.select("cls", "bits", "first"), "cls").join(against, F.col("cls") == F.col("a"), "left").drop("a")
+        # only leaves that are searched move bitmaps
+        wanted = pairs.select("leader", F.inline(F.array(*[
+            F.struct(F.col(f"band{k}").alias("band"), F.col(f"leaf{k}").alias("leaf")) for k in (1, 2)]))).distinct()
+        now = now.join(wanted, ["leader", "band", "leaf"])
+        known = now.join(_slotted(sets.select("cls", "bits", "first"), ["cls"], now), "cls").join(
+            against, F.col("cls") == F.col("a"), "left").drop("a")
         work = None
         for k in (1, 2):
             mine = pairs if k == 1 else pairs.where("band1 <> band2 or leaf1 <> leaf2")
@@ -377,7 +389,9 @@ def classes_and_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
             if turn:
                 break
         else:
-            sided = lambda c: sets.select(F.col("cls").alias(c), F.col("tokens").alias(f"{c}_tokens"))
+            sided = lambda c: _slotted(
+                sets.select("cls", "tokens"), ["cls"], proposed.select(F.col(c).alias("cls"))).select(
+                F.col("cls").alias(c), F.col("tokens").alias(f"{c}_tokens"))
             both = F.size(F.array_intersect("a_tokens", "b_tokens"))
             checked = stored(proposed.join(sided("a"), "a").join(sided("b"), "b").select("a", "b", (
                 both * (100 + percent) >= percent * (F.size("a_tokens") + F.size("b_tokens"))).alias("linked")))
@@ -387,6 +401,8 @@ def classes_and_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
                 links = links.unionByName(new)
                 tied = components(links)
         turn += 1
+        discard(proposed)
+    discard(sets)
     return members, tied
 
 
