@@ -24,7 +24,7 @@ SHINGLE, PERCENT = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = nb_svm.fit(nb_svm.labelled(docs, table(spark, sf_dir, "labels"), FOLDS, HELD_OUT))
+    model = nb_svm.learned(docs, table(spark, sf_dir, "labels"), FOLDS, HELD_OUT)
     return nb_svm.keep_good(docs.select(COLUMNS), model)
 
 
