@@ -405,3 +405,62 @@ LOOSE_CAPTIONS = [r"目的国\)?", r"发货国\)?"]
 # ---- evaluation -------------------------------------------------------------
 GRADE_RANK = {"low": 0, "medium": 1, "high": 2}
 LEVEL_OF_GRADE = {"low": "green", "medium": "yellow", "high": "red"}
+
+# ---- rail consignment forms: fixed values ------------------------------------
+# captions that may stand on a line of their own: field -> words (fixed values)
+LINE_CAPTIONS = {
+    "consignor_name": ["发货人", "发件人", "售方", "SELLER", "SHIPPER", "Consignor", "Отправитель"],
+    "consignee_name": ["收货人", "收件人", "买方", "BUYER", "CONSIGNEE", "Receiver", "Получатель"],
+    "goods_description": ["货物描述", "品名", "DESCRIPTION OF GOODS", "Goods"],
+    "total_packages": ["件数", "箱数", "TOTAL PACKAGES", "Number of Packages"],
+    "gross_weight_kg": ["毛重", "GROSS WEIGHT", "Вес брутто"],
+    "net_weight_kg": ["净重", "NET WEIGHT", "Вес нетто"],
+    "container_no": ["集装箱号", "箱号", "CONTAINER NO", "Container"],
+    "seal_no": ["封印号", "铅封号", "封志", "SEAL NO", "Пломба"],
+    "packing_type": ["包装种类", "包装方式", "PACKING TYPE", "Kind of Package"],
+}
+# numbered boxes of the rail consignment form: field -> box numbers, words (fixed values)
+BOX_CAPTIONS = {
+    "consignor_name": (["1"], ["发货人", "Отправитель", "Sender", "Shipper", "Consignor"]),
+    "departure_station": (["2"], ["发站", "Станция отправления", "Станцияотправления", "Departure Station",
+                                  "Station of Departure"]),
+    "consignee_name": (["4"], ["收货人", "Получатель", "Consignee", "Receiver"]),
+    "destination_station": (["5"], ["到站", "Станция назначения", "Станцияназначения", "Destination Station",
+                                    "Station of Destination"]),
+    "container_no": (["7"], ["集装箱", "Контейнер", "Container", "车辆", "Вагон"]),
+    "goods_description": (["15"], ["货物名称", "Наименование груза", "Наименованиегруза", "Description of Goods"]),
+    "packing_type": (["16"], ["包装种类", "Вид упаковки", "Видупаковки", "Род упаковки", "Родупаковки",
+                              "Kind of Package", "Packing Type"]),
+    "total_packages": (["17", "14"], ["件数", "Число мест", "Числомест", "Number of Packages", "No. of Packages"]),
+    "gross_weight_kg": (["18", "13"], ["毛重", "Вес брутто", "Весбрутто", "Масса брутто", "Gross Weight"]),
+    "net_weight_kg": (["18", "13"], ["净重", "Вес нетто", "Веснетто", "Масса нетто", "Net Weight"]),
+    "seal_no": (["19"], ["封印", "Пломба", "Пломбы", "Seal"]),
+    "carrier_segments": (["22"], ["承运人", "Перевозчик", "Carrier"]),
+    "attached_documents": (["24"], ["随附文件", "添附的文件", "Приложенные документы", "Приложенныедокументы",
+                                    "Attached Documents", "Документы"]),
+    "waybill_no": ([], ["运单号", "Номер накладной", "Номернакладной", "Waybill No"]),
+    "destination_country": ([], ["运抵国", "到达国家", "Destination Country"]),
+    "currency": ([], ["币种", "Валюта", "Currency"]),
+    "cargo_value": ([], ["货值", "货物价值", "Стоимость груза", "Стоимостьгруза", "Cargo Value", "Value of Goods"]),
+}
+NET_WORDS = ["净重", "Вес нетто", "Веснетто", "Масса нетто", "Net Weight"]
+GROSS_WORDS = ["毛重", "Вес брутто", "Весбрутто", "Масса брутто", "Gross Weight"]
+WEIGHT_WORDS = ["重量", "Вес", "Масса", "Weight"]
+CURRENCY_PATTERN = r"\b(CNY|RMB|USD|EUR|RUB|KZT|CHF|GBP|JPY)\b|(人民币|美元|欧元|卢布|坚戈)"
+NUMBER_IN_TEXT = r"((?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?)"
+CONTAINER_IN_TEXT = r"\b([A-Z]{4}\d{7})(?![0-9])"
+WEIGHT_RANGE = (30, 100000)
+# unnumbered headings inside a box, which are neither values nor the start of another box
+BOX_HEADINGS = ["签字", "Подпись", "数量", "记号", "знаки", "К-во", "车站代码", "коды станций", "换装后", "После перегрузки",
+                "Масса груза", "К-во мест", "Пограничные станции", "Масса (в кг)", "Род упаковки", "缔约承运人",
+                "Договорный перевозчик", "Оригинал накладной"]
+# words that belong to an address or to contact data
+ADDRESS_WORDS = ["УНП", "ИНН", "ОКПО", "ТГНЛ", "统一社会信用代码", "邮编", "Почтовый", "индекс", "тел.", "Телефон", "fax", "@",
+                 "г. ", "ул.", "пр-т", "проспект", "улица", ".street", "road", "楼", "室", "号院", "省", "市", "区", "县", "街道",
+                 "开发区", "region", "city", "province", "область", "город", "район"]
+# what a registered name ends with, and the legal forms that stand before one
+COMPANY_ENDINGS = ["公司", "厂", "集团", "中心", "有限公司", "株式会社", "GmbH", "LLC", "Ltd"]
+LEGAL_FORMS = ["ООО", "OOO", "ОАО", "ЗАО", "ПАО", "АО", "ИП"]
+# texts that are a legal form and nothing else
+BARE_FORMS = ["ООО", "ОАО", "ЗАО", "ПАО", "АО", "ИП", "КХ", "Co. Ltd", "Co., Ltd", "Co Ltd", "Co, Ltd", "Company", "公司", "株式会社"]
+KG_WORDS = ["kg", "kgs", "кг", "公斤", "千克"]
