@@ -133,6 +133,10 @@ def link_rows(requests: DataFrame) -> DataFrame:
     return requests.select("batch_id", F.posexplode(F.array_distinct("trip_nos")).alias("seq", "trip_no"))
 
 
+#: A day and type has batch numbers 01 to 99.
+LAST_BATCH = 99
+
+
 def assign_batch_ids(requests: DataFrame, existing: DataFrame, order: str = "request_order") -> DataFrame:
     """``BATCH-date-TYPE-NN`` with the first free NN of the day and type."""
     tag = F.when(F.col("batch_type") == "prepay", "PREPAY").otherwise("COST")
@@ -140,7 +144,7 @@ def assign_batch_ids(requests: DataFrame, existing: DataFrame, order: str = "req
     taken = existing.select(
         F.regexp_extract("batch_id", r"^(.*)-\d{2}$", 1).alias("base"),
         F.regexp_extract("batch_id", r"-(\d{2})$", 1).try_cast("int").alias("suffix"))
-    return assign_numbers(requests.withColumn("base", base), taken, order, first=1, always_suffix=True
+    return assign_numbers(requests.withColumn("base", base), taken, order, 1, True, LAST_BATCH
                           ).withColumnRenamed("number", "batch_id").drop("base", "suffix")
 
 

@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from waybridge.functions import text as T
 from waybridge.functions.dates import strict_date, train_type
-from waybridge.operators.ordered import PIECE, position
-
-MAX_SUFFIX = 99
+from waybridge.operators.ordered import PIECE, position, running_total
 
 
 def with_base_number(rows: DataFrame, codes: DataFrame, date: str = "dep_date", station: str = "station",
@@ -42,7 +40,7 @@ def with_base_number(rows: DataFrame, codes: DataFrame, date: str = "dep_date",
 def parsed_number(number: Column) -> Column:
     """Struct ``is_est, dep_date, station, port, dest, train_type, suffix, base``; null when malformed."""
     code = "([A-Z0-9]{1,8})"
-    pattern = rf"^(EST-)?(\d{{8}})-{code}-{code}-{code}-([LT])(?:-(\d{{2}}))?$"
+    pattern = rf"^(EST-)?(\d{{8}})-{code}-{code}-{code}-([LT])(?:-(\d{{2,}}))?$"
     text = F.upper(T.strip(number))
     part = lambda i: F.regexp_extract(text, pattern, i)
     day = F.try_to_date(part(2), "yyyyMMdd")
@@ -60,35 +58,45 @@ def official_base(est_no: Column) -> Column:
     return F.when(parsed["is_est"], parsed["base"])
 
 
+def suffix_text(suffix: Column) -> Column:
+    """At least two digits."""
+    digits = suffix.cast("string")
+    return F.when(F.length(digits) < 2, F.lpad(digits, 2, "0")).otherwise(digits)
+
+
 def with_suffix(base: Column, suffix: Column) -> Column:
-    return F.when(suffix == 0, base).otherwise(F.concat(base, F.lit("-"), F.lpad(suffix.cast("string"), 2, "0")))
+    return F.when(suffix == 0, base).otherwise(F.concat(base, F.lit("-"), suffix_text(suffix)))
 
 
 def assign_numbers(requests: DataFrame, taken: DataFrame, order: str, first: int = 0,
-                   always_suffix: bool = False) -> DataFrame:
+                   always_suffix: bool = False, last: int | None = None) -> DataFrame:
     """Give every request of a base the smallest free suffix, in request order.
 
-    ``requests`` has ``base`` and a growing integer ``order``; ``taken`` has ``base``
-    and ``suffix``. A base has at most a hundred suffixes, so the free ones fit an
-    array; requests are counted piece by piece, and those beyond the last suffix get
+    ``requests`` has ``base`` and a growing integer ``order``; ``taken`` has ``base`` and ``suffix``. Counting
+    goes on as far as needed; only a numbering that has a ``last`` suffix of its own reports the rest in
     ``number_error``.
+
+    No list of free suffixes is built: before the j-th taken suffix t stand t - first - (j - 1) free ones, so
+    the k-th request lies behind all taken suffixes with fewer than k free ones before them, and its suffix is
+    first + k - 1 plus their number. Requests and taken suffixes meet in one running count on that scale.
     """
-    used = (
-        taken.where(F.col("suffix").between(0, MAX_SUFFIX)).groupBy("base")
-        .agg(F.collect_set("suffix").alias("used"))
-    )
+    used = taken.where(F.col("suffix") >= first).select("base", F.col("suffix").cast("long").alias("_s")).distinct()
+    used = position(used, ["base"], ["_s"], F.floor(F.col("_s") / PIECE), "_j").select(
+        "base", (F.col("_s") - first - (F.col("_j") - 1)).alias("_at"), F.lit(1).alias("_taken"))
     counted = position(requests, ["base"], [order], F.floor(F.col(order) / PIECE), "_k")
-    every = F.sequence(F.lit(first), F.lit(MAX_SUFFIX))
-    free = F.array_except(every, F.coalesce("used", F.array().cast("array<int>")))
-    suffix = F.when(F.col("_k") <= F.size(free), F.try_element_at(free, F.col("_k").cast("int")))
-    number = (F.concat(F.col("base"), F.lit("-"), F.lpad(F.col("suffix").cast("string"), 2, "0"))
+    both = counted.withColumn("_at", F.col("_k") - 1).withColumn("_taken", F.lit(0)).unionByName(used, allowMissingColumns=True)
+    # at the same place taken suffixes come first
+    behind = running_total(both, ["base"], ["_at", F.desc("_taken")], F.col("_taken"), F.floor(F.col("_at") / PIECE), "_behind")
+    suffix = (F.lit(first) + F.col("_at") + F.col("_behind")).cast("int")
+    if last is not None:
+        suffix = F.when(suffix <= last, suffix)
+    numbered = behind.where("_taken = 0").withColumn("suffix", suffix)
+    number = (F.concat(F.col("base"), F.lit("-"), suffix_text(F.col("suffix")))
               if always_suffix else with_suffix(F.col("base"), F.col("suffix")))
     return (
-        counted.join(used, "base", "left")
-        .withColumn("suffix", suffix)
-        .withColumn("number", number)
+        numbered.withColumn("number", number)
         .withColumn("number_error", F.when(F.col("suffix").isNull(), "no free suffix"))
-        .drop("_k", "used")
+        .drop("_k", "_at", "_taken", "_behind")
     )
 
 

@@ -38,7 +38,8 @@ def three_way(rows: DataFrame, keys: list[str], pct=C.RECON_WARN_PCT, amount=C.R
               fields: list[str] = C.THREE_WAY_FIELDS) -> DataFrame:
     """Pairwise comparison of the three full-amount figures, one row per pair.
 
-    The percentage test multiplies instead of dividing, which keeps decimals exact.
+    The percentage test multiplies instead of dividing, which keeps decimals exact. ``pct`` and ``amount``
+    are numbers or columns, for instance of ``thresholds(config).select("pct").scalar()``.
     """
     values = {f: money(F.col(f)) for f in fields}
     pairs = [(a, b) for i, a in enumerate(fields) for b in fields[i + 1:]]
@@ -48,8 +49,9 @@ def three_way(rows: DataFrame, keys: list[str], pct=C.RECON_WARN_PCT, amount=C.R
         for a, b in pairs])
     out = rows.select(*keys, F.inline(entries))
     a, b = F.col("a_value"), F.col("b_value")
-    limit_pct = F.lit(str(pct)).cast("decimal(8,4)")
-    limit_amount = F.lit(str(amount)).cast("decimal(18,4)")
+    given = lambda x: x if isinstance(x, Column) else F.lit(str(x))
+    limit_pct = given(pct).cast("decimal(8,4)")
+    limit_amount = given(amount).cast("decimal(18,4)")
     gap = F.abs(F.col("diff"))
     basis = F.greatest(F.abs(a), F.abs(b), F.lit(1).cast("decimal(28,10)"))
     return out.withColumn("diff", a - b).withColumn("flag", F.coalesce(
