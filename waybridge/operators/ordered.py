@@ -21,27 +21,23 @@ def running_total(df: DataFrame, keys: list[str], order: list, value: Column, pi
     ``piece`` is a coarse, order-preserving cut of the order (for instance a
     position divided by 4096): rows of a later piece come after all rows of an
     earlier one. Totals per piece are summed up first, so a hot key is sorted
-    in as many tasks as it has pieces.
+    in as many tasks as it has pieces. Rows are shuffled once, by key and piece;
+    the window, the totals and the join with what earlier pieces carry share it.
     """
-    rows = df.withColumn("_piece", piece).withColumn("_value", value.cast("long"))
-    inside = Window.partitionBy(*keys, "_piece").orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, -1)
-    across = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(
-        Window.unboundedPreceding, -1)
+    # a struct makes null keys equal, and one join key for the shuffle that the window has made
+    rows = df.withColumn("_key", F.struct(*keys) if keys else F.struct(F.lit(0))).withColumn("_piece", piece).withColumn(
+        "_value", value.cast("long"))
+    inside = Window.partitionBy("_key", "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy("_key").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("_run", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
     carried = (
-        rows.groupBy(*keys, "_piece").agg(F.sum("_value").alias("_total"))
-        .withColumn("_carry", F.sum("_total").over(across))
-        .where(F.col("_carry").isNotNull())
-        .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-                F.col("_piece").alias("_kp"), "_carry")
+        placed.groupBy("_key", "_piece").agg(F.sum("_value").alias("_total"))
+        .withColumn("_carry", F.sum("_total").over(across)).drop("_total")
     )
-    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    on.append(F.col("_piece") == F.col("_kp"))
     return (
-        rows.withColumn("_run", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
-        .join(carried, on, "left")
+        placed.join(carried, ["_key", "_piece"])
         .withColumn(out, F.col("_run") + F.coalesce(F.col("_carry"), F.lit(0)))
-        .drop("_piece", "_value", "_run", "_carry", "_kp", *[f"_k{i}" for i in range(len(keys))])
+        .drop("_key", "_piece", "_value", "_run", "_carry")
     )
 
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from waybridge import constants as C
 from waybridge.functions.text import remove_spaces
 from waybridge.operators.extract import captured
-from waybridge.operators.ordered import PIECE, position, running_total
+from waybridge.operators.ordered import PIECE
 
 SMGS_SCORE = 6
 MANY_GROUPS = 10
@@ -65,27 +65,45 @@ def group_pages(pages: DataFrame) -> DataFrame:
 
     A new document starts when the type changes, when a page is unknown, or when a
     page names another identity than the last one named in the same run of pages.
-    Neighbours meet through ``page_no``, which is dense inside a file, and counts are
-    carried piece by piece, so a file may be as long as it likes.
+    Pages are shuffled once, by file and a piece of 4096 page numbers. A piece is read in
+    order as if its first page went on with an unnamed document; one row per piece then
+    tells what came before: whether that page starts a document after all, and whether the
+    first name in its opening run differs from the last one before. So a file may be as
+    long as it likes.
     """
-    piece = F.floor(F.col("page_no") / PIECE)
-    rows = pages.select("file", "page_no", "doc_type", "identity")
-    before = rows.select("file", (F.col("page_no") + 1).alias("page_no"), F.col("doc_type").alias("prev_type"))
-    joined = rows.join(before, ["file", "page_no"], "left")
-    starts = F.col("prev_type").isNull() | (F.col("prev_type") != F.col("doc_type")) | (F.col("doc_type") == C.UNKNOWN)
-    joined = joined.withColumn("starts", starts.cast("int"))
-    runs = running_total(joined, ["file"], ["page_no"], F.col("starts"), piece, "_before")
-    runs = runs.withColumn("run", F.col("_before") + F.col("starts")).drop("_before", "prev_type")
-    named = position(runs.where("identity is not null").select("file", "run", "page_no", "identity"),
-                     ["file", "run"], ["page_no"], F.floor(F.col("page_no") / PIECE), "k")
-    earlier = named.select("file", "run", (F.col("k") + 1).alias("k"), F.col("identity").alias("prev_identity"))
-    splits = named.join(earlier, ["file", "run", "k"]).where(
-        F.col("identity") != F.col("prev_identity")).select("file", "page_no", F.lit(1).alias("split"))
-    marked = runs.join(splits, ["file", "page_no"], "left")
-    marked = marked.withColumn("opens", F.greatest(F.col("starts"), F.coalesce("split", F.lit(0))))
-    numbered = running_total(marked, ["file"], ["page_no"], F.col("opens"), piece, "_before")
-    return numbered.select("file", "page_no", "doc_type", "identity",
-                           (F.col("_before") + F.col("opens")).alias("group_no"))
+    rows = pages.select("file", "page_no", "doc_type", "identity").withColumn("piece", F.floor(F.col("page_no") / PIECE))
+    inside = Window.partitionBy("file", "piece").orderBy("page_no")
+    differs = (F.lag("doc_type").over(inside) != F.col("doc_type")) | (F.col("doc_type") == C.UNKNOWN)
+    rows = rows.withColumn("starts", (differs & (F.row_number().over(inside) > 1)).cast("int"))
+    rows = rows.withColumn("run", F.sum("starts").over(inside))
+    in_run = Window.partitionBy("file", "piece", "run").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
+    renamed = F.coalesce(F.last("identity", ignorenulls=True).over(in_run) != F.col("identity"), F.lit(False))
+    rows = rows.withColumn("opens", F.greatest(F.col("starts"), renamed.cast("int")))
+    rows = rows.withColumn("opened", F.sum("opens").over(inside))
+
+    named = F.col("identity").isNotNull()
+    pieces = rows.groupBy("file", "piece").agg(
+        F.min_by("doc_type", "page_no").alias("first_type"), F.max_by("doc_type", "page_no").alias("last_type"),
+        F.max("run").alias("runs"), F.max("opened").alias("opened_inside"),
+        F.min(F.when(named & (F.col("run") == 0), F.struct("page_no", "identity"))).alias("head"),
+        F.max(F.when(named, F.struct("run", "page_no", "identity"))).alias("tail"))
+    by_piece = Window.partitionBy("file").orderBy("piece")
+    before = F.lag("last_type").over(by_piece)
+    pieces = pieces.withColumn(
+        "starts_here", before.isNull() | (before != F.col("first_type")) | (F.col("first_type") == C.UNKNOWN))
+    # the run that a piece ends with may reach back over several pieces
+    pieces = pieces.withColumn("chain", F.sum((F.col("starts_here") | (F.col("runs") > 0)).cast("int")).over(by_piece))
+    along = Window.partitionBy("file", "chain").orderBy("piece")
+    pieces = pieces.withColumn("last_name", F.last(
+        F.when(F.col("tail.run") == F.col("runs"), F.col("tail.identity")), ignorenulls=True).over(along))
+    known = F.when(~F.col("starts_here"), F.lag("last_name").over(by_piece))
+    pieces = pieces.withColumn("renames_at", F.when(known != F.col("head.identity"), F.col("head.page_no")))
+    total = F.col("opened_inside") + F.col("starts_here").cast("int") + F.col("renames_at").isNotNull().cast("int")
+    pieces = pieces.withColumn("carry", F.coalesce(
+        F.sum(total).over(by_piece.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("starts_here").cast("int"))
+    late = F.coalesce(F.col("page_no") >= F.col("renames_at"), F.lit(False)).cast("int")
+    return rows.join(pieces.select("file", "piece", "carry", "renames_at"), ["file", "piece"]).select(
+        "file", "page_no", "doc_type", "identity", (F.col("carry") + F.col("opened") + late).alias("group_no"))
 
 
 def document_groups(grouped: DataFrame) -> DataFrame:
