@@ -34,16 +34,16 @@ def local_session(name: str = "waybridge", cpus: int | str = "*") -> SparkSessio
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder for intermediate data, named by ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder, because its tasks share the disk.
+    Only a local master, whose tasks share the disk, may go without: then one temporary folder serves the whole application.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
     if folder is None:
-        context = spark.sparkContext
-        if context.getCheckpointDir() is not None:
-            return context.getCheckpointDir()
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="waybridge-")
+        if context.getCheckpointDir() is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="waybridge-"))
+        folder = context.getCheckpointDir()
     return folder
 
 

@@ -123,24 +123,24 @@ def doc_fields(docs: DataFrame) -> DataFrame:
 
 
 def content_versions(docs: DataFrame) -> DataFrame:
-    """Content version per document and per batch.
-
-    A batch version hashes the hashes of its documents in order. The ordered list
-    holds sixteen characters per document; it is the only thing kept per batch.
-    """
-    per_doc = docs.select("batch_id", "doc_index", short_hash(F.concat_ws(
+    """Content version per document: type, id and fields, whatever their order."""
+    return docs.select("batch_id", "doc_index", short_hash(F.concat_ws(
         "|", F.coalesce("doc_type", F.lit("")), F.coalesce("doc_id", F.lit("")),
         canonical_fields(F.col("fields")))).alias("doc_version"))
-    return per_doc
 
 
-def batch_versions(docs: DataFrame) -> DataFrame:
-    """Order-sensitive content version of a batch, built from sums so that it aggregates partially."""
-    versions = content_versions(docs).select(
-        "batch_id", F.xxhash64("doc_index", "doc_version").alias("h").cast("decimal(38,0)").alias("h"))
-    return versions.groupBy("batch_id").agg(
-        F.count("*").alias("n_docs"), F.sum("h").alias("total")).select(
-        "batch_id", short_hash(F.concat_ws("|", "n_docs", "total")).alias("batch_version"))
+def batch_versions(docs: DataFrame, piece: int = 4096) -> DataFrame:
+    """Content version per batch: a hash of its documents' versions in order.
+
+    Versions are hashed in pieces of ``piece`` documents first, then the pieces' hashes, so a batch of any size
+    holds a bounded list per task. The number of documents and the order both count.
+    """
+    ordered = lambda key, value: F.concat_ws(",", F.transform(
+        F.sort_array(F.collect_list(F.struct(key, value))), lambda x: x[value]))
+    pieces = content_versions(docs).withColumn("piece", F.floor(F.col("doc_index") / piece)).groupBy("batch_id", "piece").agg(
+        F.count(F.lit(1)).alias("n"), F.sha2(ordered("doc_index", "doc_version"), 256).alias("hash"))
+    return pieces.groupBy("batch_id").agg(F.sum("n").alias("n_docs"), ordered("piece", "hash").alias("hashes")).select(
+        "batch_id", "n_docs", short_hash(F.concat_ws("|", "n_docs", "hashes")).alias("batch_version"))
 
 
 def assemble_batch(extractions: DataFrame) -> DataFrame:
