@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from demo import views as V
 from demo.registry import query
@@ -60,7 +60,8 @@ def build_numbers(spark, sf_dir):
 
 
 @query("assign_numbers", f"""{V.duck_with('bases')}, {STORED}, req AS (SELECT base, o_orderkey, row_number() OVER (PARTITION BY base ORDER BY o_orderkey) k FROM bases WHERE amt <= 250000),
-free AS (SELECT base, s, row_number() OVER (PARTITION BY base ORDER BY s) k FROM (SELECT DISTINCT base FROM req) r, range(0, 100) t(s) WHERE NOT EXISTS (SELECT 1 FROM stored x WHERE x.base = r.base AND x.suffix = s))
+slots AS (SELECT base, unnest(range(0, n + m + 1)) s FROM (SELECT base, count(*) n FROM req GROUP BY base) JOIN (SELECT count(*) m FROM stored) ON true),
+free AS (SELECT base, s, row_number() OVER (PARTITION BY base ORDER BY s) k FROM slots r WHERE NOT EXISTS (SELECT 1 FROM stored x WHERE x.base = r.base AND x.suffix = s))
 SELECT o_orderkey, coalesce(CAST(s AS INT), -1) AS suffix, coalesce(req.base || CASE WHEN s = 0 THEN '' ELSE '-' || lpad(CAST(s AS VARCHAR), 2, '0') END, '') AS number FROM req LEFT JOIN free ON req.base = free.base AND req.k = free.k""")
 def assign_numbers(spark, sf_dir):
     taken = stored(spark, sf_dir)
@@ -69,13 +70,29 @@ def assign_numbers(spark, sf_dir):
         "o_orderkey", F.coalesce("suffix", F.lit(-1)).alias("suffix"), F.coalesce("number", F.lit("")).alias("number"))
 
 
+# two bases that take half of all orders each, and scattered suffixes in use
+CROWD = "SELECT o_orderkey, '20250101-AA-BB-CC-' || CASE WHEN o_orderkey % 2 = 0 THEN 'T' ELSE 'L' END AS base, amt FROM bases"
+CROWD_TAKEN = f"SELECT DISTINCT base, CAST((o_orderkey * 7) % 3001 AS INT) AS suffix FROM ({CROWD}) WHERE amt > 250000"
+
+
+@query("assign_many_numbers", f"""{V.duck_with('bases')}, crowd AS ({CROWD}), used AS ({CROWD_TAKEN}), req AS (SELECT base, o_orderkey, row_number() OVER (PARTITION BY base ORDER BY o_orderkey) k FROM crowd WHERE amt <= 250000),
+slots AS (SELECT base, unnest(range(0, n + 3002)) s FROM (SELECT base, count(*) n FROM req GROUP BY base)),
+free AS (SELECT s.base, s.s, row_number() OVER (PARTITION BY s.base ORDER BY s.s) k FROM slots s LEFT JOIN used u ON u.base = s.base AND u.suffix = s.s WHERE u.suffix IS NULL)
+SELECT o_orderkey, CAST(s AS INT) AS suffix, req.base || CASE WHEN s = 0 THEN '' WHEN s < 10 THEN '-0' || s ELSE '-' || s END AS number FROM req JOIN free ON req.base = free.base AND req.k = free.k""")
+def assign_many_numbers(spark, sf_dir):
+    """Far more requests per base than a hundred."""
+    V.view(spark, sf_dir, "bases")
+    return N.assign_numbers(spark.sql(f"{CROWD} WHERE amt <= 250000"), spark.sql(CROWD_TAKEN), "o_orderkey").select(
+        "o_orderkey", "suffix", "number")
+
+
 # written numbers with estimates, suffixes and impossible days
 WRITTEN = """SELECT o_orderkey, CASE WHEN mo = 2 THEN replace(base, '01-', '31-') WHEN mo = 3 THEN lower(base) || '-07' WHEN mo = 4 THEN 'EST-' || base
- WHEN mo = 5 THEN base || '-1' WHEN mo = 6 THEN ' EST-' || base || '-12 ' ELSE base END AS number FROM bases"""
+ WHEN mo = 5 THEN base || '-1' WHEN mo = 6 THEN ' EST-' || base || '-12 ' WHEN mo = 7 THEN base || '-123' ELSE base END AS number FROM bases"""
 
 
 @query("parse_numbers", f"""{V.duck_with('bases')}, w AS ({WRITTEN}), m AS (SELECT o_orderkey, upper(trim(number)) t FROM w),
-x AS (SELECT o_orderkey, t, regexp_extract(t, '^(EST-)?([0-9]{{8}})-([A-Z0-9]{{1,8}})-([A-Z0-9]{{1,8}})-([A-Z0-9]{{1,8}})-([LT])(?:-([0-9]{{2}}))?$', ['e', 'd', 's', 'p', 'x', 'k', 'n']) r FROM m)
+x AS (SELECT o_orderkey, t, regexp_extract(t, '^(EST-)?([0-9]{{8}})-([A-Z0-9]{{1,8}})-([A-Z0-9]{{1,8}})-([A-Z0-9]{{1,8}})-([LT])(?:-([0-9]{{2,}}))?$', ['e', 'd', 's', 'p', 'x', 'k', 'n']) r FROM m)
 SELECT o_orderkey, coalesce(try_strptime(nullif(r.d, ''), '%Y%m%d') IS NOT NULL, false) AS ok,
  CASE WHEN try_strptime(nullif(r.d, ''), '%Y%m%d') IS NOT NULL THEN r.e <> '' ELSE false END AS is_est,
  CASE WHEN try_strptime(nullif(r.d, ''), '%Y%m%d') IS NOT NULL THEN CAST(CASE WHEN r.n = '' THEN '0' ELSE r.n END AS INT) ELSE -1 END AS suffix,
@@ -141,6 +158,7 @@ PAIRS = [("dt_supply_100", "ly_advance_100"), ("dt_supply_100", "auth_confirm_10
 THREE = " UNION ALL ".join(
     f"SELECT trip_no, '{a}' AS a_field, '{b}' AS b_field, {duck_double(f'{a} - {b}', 'diff')}, coalesce(abs({a} - {b}) > 5000 OR abs({a} - {b}) * 100 > 5 * greatest(abs({a}), abs({b}), 1), false) AS flag, ({a} - {b}) IS NOT NULL AS comparable FROM settlements"
     for a, b in PAIRS)
+THREE_LIMITS = THREE.replace("> 5000", "> 6").replace("* 100 > 5", "* 100 > 2")
 
 
 @query("three_way", f"{V.duck_with('settlements')} {THREE}")
@@ -149,6 +167,28 @@ def three_way(spark, sf_dir):
     return as_double(rows.drop("a_value", "b_value"), "diff")
 
 
+# thresholds as a key/value table: one key is written twice, one value cannot be read
+CONFIG = """SELECT CASE WHEN r_regionkey IN (1, 2) THEN 'datacheck.recon_warn_pct' WHEN r_regionkey = 3 THEN 'datacheck.recon_warn_amount' ELSE r_name END AS key,
+ CASE WHEN r_regionkey = 2 THEN 'x' ELSE CAST(r_regionkey * 2 AS {text}) END AS value FROM region"""
+
+
+@query("recon_thresholds", f"""WITH c AS ({CONFIG.format(text='VARCHAR')}) SELECT CAST(coalesce(max(CASE WHEN key = 'datacheck.recon_warn_pct' THEN TRY_CAST(value AS DECIMAL(18,4)) END), 5) AS DOUBLE) AS pct,
+ CAST(coalesce(max(CASE WHEN key = 'datacheck.recon_warn_amount' THEN TRY_CAST(value AS DECIMAL(18,4)) END), 5000) AS DOUBLE) AS amount FROM c""")
+def recon_thresholds(spark, sf_dir):
+    V.tables(spark, sf_dir, "region")
+    return as_double(refdata.thresholds(spark.sql(CONFIG.format(text="STRING"))), "pct", "amount")
+
+
+@query("three_way_configured", f"{V.duck_with('settlements')} {THREE_LIMITS}")
+def three_way_configured(spark, sf_dir):
+    """The same comparison with limits from the table: 2 percent and 6."""
+    rows = V.view(spark, sf_dir, "settlements")
+    V.tables(spark, sf_dir, "region")
+    limits = refdata.thresholds(spark.sql(CONFIG.format(text="STRING")))
+    out = RC.three_way(rows, ["trip_no"], limits.select("pct").scalar(), limits.select("amount").scalar())
+    return as_double(out.drop("a_value", "b_value"), "diff")
+
+
 @query("missing_amounts", f"""{V.duck_with('settlements')} SELECT trip_no, concat_ws(',', CASE WHEN rail_freight IS NULL THEN 'rail_freight' END, CASE WHEN settle_total IS NULL THEN 'settle_total' END, CASE WHEN actual_freight IS NULL THEN 'actual_freight' END) AS missing_fields FROM settlements""")
 def missing_amounts(spark, sf_dir):
     rows = RC.missing_fields(V.view(spark, sf_dir, "settlements"), ["trip_no"], C.SETTLEMENT_FIELDS)
@@ -376,6 +416,23 @@ def sheet_grid(spark, sf_dir):
     return rows.unionByName(heads)
 
 
+@query("sheet_problems", f"""{V.duck_with('trips')}, f AS (SELECT DISTINCT c_nationkey FROM customer)
+SELECT 'trips' AS kind, CAST(c_nationkey + 100 AS VARCHAR) AS name, 'no header found' AS error, count(*) AS n FROM f GROUP BY ALL
+UNION ALL SELECT 'list', 'F' || c_nationkey, 'no header found', count(*) FROM f GROUP BY ALL
+UNION ALL SELECT 'trips', CAST(rk AS VARCHAR), 'bad date', count(*) FROM trips WHERE mo = 1 AND st = 'P' GROUP BY rk""")
+def sheet_problems(spark, sf_dir):
+    """Sheets and files without a recognised header leave one error row each."""
+    V.tables(spark, sf_dir, "region", "customer")
+    order = Window.partitionBy("c_nationkey").orderBy("c_custkey")
+    bare = spark.table("customer").select(
+        "c_nationkey", F.row_number().over(order).alias("row_index"), F.array("c_name", text("c_acctbal")).alias("cells"))
+    sheets = sheet_grid(spark, sf_dir).unionByName(bare.select((F.col("c_nationkey") + 100).alias("sheet"), "row_index", "cells"))
+    trips = G.read_trip_sheet(sheets).where("error is not null").select(F.lit("trips").alias("kind"), text("sheet").alias("name"), "error")
+    lists = G.read_packing_lists(bare.select(F.concat(F.lit("F"), "c_nationkey").alias("file"), F.lit(1).alias("sheet"), "row_index", "cells"))
+    lists = lists.where("error is not null").select(F.lit("list").alias("kind"), F.col("file").alias("name"), "error")
+    return trips.unionByName(lists).groupBy("kind", "name", "error").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("read_trip_sheet", f"""{V.duck_with('trips')}, c AS ({CELLS}) SELECT sheet, row_index, CASE WHEN mo = 1 AND st = 'P' THEN '' ELSE CAST(order_date AS VARCHAR) END AS dep_date, station, port, dest, CASE WHEN mo = 3 THEN 'L' ELSE 'T' END AS train_type,
  CAST(pr AS VARCHAR) AS wagon_count, CASE WHEN mo = 1 AND st = 'P' THEN 'bad date' ELSE '' END AS error, CAST(amt AS DOUBLE) AS settle_total FROM c""")
 def read_trip_sheet(spark, sf_dir):
@@ -470,12 +527,9 @@ def fund_batch_ids(spark, sf_dir):
 
 @query("fund_link_rows", f"{V.duck_with('links')} SELECT batch_id, trip_no, row_number() OVER (PARTITION BY batch_id ORDER BY trip_no) - 1 AS seq FROM (SELECT batch_id, trip_no FROM links)")
 def fund_link_rows(spark, sf_dir):
-    """Numbered links of a batch; the trips of a batch are positioned piece by piece."""
-    from waybridge.operators.ordered import position
-
-    links = V.view(spark, sf_dir, "links").select("batch_id", "trip_no").distinct()
-    numbered = position(links, ["batch_id"], ["trip_no"], F.ascii(F.col("trip_no")).cast("long"), "seq")
-    return numbered.withColumn("seq", F.col("seq") - 1)
+    """A batch request names its trips in a list, some twice; links are numbered in the order given."""
+    links = V.view(spark, sf_dir, "links").groupBy("batch_id").agg(F.sort_array(F.collect_list("trip_no")).alias("trip_nos"))
+    return FU.link_rows(links).select("batch_id", "trip_no", F.col("seq").cast("long").alias("seq"))
 
 
 # ---- list comparison ------------------------------------------------------------------

@@ -42,12 +42,44 @@ def test_numbers_of_the_ledger_fixture(spark):
         ("2025-10-10", "P-W", "T"): "bad station code", ("2025-10-10", "PW", "x"): "bad train type"}
 
 
-def test_free_suffixes_and_overflow(spark):
-    taken = spark.createDataFrame([("b", 0), ("b", 2)], "base string, suffix int")
-    requests = spark.createDataFrame([("b", i) for i in range(99)] + [("c", 500)], "base string, o int")
-    out = {(r.base, r.o): r.number for r in N.assign_numbers(requests, taken, "o").collect()}
-    assert out[("b", 0)] == "b-01" and out[("b", 1)] == "b-03" and out[("c", 500)] == "c"
-    assert out[("b", 97)] == "b-99" and out[("b", 98)] is None
+def test_suffixes_go_on_past_a_hundred(spark, monkeypatch):
+    monkeypatch.setattr(N, "PIECE", 16)
+    random.seed(3)
+    used = {"b": {0, 2} | set(random.sample(range(400), 120)), "c": {5_000_000}}
+    taken = spark.createDataFrame([(b, s) for b, t in used.items() for s in t] + [("d", 0)], "base string, suffix int")
+    requests = spark.createDataFrame([("b", i) for i in range(300)] + [("c", 500), (None, 1), (None, 2)], "base string, o int")
+    out = {(r.base, r.o): (r.suffix, r.number) for r in N.assign_numbers(requests, taken, "o").collect()}
+    free = [s for s in range(1_000) if s not in used["b"]]
+    for i in range(300):
+        assert out[("b", i)] == (free[i], f"b-{free[i]:02d}" if free[i] else "b")
+    assert out[("c", 500)] == (0, "c") and out[(None, 2)][0] == 1 and len(out) == 303
+    read = spark.range(1).select(N.parsed_number(F.lit("20250101-AA-BB-CC-T-123")).alias("n")).first().n
+    assert read.suffix == 123
+
+
+def test_batch_numbers_of_a_day_end_at_99(spark):
+    rows = spark.createDataFrame([(i, dt.date(2025, 1, 1), "cost") for i in range(101)], "request_order int, paid_at date, batch_type string")
+    none = spark.createDataFrame([("BATCH-20250101-COST-07",)], "batch_id string")
+    out = {r.request_order: (r.batch_id, r.number_error) for r in funds.assign_batch_ids(rows, none).collect()}
+    assert out[5] == ("BATCH-20250101-COST-06", None) and out[6][0] == "BATCH-20250101-COST-08"
+    assert out[97][0] == "BATCH-20250101-COST-99" and out[98] == (None, "no free suffix")
+
+
+def test_sheets_without_a_header_leave_an_error(spark):
+    sheets = grid(spark, 1, [["发运日期", "发站", "口岸", "目的地", "车数", "合计"], ["2025-07-18", "PW", "MZL", "RU", "3", "5"]]).unionByName(
+        grid(spark, 2, [["nothing", "known"], ["here", "x"]]))
+    assert [(r.sheet, r.error) for r in grids.read_trip_sheet(sheets).orderBy("sheet").collect()] == [(1, None), (2, grids.NO_HEADER)]
+    assert {(r.sheet, r.error) for r in grids.read_agent_statement(sheets).collect()} >= {(2, grids.NO_HEADER)}
+    files = spark.createDataFrame([("f", 1, 1, ["a"]), ("g", 1, 1, ["箱号", "封号"]), ("g", 1, 2, ["TKRU4625794", "1"]), ("g", 2, 1, ["x"])],
+                                  "file string, sheet int, row_index int, cells array<string>")
+    assert sorted((r.file, r.error) for r in grids.read_packing_lists(files).collect()) == [("f", grids.NO_HEADER), ("g", None)]
+
+
+def test_thresholds_with_repeated_and_unreadable_keys(spark):
+    rows = [("datacheck.recon_warn_pct", "3"), ("datacheck.recon_warn_pct", "x"), ("datacheck.recon_warn_pct", "2"), ("other", "1")]
+    out = refdata.thresholds(spark.createDataFrame(rows, "key string, value string")).first()
+    assert (float(out.pct), float(out.amount)) == (3.0, 5000.0)
+    assert refdata.thresholds(spark.createDataFrame([], "key string, value string")).count() == 1
 
 
 def test_ledger_dates(spark):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tests.batches import batch, load
 from waybridge import constants as C
-from waybridge.operators import boxes as B, extract as X, lookup as L, pages as PG, rules as R, tables as TB
+from waybridge.operators import boxes as B, extract as X, forms as FM, lookup as L, pages as PG, rules as R, tables as TB
 
 
 def test_three_single_page_waybills(spark):
@@ -42,7 +42,7 @@ def test_field_extraction_keeps_to_the_line(spark):
 def test_caption_on_its_own_line(spark):
     rows = ["SELLER:", "山西洁康", "件数 (total): 480", "收货人", "发货人"]
     lines = spark.createDataFrame([("f", i + 1, t) for i, t in enumerate(rows)], "file string, line_no long, text string")
-    got = {r.field: r.value for r in X.line_values(lines).collect()}
+    got = {r.field: r.value for r in FM.line_values(lines).collect()}
     assert got == {"consignor_name": "山西洁康", "total_packages": "480"}
 
 
@@ -50,17 +50,17 @@ def test_weights_need_a_label_for_net(spark):
     line = lambda n, text, top: ("f", 1, n, text, 10.0, float(top), 120.0)
     schema = "file string, page int, line_no int, text string, x0 double, top double, x1 double"
     bare = spark.createDataFrame([line(1, "18 重量 Масса", 10), line(2, "12300", 30), line(3, "10800", 50)], schema)
-    r = X.weights(bare).collect()[0]
+    r = FM.weights(FM.described(bare)).collect()[0]
     assert (r.gross_weight_kg, r.net_weight_kg, r.net_state) == (12300.0, None, "needs_review")
     named = spark.createDataFrame([line(1, "18 重量 Масса", 10), line(2, "毛重 12300", 30), line(3, "净重 10800", 50)], schema)
-    r = X.weights(named).collect()[0]
+    r = FM.weights(FM.described(named)).collect()[0]
     assert (r.gross_weight_kg, r.net_weight_kg, r.net_state) == (12300.0, 10800.0, "recognized")
 
 
 def test_value_normalisers(spark):
     df = spark.createDataFrame([("中铁(КЖД)/新筑 Синьчжу", "陶瓷洁具 Керамика", "OOO СТС-ЛОГИСТИКА, Москва", "芜湖汽车技术有限公司 安徽省")],
                                "s string, g string, o string, c string")
-    r = df.select(X.station_name(F.col("s")), X.goods_name(F.col("g")), X.organisation(F.col("o")), X.organisation(F.col("c"))).collect()[0]
+    r = df.select(FM.station(F.col("s")), FM.goods(F.array("g"))["name"], FM.company(F.array("o")), FM.company(F.array("c"))).collect()[0]
     assert tuple(r) == ("新筑", "陶瓷洁具", 'ООО "СТС-ЛОГИСТИКА"', "芜湖汽车技术有限公司")
 
 
@@ -88,6 +88,44 @@ def test_lookup_by_containment(spark):
     assert got == {"id": {"B-ONE"}, "inside": both, "part": both, "short": {"B-TWO"}}
 
 
+def test_lookup_candidates_grow_with_the_tables(spark, monkeypatch):
+    """Numbers that share their beginning do not meet all queries."""
+    def candidates(n):
+        numbers = spark.range(n).select(F.concat(F.lit("B"), "id").alias("batch_id"), F.lit("x").alias("field"),
+                                        F.concat(F.lit("msku"), F.lpad((F.col("id") * 7919 + 1000003).cast("string"), 9, "0")).alias("number"))
+        queries = numbers.select(F.col("batch_id").alias("query_id"), F.concat(F.lit("re "), "number").alias("query"))
+        sizes = []
+        whole = L._by_rarest_part
+
+        def counted(*args):
+            out = whole(*args)
+            sizes.append(out.count())
+            return out
+
+        monkeypatch.setattr(L, "_by_rarest_part", counted)
+        assert L.batch_lookup(queries, numbers, numbers.select("batch_id")).count() == n
+        monkeypatch.setattr(L, "_by_rarest_part", whole)
+        return sum(sizes)
+
+    assert candidates(2_000) < 25 * candidates(200)
+
+
+def test_form_values(spark):
+    """What a form's boxes hold, with several lines, headings, a lent number and an HS line in front."""
+    line = lambda n, text, x0, top: ("f", 1, n, text, float(x0), float(top), float(x0 + 110))
+    lines = spark.createDataFrame([
+        line(1, "1 发货人—Отправитель", 10, 10), line(2, "签字—Подпись", 10, 22), line(3, "ABC Trading Ltd road 5", 10, 34), line(4, "4 收货人", 10, 60),
+        line(5, "ООО", 10, 72), line(6, "22 承运人", 300, 10), line(7, "КЖД", 400, 22), line(8, "690007", 300, 34), line(9, "РЖД", 300, 46),
+        line(10, "15 货物名称", 10, 110), line(11, "HS CODE: 691090", 10, 122), line(12, "陶瓷洁具 Керамика", 10, 134), line(13, "17", 10, 200), line(14, "件数", 40, 203),
+        line(15, "480 ctn", 40, 215), line(16, "18 重量", 10, 300), line(17, "毛重 12300", 10, 312), line(18, "10800 kg", 300, 600)],
+        "file string, page int, line_no int, text string, x0 double, top double, x1 double")
+    got = {r.field: (r.value, r.state) for r in FM.form_fields(lines).collect()}
+    assert got["consignor_name"] == ("ABC Trading Ltd", "recognized") and got["consignee_name"] == ("ООО", "needs_review")
+    assert got["carrier_segments"] == ("КЖД РЖД", "recognized")
+    assert got["goods_description"][0] == "陶瓷洁具" and got["hs_code"][0] == "691090" and got["total_packages"][0] == "480"
+    assert got["gross_weight_kg"] == ("12300", "recognized") and got["net_weight_kg"] == (None, "needs_review")
+
+
 def test_rule_problems(spark):
     raw = [{"rule_id": "a", "doc_type": "invoice", "field": "x", "rule_type": "format", "pattern": "("}, {"rule_id": "b", "rule_type": "required"},
            {"rule_id": "c", "doc_type": "invoice", "field": "x", "rule_type": "odd"}, {"rule_id": "d", "enabled": False},
