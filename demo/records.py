@@ -176,3 +176,85 @@ def page_containers(spark, sf_dir):
     words = spark.sql(WORDS.format(text="STRING"))
     pages = words.select("file", "page").distinct().withColumn("height", F.lit(800.0))
     return B.container_values(pages, words).withColumn("value", F.coalesce("value", F.lit("")))
+
+
+# ---- input checks and details of trips -----------------------------------------------------
+
+# settlements and subsidies that arrive for orders; finished orders are the known trips
+ENTRIES = """SELECT o_orderkey, CAST(o_orderkey AS {text}) AS trip_no, CASE month(o_orderdate) WHEN 1 THEN 'x1' WHEN 2 THEN ' ' ELSE CAST(o_custkey AS {text}) END AS settle_total,
+ CASE month(o_orderdate) WHEN 3 THEN '1,000.5' WHEN 4 THEN '--' END AS actual_freight, CASE month(o_orderdate) WHEN 5 THEN 'open' WHEN 6 THEN 'pending' END AS record_status,
+ CASE month(o_orderdate) WHEN 7 THEN 'odd' WHEN 8 THEN 'suspect' END AS review_status, o_orderstatus AS st FROM orders"""
+_PROBLEMS = "CASE WHEN st <> 'F' THEN 'unknown number' END, CASE month WHEN 1 THEN 'settle_total not numeric' {missing} END, CASE month WHEN 4 THEN 'actual_freight not numeric' END, CASE month WHEN 5 THEN 'bad record_status' END{more}"
+
+
+def _problem_sql(missing: str, more: str, also: str) -> str:
+    said = _PROBLEMS.format(missing=missing, more=more)
+    return f"SELECT o_orderkey, concat_ws(',', {said}) AS problems FROM (SELECT o_orderkey, o_orderstatus AS st, month(o_orderdate) AS month FROM orders) WHERE st <> 'F' OR month IN (1, 4, 5{also})"
+
+
+def _entries(spark, sf_dir):
+    V.tables(spark, sf_dir, "orders")
+    rows = spark.sql(ENTRIES.format(text="STRING"))
+    return rows, rows.where("st = 'F'").select("trip_no")
+
+
+@query("settlement_problems", _problem_sql("WHEN 2 THEN 'settle_total missing'", "", ", 2"))
+def settlement_problems(spark, sf_dir):
+    rows, trips = _entries(spark, sf_dir)
+    out = RC.entry_problems(rows.drop("review_status"), trips, ["settle_total", "actual_freight"], ["settle_total"])
+    return out.select("o_orderkey", F.concat_ws(",", "problems").alias("problems"))
+
+
+@query("subsidy_problems", _problem_sql("", ", CASE month WHEN 7 THEN 'bad review_status' END", ", 7"))
+def subsidy_problems(spark, sf_dir):
+    rows, trips = _entries(spark, sf_dir)
+    out = RC.entry_problems(rows, trips, ["settle_total", "actual_freight"])
+    return out.select("o_orderkey", F.concat_ws(",", "problems").alias("problems"))
+
+
+@query("trip_entries", """SELECT o_custkey AS trip_no, 'estimate' AS kind, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS seq, 'EST-' || o_orderkey AS entry FROM orders
+ UNION ALL SELECT l_suppkey, 'prepayment', row_number() OVER (PARTITION BY l_suppkey ORDER BY n), CAST(n AS VARCHAR) FROM (SELECT DISTINCT l_suppkey, l_orderkey * 10 + l_linenumber AS n FROM lineitem)
+ UNION ALL SELECT l_suppkey, 'flag', row_number() OVER (PARTITION BY l_suppkey ORDER BY n), 'R' || n FROM (SELECT DISTINCT l_suppkey, l_orderkey * 10 + l_linenumber AS n FROM lineitem WHERE l_returnflag = 'R')""")
+def trip_entries(spark, sf_dir):
+    """Suppliers as trips with hundreds of prepayments each."""
+    V.tables(spark, sf_dir, "orders", "lineitem")
+    paid = spark.sql("SELECT DISTINCT l_suppkey AS trip_no, l_orderkey * 10 + l_linenumber AS `order`, l_returnflag FROM lineitem")
+    prepayments = paid.select("trip_no", "order").distinct().withColumn("entry", F.col("order").cast("string"))
+    flags = paid.where("l_returnflag = 'R'").select("trip_no", "order").withColumn("entry", F.concat(F.lit("R"), "order"))
+    estimates = spark.sql("SELECT o_custkey AS trip_no, o_orderkey AS `order`, 'EST-' || CAST(o_orderkey AS STRING) AS entry FROM orders")
+    return RC.trip_entries(prepayments, flags, estimates)
+
+
+# ---- stored batches ------------------------------------------------------------------------
+
+# a stored batch is an order with its lines as documents and its returned lines as issues; finished orders are verified again
+def _tables(spark, sf_dir, mark, where):
+    V.tables(spark, sf_dir, "orders", "lineitem")
+    batches = spark.sql(f"SELECT CAST(o_orderkey AS STRING) AS batch_id, '{mark}' AS version FROM orders WHERE {where}")
+    lines = spark.sql("SELECT CAST(l_orderkey AS STRING) AS batch_id, l_linenumber AS doc_index, CAST(l_partkey AS STRING) AS doc_id, 'invoice' AS doc_type, CAST(l_returnflag = 'R' AS INT) AS fail_count, CAST(l_returnflag = 'A' AS INT) AS warning_count FROM lineitem")
+    lines = lines.join(batches.select("batch_id"), "batch_id", "left_semi")
+    return {"batches": batches, "documents": SK.stored_documents(lines).withColumn("version", F.lit(mark)),
+            "issues": lines.where("fail_count > 0").select("batch_id", "doc_index", F.lit(mark).alias("version"))}
+
+
+_COUNTED = """SELECT name, version, count(*) AS n FROM (SELECT 'batches' AS name, CASE WHEN o_orderstatus = 'F' THEN 'new' ELSE 'old' END AS version FROM orders
+ UNION ALL SELECT 'documents', CASE WHEN o_orderstatus = 'F' THEN 'new' ELSE 'old' END FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+ UNION ALL SELECT 'issues', CASE WHEN o_orderstatus = 'F' THEN 'new' ELSE 'old' END FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R') GROUP BY name, version"""
+
+
+@query("save_batches_twice", _COUNTED)
+def save_batches_twice(spark, sf_dir):
+    """All three tables of a verified batch; saving again changes nothing."""
+    old, new = _tables(spark, sf_dir, "old", "true"), _tables(spark, sf_dir, "new", "o_orderstatus = 'F'")
+    saved = SK.save_batches(SK.save_batches(old, new), new)
+    out = None
+    for name, rows in saved.items():
+        part = rows.groupBy("version").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "version", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("stored_batch", "SELECT CAST(l_orderkey AS VARCHAR) AS batch_id, l_linenumber AS doc_index, CAST(l_partkey AS VARCHAR) AS doc_id, CASE l_returnflag WHEN 'R' THEN 'FAIL' WHEN 'A' THEN 'WARNING' ELSE 'PASS' END AS status FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def stored_batch(spark, sf_dir):
+    stored = _tables(spark, sf_dir, "old", "true")
+    return SK.assemble(stored["batches"], stored["documents"].drop("version")).select("batch_id", "doc_index", "doc_id", "status")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from waybridge import constants as C
 from waybridge.functions.numbers import money
-from waybridge.operators.ordered import neighbours
+from waybridge.operators.ordered import PIECE, neighbours, position
 
 
 def prepay_coverage(settlements: DataFrame, prepayments: DataFrame) -> DataFrame:
@@ -148,19 +148,51 @@ def trip_detail(trips: DataFrame, settlements: DataFrame, prepayments: DataFrame
     )
 
 
+#: What the status columns of ledger rows may hold.
+STATUSES = {
+    "record_status": ["confirmed", "pending", "not_found", "business_missing"],
+    "review_status": ["normal", "suspect", "reviewed"],
+}
+
+
+def entry_problems(entries: DataFrame, numbers: DataFrame, amounts: list[str], required: list[str] = (),
+                   key: str = "trip_no") -> DataFrame:
+    """Ledger entries that cannot be written, with their reasons.
+
+    A number has to be one of ``numbers``, amounts have to be readable where given and given where ``required``,
+    and status columns have to hold a known status.
+    """
+    known = numbers.select(key).distinct().withColumn("_known", F.lit(True))
+    reasons = [F.when(F.col("_known").isNull(), "unknown number")]
+    for column in amounts:
+        blank = F.trim(F.coalesce(column, F.lit(""))) == ""
+        missing = F.when(blank, f"{column} missing") if column in required else F.when(blank, F.lit(None).cast("string"))
+        reasons.append(missing.when(~blank & money(F.col(column)).isNull(), f"{column} not numeric"))
+    for column, allowed in STATUSES.items():
+        if column in entries.columns:
+            reasons.append(F.when(F.col(column).isNotNull() & ~F.col(column).isin(*allowed), f"bad {column}"))
+    return entries.join(known, key, "left").withColumn(
+        "problems", F.filter(F.array(*reasons), lambda r: r.isNotNull())).where(F.size("problems") > 0).drop("_known")
+
+
 def prepayment_problems(entries: DataFrame, trips: DataFrame, estimates: DataFrame) -> DataFrame:
     """Entries that cannot be booked: unknown number, missing or unreadable amount, bad status."""
-    known = trips.select("trip_no").unionByName(estimates.select(F.col("est_no").alias("trip_no"))).distinct()
-    known = known.withColumn("_known", F.lit(True))
-    status = F.col("record_status")
-    reasons = F.array(
-        F.when(F.col("_known").isNull(), "unknown number"),
-        F.when(F.trim(F.coalesce("amount", F.lit(""))) == "", "amount missing")
-        .when(money(F.col("amount")).isNull(), "amount not numeric"),
-        F.when(status.isNotNull() & ~status.isin("confirmed", "pending", "not_found", "business_missing"),
-               "bad record_status"))
-    return entries.join(known, "trip_no", "left").withColumn(
-        "problems", F.filter(reasons, lambda r: r.isNotNull())).where(F.size("problems") > 0).drop("_known")
+    numbers = trips.select("trip_no").unionByName(estimates.select(F.col("est_no").alias("trip_no")))
+    return entry_problems(entries, numbers, ["amount"], ["amount"])
+
+
+def trip_entries(prepayments: DataFrame, flags: DataFrame, estimates: DataFrame) -> DataFrame:
+    """Prepayments, flags and number history of all trips as numbered rows: trip_no, kind, seq, entry.
+
+    Each input has ``trip_no``, a growing integer ``order`` and ``entry``. A trip may have any number of entries: they
+    are numbered piece by piece and never gathered in one row.
+    """
+    rows = None
+    for kind, part in (("prepayment", prepayments), ("flag", flags), ("estimate", estimates)):
+        part = part.select("trip_no", F.lit(kind).alias("kind"), F.col("order").cast("long").alias("order"), "entry")
+        rows = part if rows is None else rows.unionByName(part)
+    return position(rows, ["trip_no", "kind"], ["order"], F.floor(F.col("order") / PIECE), "seq").select(
+        "trip_no", "kind", "seq", "entry")
 
 
 def point_read(table: DataFrame, key: str, value, order: Column | str | None = None) -> DataFrame:
