@@ -40,7 +40,7 @@ SHINGLE, PERCENT = 3, 90
 #: Slots in which documents per token are counted, to order tokens; the order does not change results.
 SLOT_BITS = 22
 #: Slots of a table that is broadcast to leave rows out before a shuffle; bounds its rows.
-FILTER_SLOTS = 1 << 20
+FILTER_SLOTS = 1 << 22
 #: Classes in a leaf of a block, children of a tree node, and widest signature in bits.
 LEAF, FANOUT, WIDEST = 256, 8, 1 << 17
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -368,7 +368,10 @@ def classes_and_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
             "band1 < band2 or leaf1 <= leaf2").where("least(low1, low2) < greatest(high1, high2)")
         if turn == 0:
             pairs = pairs.where("leaf1 = 0 or (band1 = band2 and leaf1 = leaf2)")
-        pairs = pairs.select(*_PAIR)
+        # written, so that the search is planned from a small table of known size
+        pairs = stored(pairs.select(*_PAIR))
+        if turn and pairs.isEmpty():
+            break
         against = refuted.groupBy("a").agg(F.collect_set("b").alias("refuted"))
         # only leaves that are searched move bitmaps
         wanted = pairs.select("leader", F.inline(F.array(*[
@@ -384,7 +387,8 @@ def classes_and_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
                 *_PAIR, F.lit(k).alias("side"), "cls", "n", "first", "tie", "bits", "refuted")
             work = part if work is None else work.unionByName(part)
         # a block whose links are refuted proposes four times as many in the next turn
-        proposed = stored(_proposed(work, percent, 4 ** turn if turn else 0))
+        proposed = stored(_proposed(work, percent, 4 ** turn))
+        discard(pairs)
         if proposed.isEmpty():
             if turn:
                 break
@@ -399,7 +403,7 @@ def classes_and_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
             new = checked.where("linked").drop("linked")
             if not new.isEmpty():
                 links = links.unionByName(new)
-                tied = components(links)
+                tied = stored(components(links))
         turn += 1
         discard(proposed)
     discard(sets)
