@@ -464,3 +464,9 @@ LEGAL_FORMS = ["ООО", "OOO", "ОАО", "ЗАО", "ПАО", "АО", "ИП"]
 # texts that are a legal form and nothing else
 BARE_FORMS = ["ООО", "ОАО", "ЗАО", "ПАО", "АО", "ИП", "КХ", "Co. Ltd", "Co., Ltd", "Co Ltd", "Co, Ltd", "Company", "公司", "株式会社"]
 KG_WORDS = ["kg", "kgs", "кг", "公斤", "千克"]
+
+# ---- fields that checks compare ------------------------------------------------
+COMPARED_FIELDS = ["invoice_no", "packing_list_no", "waybill_no", "declaration_no", "co_no",
+                   "goods_description", "total_packages", "gross_weight_kg", "consignor_name",
+                   "consignee_name", "container_no", "total_amount", "declared_value", "currency",
+                   "waybill_type", "route_countries", "departure_country", "destination_country"]

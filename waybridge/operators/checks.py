@@ -41,10 +41,7 @@ ENDS = "␟"
 MALFORMED = "␀"
 
 
-FIELDS = ["invoice_no", "packing_list_no", "waybill_no", "declaration_no", "co_no",
-          "goods_description", "total_packages", "gross_weight_kg", "consignor_name",
-          "consignee_name", "container_no", "total_amount", "declared_value", "currency",
-          "waybill_type", "route_countries", "departure_country", "destination_country"]
+FIELDS = C.COMPARED_FIELDS
 
 
 def opened(docs: DataFrame, names: list[str]) -> DataFrame:
@@ -52,11 +49,14 @@ def opened(docs: DataFrame, names: list[str]) -> DataFrame:
     ``name_kind`` and ``name_value`` for numbers, and the route as a struct.
 
     One small step after the other: later steps refer to columns instead of repeating
-    expressions, and the rows stay narrow enough for whole-stage code generation.
+    expressions, and the rows stay narrow enough for whole-stage code generation. Documents that
+    carry their fields by name in ``known`` are read there, so that unused ones are never
+    built; others are looked up in the map.
     """
-    keep = docs.columns
+    keep = [c for c in docs.columns if c != "known"]
     numeric = [n for n in names if n in C.NUMERIC_FIELDS]
-    at = lambda n: F.try_element_at(F.col("fields"), F.lit(n))
+    by_name = "known" in docs.columns
+    at = lambda n: F.col("known")[n] if by_name else F.try_element_at(F.col("fields"), F.lit(n))
     docs = docs.select(
         *keep, *[at(n)["text"].alias(f"{n}_raw") for n in names if n != "route_countries"],
         *[at(n)["kind"].alias(f"{n}_kind") for n in numeric], at("route_countries").alias("route_countries"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from waybridge import constants as C
 from waybridge.functions.canonical import FIELD_TYPE, canonical_fields, short_hash
 
 META_TYPE = ("map<string,struct<raw_text:string,value:string,page:int,region:string,method:string,"
@@ -77,6 +78,7 @@ def explode_documents(batches: DataFrame) -> DataFrame:
     docs = batches.select("batch_id", F.posexplode("documents").alias("doc_index", "d"))
     docs = docs.where(F.col("d").isNotNull() & F.startswith(_kind(F.col("d")), F.lit("OBJECT")))
     get = lambda path, kind: F.try_variant_get("d", path, kind)
+    own = lambda name: get(f"$.fields.{name}", "variant")
     fields = F.transform_values(get("$.fields", "map<string,variant>"), lambda k, v: _as_field(v))
     return docs.select(
         "batch_id", "doc_index",
@@ -86,26 +88,30 @@ def explode_documents(batches: DataFrame) -> DataFrame:
         F.coalesce(fields, F.map_from_arrays(
             F.array().cast("array<string>"), F.array().cast(f"array<{FIELD_TYPE}>"))).alias("fields"),
         get("$.field_meta", META_TYPE).alias("field_meta"),
+        # the compared fields by name as well: a check opens those it needs and nothing else is read
+        F.struct(*[F.when(own(n).isNotNull(), _as_field(own(n))).alias(n) for n in C.COMPARED_FIELDS]).alias("known"),
     )
 
 
 def docs_from_wide(wide: DataFrame, texts: list[str], lists: list[str] = ()) -> DataFrame:
     """Documents from a table with one column per field; null columns are absent fields."""
-    def entry(name: str) -> Column:
+    def value(name: str) -> Column:
         if name in lists:
-            value = F.struct(F.lit("ARRAY<STRING>").alias("kind"), F.to_json(name).alias("text"),
-                             F.col(name).alias("items"))
-        else:
-            value = F.struct(F.lit("STRING").alias("kind"), F.col(name).cast("string").alias("text"),
-                             F.lit(None).cast("array<string>").alias("items"))
-        return F.struct(F.lit(name).alias("key"), value.alias("value"))
+            return F.struct(F.lit("ARRAY<STRING>").alias("kind"), F.to_json(name).alias("text"), F.col(name).alias("items"))
+        return F.struct(F.lit("STRING").alias("kind"), F.col(name).cast("string").alias("text"),
+                        F.lit(None).cast("array<string>").alias("items"))
+
+    def entry(name: str) -> Column:
+        return F.struct(F.lit(name).alias("key"), value(name).alias("value"))
 
     # plain projections, so that queries which need no fields never build them
     filled = F.filter(F.array(*[entry(n) for n in [*texts, *lists]]),
                       lambda e: e["value"]["text"].isNotNull())
     return wide.select(
         "batch_id", "doc_index", "doc_type", "doc_id", F.lit(None).cast("string").alias("title"),
-        F.map_from_entries(filled).alias("fields"), F.lit(None).cast(META_TYPE).alias("field_meta"))
+        F.map_from_entries(filled).alias("fields"), F.lit(None).cast(META_TYPE).alias("field_meta"),
+        F.struct(*[F.when(F.col(n).isNotNull(), value(n)).alias(n) if n in (*texts, *lists)
+                   else F.lit(None).cast(FIELD_TYPE).alias(n) for n in C.COMPARED_FIELDS]).alias("known"))
 
 
 def doc_fields(docs: DataFrame) -> DataFrame:
