@@ -137,7 +137,8 @@ def labelled(docs: DataFrame, labels: DataFrame, folds: int, held_out: int) -> D
     slot = F.xxhash64("doc_id").bitwiseAND(LABEL_SLOTS - 1).alias("slot")
     slots = marks.select(slot).distinct()
     likely = rows.withColumn("slot", slot).join(F.broadcast(slots), "slot", "left_semi").drop("slot")
-    return stored(likely.join(marks, "doc_id"))
+    # the same plan at every size: few labels could be broadcast, many could not
+    return stored(likely.hint("merge").join(marks, "doc_id"))
 
 
 def class_counts(train: DataFrame) -> np.ndarray:
