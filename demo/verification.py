@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from demo import verify_sql as Q, views as V
@@ -12,6 +11,7 @@ from waybridge.operators import checks as K, fields as FL, lookup as L, sinks, t
 from waybridge.operators.rules import default_rules
 from waybridge.operators.scenario import scenario_documents
 from waybridge.plans import verify as P
+from waybridge.session import written
 
 
 def status(spark: SparkSession, sf_dir: str, check: str, column: str, *more) -> DataFrame:
@@ -60,7 +60,7 @@ def check_doc_rules(spark, sf_dir):
 def check_goods_description(spark, sf_dir):
     docs = V.docs(spark, sf_dir)
     flat = K.prepare(docs)
-    groups = K.text_groups(flat, ["goods"]).persist(StorageLevel.MEMORY_AND_DISK)
+    groups = written(K.text_groups(flat, ["goods"]))
     rows = K.statuses(docs, checks=["CONS-001"], flat=flat, groups=groups)
     return rows.select("batch_id", "goods_groups", F.col("cons_001").alias("status"))
 
@@ -120,11 +120,8 @@ def check_route_ends(spark, sf_dir):
 
 def _checked(spark, sf_dir):
     docs, batches, rules = V.docs(spark, sf_dir), V.batches(spark, sf_dir), default_rules(spark)
-    # several branches read the prepared rows and their text groups; both are kept, spilling to disk
-    flat = K.prepare(docs, rules).persist(StorageLevel.MEMORY_AND_DISK)
-    groups = K.text_groups(flat, K.kinds_for(K.ALL_CHECKS)).persist(StorageLevel.MEMORY_AND_DISK)
     repeated = K.duplicate_types(docs, batches)
-    return repeated, flat, K.statuses(docs, batches, rules, flat=flat, groups=groups, repeated=repeated)
+    return repeated, *P.checked(docs, batches, rules, repeated)
 
 
 @query("verify_all_risk", Q.everything("SELECT batch_id, score, grade, n_total, n_pass, n_warning, n_fail FROM scored"))
@@ -280,12 +277,7 @@ def scenario_risk(spark, sf_dir):
         edit("count", F.lit(C.CUSTOMS), "total_packages", "300", 1),
         edit("party", F.lit(C.CUSTOMS), "consignee_name", "ACME", 0),
         edit("party", F.concat(F.lit("invoice-"), "batch_id"), "consignee_name", "ACME", 1))))
-    keep = StorageLevel.MEMORY_AND_DISK
-    edited = scenario_documents(docs, edits).persist(keep)
-    rules = default_rules(spark)
-    flat = K.prepare(edited, rules).persist(keep)
-    groups = K.text_groups(flat, K.kinds_for(K.ALL_CHECKS)).persist(keep)
-    scored = P.summary(K.statuses(edited, rules=rules, flat=flat, groups=groups))
+    scored = P.verify(written(scenario_documents(docs, edits)), rules=default_rules(spark))
     return scored.select(
         F.split_part("batch_id", F.lit("#"), F.lit(1)).alias("batch_id"),
         F.split_part("batch_id", F.lit("#"), F.lit(2)).alias("scenario_id"),
