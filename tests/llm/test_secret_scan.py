@@ -57,3 +57,28 @@ def test_entropy_finds_random_strings_and_the_allow_list_spares_public_ones(spar
     got = [r.spans for r in secret_scan.secrets(documents(spark, texts)).orderBy("doc_id").collect()]
     assert got == [f"entropy_base64:6:{6 + len(key)}", "", "", "", ""]
     assert secret_scan.secrets(documents(spark, [])).count() == 0
+
+
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+
+
+def test_random_keys_of_every_class_and_length_are_found():
+    rng = random.Random(9)
+    alphabets = {"hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "lower digit": LOWER + DIGITS, "upper digit": UPPER + DIGITS,
+                 "base32": UPPER + "234567", "lower": LOWER, "upper": UPPER, "two cases": LOWER + UPPER,
+                 "base62": LOWER + UPPER + DIGITS, "base64": LOWER + UPPER + DIGITS + "+/"}
+    n = 1_000
+    for name, alphabet in alphabets.items():
+        for size in (20, 24, 32, 40):
+            keys = ("".join(rng.choices(alphabet, k=size)) for _ in range(n))
+            found = sum(bool(secret_scan.scan(f"use {k} here".encode())) for k in keys)
+            assert found >= 0.98 * n, (name, size, found)
+    group = lambda: "".join(rng.choices(UPPER + DIGITS, k=5))
+    assert sum(bool(secret_scan.scan("-".join(group() for _ in range(5)).encode())) for _ in range(n)) >= 0.95 * n
+
+
+def test_words_and_alphabets_are_no_keys():
+    for text in ("electroencephalographically", "internationalization", "Aufmerksamkeitsdefizitstoerung", "RECHTSSCHUTZVERSICHERUNGEN",
+                 "abcdefghijklmnopqrstuvwxyz", "the-quick-brown-fox-jumps-over-2",
+                 "getElementsByTagNameAndClass", "anticonstitutionnellement"):
+        assert secret_scan.scan(text.encode()) == [], text

@@ -3,7 +3,9 @@
 Candidates are runs of token characters. Over a candidate slides a window; the counts of its characters are
 kept up to date as one character enters and one leaves, and with them the Shannon entropy. Where it
 reaches the limit of the candidate's character class, the window's stretch is a finding; touching stretches
-become one span. An allow list takes out what is random-looking but public or made of words.
+become one span. Each class has the limit that 99.5 % of random strings of its alphabet reach in one window, so
+that with the allow list 98 % of random keys of 20 characters are found, and more of longer ones. The allow list
+takes out what is random-looking but public or made of words; a run of 20 letters or more counts as words only if its letter pairs are those of language.
 
 Defined cases: a null or empty text has no spans. Positions are code points, the end exclusive. Rows are
 scanned alone, so repeated rows repeat their result. An empty table gives no rows. Other columns are not read.
@@ -22,18 +24,32 @@ from pyspark.sql import DataFrame
 from waybridge.llm.common import batched, per_batch, record_batch
 
 #: Fixed shapes, in the order in which spans of one start are listed.
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64", "entropy_lower_digit", "entropy_upper_digit",
+         "entropy_one_case", "entropy_two_case")
 _ASSIGN = re.compile(
     rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
 _ASSIGN_WORDS = (b"passw", b"secret", b"token", b"key")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 ASSIGN_CHARS, ACCESS_CHARS, HEX_CHARS = 6, 20, 24
-#: Character class: window, and bits per character that make a window a finding.
-LIMITS = {"entropy_hex": (24, 3.2), "entropy_base64": (20, 3.9)}
+#: Character class: windows, and the bits per character that make them findings. Those of 20 characters are the 0.5 %
+#: quantiles, rounded down, of 60,000 random strings of [0-9a-f], [A-Za-z0-9], [a-z0-9], [A-Z2-7], [a-z] and [A-Za-z].
+LIMITS = {
+    "entropy_hex": ((20, 2.82), (24, 3.2)), "entropy_base64": ((20, 3.58),), "entropy_lower_digit": ((20, 3.34),),
+    "entropy_upper_digit": ((20, 3.28),), "entropy_one_case": ((20, 3.16),), "entropy_two_case": ((20, 3.52),)}
+LEAST = 20
+#: A candidate that holds words of language is searched without them, and whole with this limit of any class.
+WHOLE = (20, 3.9)
 #: Allow list: public identifiers, and runs made of plain words and numbers.
 _UUID = re.compile(rb"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _BETWEEN = re.compile(rb"[+/_=-]+")
 _WORD = re.compile(rb"[A-Z]*|[a-z]*([A-Z][a-z]{2,})*|[0-9]{1,12}")
+_LETTERS = re.compile(rb"[A-Za-z]+")
+#: Frequent letter pairs of English, German, French and Spanish: a fifth of all pairs, most of those in words.
+_PAIRS = frozenset(
+    b"th he in er an re nd at on nt ha es st en ed to it ou ea hi is or ti as te et ng of al de se le sa si ar ve ra ld ur "
+    b"ch ie ei un ge ic ht sc be au ne em us nn ss el li di so me ma ri ro co io la lo om ac ca il ta tr ec ce na mi no pe "
+    b"po qu ue ai ir ns pa pr su ll ad do da os nc ci ot ut ab ag ef eh ft ig ke kt rt ru rs ts tz uf um zu ho fo fe fi wa "
+    b"we wo ow ly ay".split())
 _DIGEST_BEFORE = re.compile(rb"(md5|sha-?(1|224|256|384|512)|checksum|integrity|commit|etag)[\"']?\s*[-:= ]\s*[\"']?$", re.I)
 
 _TOKEN = np.zeros(256, bool)
@@ -86,13 +102,74 @@ def entropy_stretches(data: bytes, window: int, limit: float) -> list[tuple[int,
     return [(a, b) for a, b in found]
 
 
+def spoken(part: bytes) -> bool:
+    """Whether half of the letter pairs of a part are frequent in language, or half are steps along the alphabet."""
+    if len(part) < 4 or not _LETTERS.fullmatch(part):
+        return False
+    low = part.lower()
+    n = len(low) - 1
+    return (2 * sum(low[i:i + 2] in _PAIRS for i in range(n)) >= n
+            or 2 * sum(abs(low[i + 1] - low[i]) == 1 for i in range(n)) >= n)
+
+
+def is_word(part: bytes) -> bool:
+    return bool(_WORD.fullmatch(part)) and (len(part) < LEAST or spoken(part))
+
+
 def allowed(data: bytes, start: int, end: int) -> bool:
     """Whether a candidate is on the allow list."""
     run = data[start:end]
-    return bool(all(_WORD.fullmatch(part) for part in _BETWEEN.split(run)) or _UUID.fullmatch(run.strip(b"-_=/+"))
+    return bool(all(is_word(part) for part in _BETWEEN.split(run)) or _UUID.fullmatch(run.strip(b"-_=/+"))
                 or _DIGEST_BEFORE.search(data[max(0, start - 40):start]))
 
 
+def char_class(run: bytes) -> str | None:
+    """The class of a run by its letters and digits; digits alone have none."""
+    plain = run.translate(None, b"+/_=-")
+    letters = plain.translate(None, b"0123456789")
+    if not letters:
+        return None
+    digits = len(letters) < len(plain)
+    if digits and _HEX_ONLY.fullmatch(plain):
+        return "entropy_hex"
+    if letters.islower() or letters.isupper():
+        return "entropy_one_case" if not digits else "entropy_lower_digit" if letters.islower() else "entropy_upper_digit"
+    return "entropy_base64" if digits else "entropy_two_case"
+
+
+def high_entropy(run: bytes) -> tuple[str | None, list[tuple[int, int]]]:
+    """Class of a candidate and its stretches of high entropy.
+
+    Words of language are left out first. Only keys of mixed case use separators as characters; in the other
+    classes these group a key or join words, and are left out too.
+    """
+    keep, at = [], 0
+    for sep in [*_BETWEEN.finditer(run), None]:
+        end = sep.start() if sep else len(run)
+        if not spoken(run[at:end]):
+            keep += range(at, end)
+        if sep:
+            keep += range(sep.start(), sep.end())
+            at = sep.end()
+    kind = char_class(bytes(run[i] for i in keep))
+    if kind != "entropy_base64":
+        keep = [i for i in keep if run[i] not in b"+/_=-"]
+    found = []
+    if kind is not None:
+        kept = bytes(run[i] for i in keep)
+        found = [(keep[a], keep[b - 1] + 1) for w, limit in LIMITS[kind] for a, b in entropy_stretches(kept, w, limit)]
+    if len(keep) < len(run):
+        found += entropy_stretches(run, *WHOLE)
+        kind = kind or char_class(run)
+    joined: list[list[int]] = []
+    for a, b in sorted(found):
+        if joined and joined[-1][1] >= a:
+            joined[-1][1] = max(joined[-1][1], b)
+        else:
+            joined.append([a, b])
+    return kind, [(a, b) for a, b in joined]
+
+
 def scan(data: bytes) -> list[tuple[int, int, int]]:
     """(start, kind, end) in bytes, sorted."""
     spans = []
@@ -102,13 +179,14 @@ def scan(data: bytes) -> list[tuple[int, int, int]]:
     if b"AKIA" in data:
         spans += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(data) if m.end() - m.start() >= ACCESS_CHARS]
     codes = np.frombuffer(data, np.uint8)
-    candidates = runs(_TOKEN[codes], min(w for w, _ in LIMITS.values()))
+    candidates = runs(_TOKEN[codes], LEAST)
     for start, end in candidates:
         spans += [(start + a, 2, start + b) for a, b in runs(_HEX[codes[start:end]], HEX_CHARS)]
     base = list(spans)
     for start, end in candidates:
-        kind = "entropy_hex" if _HEX_ONLY.fullmatch(data, start, end) else "entropy_base64"
-        stretches = [] if allowed(data, start, end) else entropy_stretches(data[start:end], *LIMITS[kind])
+        if allowed(data, start, end):
+            continue
+        kind, stretches = high_entropy(data[start:end])
         for a, b in stretches:
             a, b = start + a, start + b
             if not any(s <= a and b <= e for s, _, e in base):
