@@ -1,9 +1,12 @@
 """Quality rules with compression bands.
 
 Plain counts of words, symbols and repeats make the base rule. On top of it the text is compressed with
-Zstandard, whole and in fixed chunks. Each length has its band: a ratio below it means repetition, one above
-it means noise that language does not produce. Short texts compress badly whatever they say, so their
-upper limit is wide, and the band closes in as the text grows.
+Zstandard, whole and in fixed chunks, the last partial one included. Each length has its band: a ratio below it
+means repetition, one above it means noise that language does not produce. Short texts compress badly whatever
+they say, so their upper limit is wide, and the band closes in as the text grows. The upper limits are a little
+above the highest ratios measured on clean texts, Latin and other ones apart. Noise of few different characters
+has a low ratio, so a second limit, for every script, holds the ratio against that of coding each byte by its
+frequency alone: language does better, and noise does not.
 
 Defined cases: a null or empty text has no words and fails the base rule. Texts under the first limit's
 length are not judged by compression. Rows are judged alone, so repeated rows repeat their result. An empty
@@ -20,10 +23,17 @@ from pyspark.sql import DataFrame
 
 from waybridge.llm.common import batched, mix, per_batch, record_batch
 
-#: Whole texts: bytes from, lowest and highest ratio of compressed to plain size.
-WHOLE_BANDS = ((200, 0.25, 0.98), (1_000, 0.20, 0.85), (4_000, 0.16, 0.75), (16_000, 0.10, 0.70))
-#: Chunks of this many bytes, their band, and the share of chunks outside it that rejects a text.
-CHUNK, CHUNK_BAND, CHUNK_SHARE = 4_096, (0.12, 0.80), 0.5
+#: Whole texts: bytes from, lowest ratio of compressed to plain size, highest one of Latin and of other texts, and highest
+#: quotient of the ratio and the bytes' entropy. Below 2000 bytes the quotient of language reaches that of noise.
+WHOLE_BANDS = (
+    (200, 0.25, 0.99, 1.10, 9.0), (400, 0.25, 0.86, 1.05, 9.0), (600, 0.25, 0.79, 0.98, 9.0), (1_000, 0.20, 0.72, 0.92, 9.0),
+    (2_000, 0.20, 0.64, 0.81, 1.045), (4_000, 0.16, 0.58, 0.71, 1.00), (8_000, 0.16, 0.54, 0.645, 0.955),
+    (16_000, 0.10, 0.50, 0.60, 0.925))
+#: A text of another script than Latin has this share of bytes beyond ASCII.
+OTHER_SHARE = 0.3
+#: Chunks of this many bytes, their lowest ratio, what their highest one may be above that of a whole text of their length,
+#: the share of chunks below their band that rejects a text, and the share of its bytes in chunks above it that does.
+CHUNK, CHUNK_LOW, CHUNK_MORE, LOW_SHARE, HIGH_SHARE = 4_096, 0.12, 0.04, 0.5, 0.2
 LEVEL = 3
 WINDOW = 5
 _SPACE = b" \t\n\r\x0b\x0c"
@@ -60,19 +70,37 @@ def repeat_words(codes: np.ndarray, owner: np.ndarray, n: int, window: int = WIN
     return out
 
 
+def measured(data: bytes, compressor: zstandard.ZstdCompressor, more: float = 0.0) -> tuple[float, float, bool]:
+    """Ratio of a text, the lowest ratio of its length, and whether it is above its band."""
+    size = len(data)
+    _, low, latin, other, quotient = next(band for band in reversed(WHOLE_BANDS) if size >= band[0])
+    ratio = len(compressor.compress(data)) / size
+    counts = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
+    high = other if counts[128:].sum() > OTHER_SHARE * size else latin
+    share = counts[counts > 0] / size
+    entropy = float(-(share * np.log2(share)).sum()) / 8
+    return ratio, low, ratio > high + more or ratio > quotient * entropy > 0
+
+
 def bands(data: bytes, compressor: zstandard.ZstdCompressor) -> tuple[float, int, bool]:
     """Ratio of the whole text, chunks outside their band, and whether the text passes."""
     size = len(data)
-    if size < WHOLE_BANDS[0][0]:
+    least = WHOLE_BANDS[0][0]
+    if size < least:
         return 1.0, 0, True
-    ratio = len(compressor.compress(data)) / size
-    low, high = next((lo, hi) for at, lo, hi in reversed(WHOLE_BANDS) if size >= at)
-    chunks = size // CHUNK
-    bad = 0
-    for i in range(chunks if chunks > 1 else 0):
-        part = len(compressor.compress(data[i * CHUNK:(i + 1) * CHUNK])) / CHUNK
-        bad += not CHUNK_BAND[0] <= part <= CHUNK_BAND[1]
-    return ratio, bad, low <= ratio <= high and not (chunks > 1 and bad > CHUNK_SHARE * chunks)
+    ratio, low, noisy = measured(data, compressor)
+    chunks = flat = loud = loud_bytes = 0
+    for at in range(0, size if size >= CHUNK else 0, CHUNK):
+        part = data[at:at + CHUNK]
+        if len(part) < least:
+            break
+        chunks += 1
+        r, _, above = measured(part, compressor, CHUNK_MORE)
+        flat += r < CHUNK_LOW
+        loud += above
+        loud_bytes += above * len(part)
+    good = not noisy and ratio >= low and flat <= LOW_SHARE * chunks and loud_bytes <= HIGH_SHARE * size
+    return ratio, flat + loud, good
 
 
 def judge(docs: DataFrame) -> DataFrame:
