@@ -11,6 +11,7 @@ from demo.registry import query
 from waybridge import constants as C
 from waybridge.operators import funds as FU, importing as IM, listcompare as LC, numbering as N, pairing as PR
 from waybridge.operators import recon as RC, tables as TB
+from waybridge.operators.ordered import position, sliced
 from waybridge.sources import grids as G, refdata
 
 
@@ -527,9 +528,10 @@ def fund_batch_ids(spark, sf_dir):
 
 @query("fund_link_rows", f"{V.duck_with('links')} SELECT batch_id, trip_no, row_number() OVER (PARTITION BY batch_id ORDER BY trip_no) - 1 AS seq FROM (SELECT batch_id, trip_no FROM links)")
 def fund_link_rows(spark, sf_dir):
-    """A batch request names its trips in a list, some twice; links are numbered in the order given."""
-    links = V.view(spark, sf_dir, "links").groupBy("batch_id").agg(F.sort_array(F.collect_list("trip_no")).alias("trip_nos"))
-    return FU.link_rows(links).select("batch_id", "trip_no", F.col("seq").cast("long").alias("seq"))
+    """A batch request names its trips by their number; links are numbered in that order."""
+    links = sliced(V.view(spark, sf_dir, "links").select("batch_id", "trip_no"), ["trip_no"])
+    requests = position(links, [], ["trip_no"], F.col("_slice"), "position")
+    return FU.link_rows(requests).select("batch_id", "trip_no", "seq")
 
 
 # ---- list comparison ------------------------------------------------------------------

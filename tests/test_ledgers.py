@@ -197,3 +197,15 @@ def test_packing_list_takes_the_sheet_with_containers(spark):
             ("f", 2, 3, ["48", "5480825", "tkru 4625794", "260281.0"]), ("f", 2, 4, [None, None, None, None])]
     out = grids.read_packing_lists(spark.createDataFrame(rows, "file string, sheet int, row_index int, cells array<string>")).collect()
     assert [(r.seq, r.wagon_no, r.container_no, r.seal_no, r.row_no) for r in out] == [("48", "5480825", "TKRU4625794", "260281", 3)]
+
+
+def test_links_of_a_batch_request_are_rows(spark):
+    rows = [("a", 1, "y"), ("a", 2, "x"), ("a", 3, "y"), ("a", 9000, "z"), ("a", 9001, "x"), ("b", 5, "x")]
+    rows += [("big", (7 * i) % 20_011, f"t{i}") for i in range(20_011)]
+    out = funds.link_rows(spark.createDataFrame(rows, "batch_id string, position long, trip_no string"))
+    assert not any(name in out._jdf.queryExecution().toString() for name in ("collect_list", "posexplode"))
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.batch_id, {})[r.seq] = r.trip_no
+    assert got["a"] == {0: "y", 1: "x", 2: "z"} and got["b"] == {0: "x"}
+    assert got["big"] == {(7 * i) % 20_011: f"t{i}" for i in range(20_011)}

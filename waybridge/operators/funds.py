@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from waybridge import constants as C
 from waybridge.functions.numbers import money
 from waybridge.operators.numbering import assign_numbers, parsed_number
+from waybridge.operators.ordered import PIECE, position
 
 CATEGORIES = ["rail_freight", "customs_fee", "service_fee", "other_fee", "settle_total"]
 
@@ -129,8 +130,14 @@ def input_problems(requests: DataFrame) -> DataFrame:
 
 
 def link_rows(requests: DataFrame) -> DataFrame:
-    """Distinct trips of each request in given order."""
-    return requests.select("batch_id", F.posexplode(F.array_distinct("trip_nos")).alias("seq", "trip_no"))
+    """Distinct trips of each request, numbered from 0 in given order.
+
+    ``requests`` has a row (batch_id, position, trip_no) per named trip. A trip counts at its least position, and the
+    numbers are worked out piece by piece, so a batch may name any share of all trips.
+    """
+    named = requests.groupBy("batch_id", "trip_no").agg(F.min("position").alias("_at"))
+    numbered = position(named, ["batch_id"], ["_at"], F.floor(F.col("_at") / PIECE), "seq")
+    return numbered.select("batch_id", (F.col("seq") - 1).alias("seq"), "trip_no")
 
 
 #: A day and type has batch numbers 01 to 99.
