@@ -12,12 +12,14 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from waybridge.session import shared_folder
 
 #: Rows of an Arrow batch at most. Texts are long, so a batch is kept to some megabytes.
 BATCH_ROWS = 512
+#: A key is heavy if it holds more than this part of all rows; so there are fewer heavy keys than this.
+HEAVY = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +57,18 @@ def discard(df: DataFrame) -> None:
     jvm.System.gc()
 
 
+def attached(rows: DataFrame, named: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``named`` (key, n, ...), which counts in ``n`` the rows of every key.
+
+    Keys that hold more than a thousandth of all rows are fewer than a thousand: these meet their rows by a
+    broadcast, so no task gets all rows of a hot key. All others meet by a shuffle.
+    """
+    least = (named.agg(F.sum("n")).first()[0] or 0) // HEAVY
+    heavy = F.broadcast(named.where(F.col("n") > least).drop("n"))
+    light = named.where(F.col("n") <= least).drop("n")
+    return rows.join(heavy, key).unionByName(rows.join(heavy.select(key), key, "left_anti").join(light, key))
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of a batch; a null is an empty text."""
     return [t or "" for t in batch.column(column).to_pylist()]

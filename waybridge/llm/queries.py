@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from waybridge.llm import (
-    compression, language_id, line_dedup, nb_svm, packing, page_diff, secret_scan, signature_join, warc, winnowing)
+    centroid_clustering, compression, language_id, line_dedup, nb_svm, packing, page_diff, secret_scan, signature_join,
+    simhash, spelling, warc, winnowing)
 from waybridge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +74,18 @@ def op9_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_page_diff")
 def op10_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_diff.main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op11_centroid_clustering", centroid_clustering.SQL)
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_simhash")
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op13_spelling")
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
