@@ -20,6 +20,15 @@ def canonical_fields(fields: Column) -> Column:
     return F.concat_ws(",", F.array_sort(entries))
 
 
+def canonical_json(raw: Column) -> Column:
+    """JSON text with the keys of every object sorted, at any depth, and no blanks; null where it cannot be read.
+
+    A VARIANT keeps object keys in order and plain decimals without trailing zeros, so its text is one for all spellings.
+    Numbers with an exponent stay doubles. An object with a key twice cannot be read.
+    """
+    return F.to_json(F.try_parse_json(raw))
+
+
 def short_hash(text: Column, length: int = 16) -> Column:
     return F.left(F.sha2(text, 256), F.lit(length))
 

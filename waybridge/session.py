@@ -65,3 +65,14 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """The file system of a path, and the path in its terms."""
+    out = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return out.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), out
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    fs, out = hadoop_path(spark, path)
+    fs.delete(out, True)
