@@ -84,7 +84,7 @@ def test_no_pair_above_the_limit_is_pruned():
         for share in (0, 0.02, 0.05, 0.1):
             drop = rng.random(len(b)) < share
             sets.append(np.unique(np.concatenate([b[~drop], rng.integers(0, 1 << 56, int(drop.sum()))])))
-    bits = signature_join._one_width([signature_join.signature(s).tobytes() for s in sets])
+    bits = np.stack([signature_join.signature(s, 64).view(np.uint64) for s in sets])
     tree = signature_join.Tree(bits, np.array([len(s) for s in sets]), np.arange(len(sets)))
     i, j, most = signature_join.candidates(tree, tree, 90)
     left = dict(zip(zip(i.tolist(), j.tolist()), most.tolist()))
@@ -119,3 +119,58 @@ def test_nothing_in_nothing_out(spark):
     assert signature_join.join_components(documents(spark, [])).count() == 0
     got = signature_join.join_components(documents(spark, [(1, None), (2, "one text of five words")])).collect()
     assert sorted(map(tuple, got)) == [(1, 0, 1), (2, 3, 2)]
+
+
+def template(n, seed, own=24):
+    """Texts from one template with words of their own, too many for any two to be linked."""
+    rng, words = random.Random(seed), vocabulary(seed, 5_000)
+    shared = [rng.choice(words) for _ in range(180)]
+    return [(i, " ".join(shared + [rng.choice(words) for _ in range(own)])) for i in range(n)]
+
+
+def test_texts_from_a_template_do_not_meet_pairwise(spark, monkeypatch):
+    monkeypatch.setattr(signature_join, "LEAF", 8)
+    searched, real = [], signature_join._searched
+    monkeypatch.setattr(signature_join, "_searched", lambda work, percent: (searched.append(work.count()), real(work, percent))[1])
+    rows = []
+    for n in (80, 160, 320):
+        searched.clear()
+        got = signature_join.join_components(documents(spark, template(n, 7), clashes=False)).collect()
+        assert len({r.component_id for r in got}) == n
+        rows.append(sum(searched))
+    assert all(b <= 2.3 * a for a, b in zip(rows[:-1], rows[1:])), rows
+
+
+def test_a_template_with_links_among_its_texts(spark, monkeypatch):
+    monkeypatch.setattr(signature_join, "LEAF", 4)
+    rng, words = random.Random(9), vocabulary(9, 5_000)
+    shared = [rng.choice(words) for _ in range(60)]
+    texts = []
+    for i in range(60):
+        own = [rng.choice(words) for _ in range(rng.choice([0, 2, 3, 4, 5, 7, 9, 20]))]
+        at = rng.choice([0, 30, 60])
+        for _ in range(rng.choice([1, 1, 2])):
+            texts.append(" ".join(shared[:at] + own + shared[at:]))
+            own = own[:-1]
+    texts = list(enumerate(texts))
+    for cuts in (0, 2):
+        monkeypatch.setattr(signature_join, "CUTS", cuts)
+        got = sorted(map(tuple, signature_join.join_components(documents(spark, texts)).collect()))
+        assert got == sorted(by_hand(texts))
+
+
+def test_first_common_tokens_are_among_the_keys():
+    rng = np.random.default_rng(6)
+    for percent in (60, 80, 90):
+        for _ in range(400):
+            x = rng.permutation(200)[:rng.integers(1, 120)]
+            y = np.concatenate([x[rng.random(len(x)) > rng.choice([0, 0.05, 0.1])], 200 + rng.permutation(50)[:rng.integers(0, 9)]])
+            if len(y) > len(x):
+                x, y = y, x
+            both = len(np.intersect1d(x, y))
+            if len(y) and 100 * both >= percent * (len(x) + len(y) - both):
+                order = rng.permutation(250)
+                a, b = (sorted(s, key=lambda t: order[t]) for s in (x, y))
+                common = next(t for t in a if t in set(b))
+                assert a.index(common) < signature_join.first_common(len(a), percent)[1]
+                assert b.index(common) < signature_join.first_common(len(b), percent)[0]

@@ -66,6 +66,8 @@ def got(df):
 
 def test_same_as_by_hand(spark):
     texts = sample(3) + odd(random.Random(1), vocabulary(3)) + [(None, "without an id"), (None, "without an id")] + [(5, "repeated rows")] * 3
+    # a word that is near another one which is near a third
+    texts += [(700 + i, "chains " * 3 + "chainss " * 7 + "xchainss " * 15) for i in range(3)]
     want = by_hand(texts)
     assert got(spelling.variants(documents(spark, texts).repartition(5))) == want
     assert sum(w[1] is not None for w in want) > 50 and any(w[1] and w[2] != w[1] for w in want)

@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -57,8 +58,8 @@ def discard(df: DataFrame) -> None:
     jvm.System.gc()
 
 
-def attached(rows: DataFrame, named: DataFrame, key: str) -> DataFrame:
-    """``rows`` with the columns of ``named`` (key, n, ...), which counts in ``n`` the rows of every key.
+def attached(rows: DataFrame, named: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the columns of ``named`` (keys, n, ...), which counts in ``n`` the rows of every key.
 
     Keys that hold more than a thousandth of all rows are fewer than a thousand: these meet their rows by a
     broadcast, so no task gets all rows of a hot key. All others meet by a shuffle.
@@ -66,7 +67,30 @@ def attached(rows: DataFrame, named: DataFrame, key: str) -> DataFrame:
     least = (named.agg(F.sum("n")).first()[0] or 0) // HEAVY
     heavy = F.broadcast(named.where(F.col("n") > least).drop("n"))
     light = named.where(F.col("n") <= least).drop("n")
-    return rows.join(heavy, key).unionByName(rows.join(heavy.select(key), key, "left_anti").join(light, key))
+    return rows.join(heavy, keys).unionByName(rows.join(heavy.select(keys), keys, "left_anti").join(light, keys))
+
+
+#: Slots of a bitmap that tells which rows may have a partner; its size is fixed.
+SLOTS = 1 << 22
+
+
+def slotted(rows: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
+    """Rows whose key may be in ``wanted``; a bitmap of ``SLOTS`` bits leaves most others out before a shuffle."""
+    slot = lambda: F.xxhash64(*keys).bitwiseAND(SLOTS - 1)
+    # 64 slots to a word, put together inside the tasks first
+    words = wanted.select(F.shiftright(slot(), 6).cast("int").alias("word"), F.expr(
+        f"shiftleft(1L, cast(xxhash64({', '.join(keys)}) & 63 as int))").alias("bits")).groupBy("word").agg(
+        F.bit_or("bits").alias("bits")).toArrow()
+    bitmap = np.zeros(SLOTS >> 6, np.int64)
+    bitmap[words["word"].to_numpy()] = words["bits"].to_numpy()
+    held = rows.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def marked(slots: pd.Series) -> pd.Series:
+        at = slots.to_numpy()
+        return pd.Series(held.value[at >> 6] >> (at & 63) & 1 == 1)
+
+    return rows.where(marked(slot()))
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:

@@ -9,14 +9,15 @@ between; the order also puts tokens that many documents hold last.
 A block is searched with signature trees. A class's signature is a bitmap of its tokens; a node of the tree holds the
 OR of its children's bitmaps and their range of sizes. Pairs of nodes are followed from the roots down and
 dropped as soon as the largest overlap they allow is too small: every bit of one side that the other lacks is
-at least one token not shared. What is left at the leaves is checked exactly. Only components are asked
-for, so pairs whose classes are already tied together are dropped as well: a search proposes links that
-would join components, the exact check takes or refutes them, and blocks that still hold several
-components are searched again without the refuted pairs, until nothing new is proposed.
+at least one token not shared. What is left is compared token by token on the spot, most promising pairs first.
+Only components are asked for, so pairs whose classes are already tied together are dropped as well.
 
-Blocks are cut into leaves of ``LEAF`` classes. The first turn pairs each leaf with itself and with the first;
-later turns pair only leaves that still hold different components. So a crowd of near copies costs in
-proportion to its size, in tasks of bounded size.
+Blocks are cut into leaves of at most ``LEAF`` classes and ``LEAF_TOKENS`` tokens. A leaf meets itself and the first leaf, which
+holds the block's leader, so a crowd of near copies is tied together at a cost in proportion to its size. A block of several leaves that still holds
+several components is cut anew: its members order their tokens so that those the leader lacks come first, and meet only
+if they share a token among the first that such an order allows as first common one (fewer for the smaller of
+two sets than for the larger). Texts from one template have their own words there and do not meet; their block falls apart. After
+``CUTS`` such turns the leaf pairs that are still left are searched one by one, so every pair that may link has been seen.
 
 Defined cases: null or empty texts have no shingles, link with nothing and are their own component, named by
 their doc_id. A repeated row is a copy. A null doc_id links like any other and never names a component that
@@ -33,16 +34,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from waybridge.llm.common import batched, discard, mix, per_batch, stored
+from waybridge.llm.common import attached, batched, discard, mix, per_batch, slotted, stored
 from waybridge.llm.components import components
 
 SHINGLE, PERCENT = 3, 90
 #: Slots in which documents per token are counted, to order tokens; the order does not change results.
 SLOT_BITS = 22
-#: Slots of a table that is broadcast to leave rows out before a shuffle; bounds its rows.
-FILTER_SLOTS = 1 << 22
-#: Classes in a leaf of a block, children of a tree node, and widest signature in bits.
-LEAF, FANOUT, WIDEST = 256, 8, 1 << 17
+#: Classes in a leaf of a block and their tokens, children of a tree node, and widest signature in bits.
+LEAF, LEAF_TOKENS, FANOUT, WIDEST = 256, 1 << 21, 8, 1 << 17
+#: Turns in which blocks that still hold several components are cut anew.
+CUTS = 2
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
@@ -129,6 +130,14 @@ def _arrays(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)))
 
 
+def first_common(n: int, percent: int) -> tuple[int, int]:
+    """How many of n ordered tokens may be the first that two similar sets share: if n is the smaller size, if it is the larger.
+
+    Behind the first common token both sets must have percent / (100 + percent) of the sum of sizes left, itself included.
+    """
+    return n - -(-2 * percent * n // (100 + percent)) + 1, n - -(-percent * n // 100) + 1
+
+
 def described(docs: DataFrame, shingle: int, percent: int, ranks) -> DataFrame:
     """(row, doc_id, version, n_shingles, d1, d2, keys) of every document, written once."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -145,9 +154,14 @@ def described(docs: DataFrame, shingle: int, percent: int, ranks) -> DataFrame:
         "row", F.monotonically_increasing_id()))
 
 
-def signature(tokens: np.ndarray) -> np.ndarray:
-    """Bitmap of about four bits a token, its width a power of two (at least 64, at most ``WIDEST`` bits)."""
-    width = min(max(64, 1 << (4 * len(tokens) - 1).bit_length()), WIDEST)
+def signature_width(n: int) -> int:
+    """About four bits a token, a power of two (at least 64, at most ``WIDEST`` bits)."""
+    return min(max(64, 1 << (4 * n - 1).bit_length()), WIDEST)
+
+
+def signature(tokens: np.ndarray, width: int | None = None) -> np.ndarray:
+    """Bitmap of tokens."""
+    width = signature_width(len(tokens)) if width is None else width
     bits = np.zeros(width, bool)
     bits[mix(tokens.view(np.uint64)) & np.uint64(width - 1)] = True
     return np.packbits(bits, bitorder="little")
@@ -216,31 +230,31 @@ def _children(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     return child[child < n], other[child < n]
 
 
-def _one_width(bits: list[bytes]) -> np.ndarray:
-    """Bitmaps as rows of 64-bit words, the wider ones folded to the narrowest: low bits of a place stay."""
-    narrow = min(map(len, bits))
-    out = [np.frombuffer(b, np.uint64) for b in bits]
-    return np.stack([b if len(b) * 8 == narrow else np.bitwise_or.reduce(b.reshape(-1, narrow // 8), axis=0) for b in out])
+def _reaches(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both * (100 + percent) >= percent * (len(a) + len(b))
 
 
-def search(rows: list[tuple], percent: int, spare: int = 0) -> list[tuple[int, int]]:
-    """Links that would join components, most promising first, for the classes of one pair of leaves.
+def search(side: np.ndarray, name: np.ndarray, ties: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that tie together all classes of a pair of leaves that the similarity ties, beyond those tied already.
 
-    Beyond one link for each two components, ``spare`` more per such link are proposed, in case the first is refuted.
-    ``rows`` hold (side, class, size, first token, tie, bitmap, refuted partners); side 2 is empty when a leaf meets itself.
+    Side 2 is empty when a leaf meets itself.
     """
-    rows = sorted(rows, key=lambda r: (r[0], r[3], r[2], r[1]))
-    bits = _one_width([r[5] for r in rows])
-    side, name, sizes, ties = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 2, 4))
+    sizes = np.array([len(s) for s in sets], np.int64)
+    order = np.lexsort((name, sizes, [s[0] for s in sets], side))
+    side, name, ties, sizes, sets = side[order], name[order], ties[order], sizes[order], [sets[k] for k in order]
+    width = signature_width(int(sizes.min()))
+    bits = np.stack([signature(s, width).view(np.uint64) for s in sets])
     trees, places = [], []
-    for s in (1, 2):
-        at = np.flatnonzero(side == s)
+    for k in (1, 2):
+        at = np.flatnonzero(side == k)
         places.append(at)
         trees.append(Tree(bits[at], sizes[at], ties[at]) if len(at) else None)
     other = 0 if trees[1] is None else 1
     i, j, overlap = candidates(trees[0], trees[other], percent)
     i, j = places[0][i], places[other][j]
-    refuted = {(r[1], p) for r in rows for p in (r[6] if r[6] is not None else ())}
+    if other == 0:
+        i, j, overlap = i[i < j], j[i < j], overlap[i < j]
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -249,193 +263,232 @@ def search(rows: list[tuple], percent: int, spare: int = 0) -> list[tuple[int, i
             x = up
         return x
 
-    out, more = [], []
+    out = []
     for k in np.lexsort((name[j], name[i], -overlap / (sizes[i] + sizes[j] + 1))).tolist() if len(i) else ():
         a, b = int(i[k]), int(j[k])
-        low, high = (a, b) if name[a] < name[b] else (b, a)
-        if low == high or ties[a] == ties[b] or (link := (int(name[low]), int(name[high]))) in refuted:
-            continue
         x, y = find(int(ties[a])), find(int(ties[b]))
-        if x != y:
+        if x != y and _reaches(sets[a], sets[b], percent):
             root[x] = y
-            out.append(link)
-        else:
-            more.append(link)
-    return out + list(dict.fromkeys(more))[:spare * len(out)]
+            out.append((min(int(name[a]), int(name[b])), max(int(name[a]), int(name[b]))))
+    return out
 
 
 _PAIR = ["leader", "band1", "leaf1", "band2", "leaf2"]
 
 
-def _proposed(work: DataFrame, percent: int, spare: int) -> DataFrame:
-    """Search every pair of leaves; rows of a pair follow one another inside a partition."""
+def _list_slices(column: pa.ListArray) -> list[np.ndarray]:
+    flat, ends = column.flatten().to_numpy(), column.offsets.to_numpy()
+    ends = ends - ends[0]
+    return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+
+def _searched(work: DataFrame, percent: int) -> DataFrame:
+    """Links found in every pair of leaves; rows of a pair follow one another inside a partition."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    def searched(held: list[tuple]) -> pa.RecordBatch | None:
+        side, name, ties = (np.concatenate([h[k] for h in held]) for k in range(3))
+        found = search(side, name, ties, [s for h in held for s in h[3]], percent) if len(side) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], schema=schema) if found else None
+
     def run(batches):
         held, key = [], None
         for batch in batches:
             keys = np.stack([batch.column(c).to_numpy() for c in _PAIR], 1)
-            columns = [batch.column(c).to_pylist() for c in ("side", "cls", "n", "first", "tie", "bits", "refuted")]
-            rows = list(zip(*columns))
-            new = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1
-            cuts, found = [0, *new.tolist(), len(rows)], []
+            columns = [batch.column(c).to_numpy() for c in ("side", "cls", "tie")]
+            sets = _list_slices(batch.column("tokens"))
+            cuts = [0, *(np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1).tolist(), len(keys)]
             for a, b in zip(cuts[:-1], cuts[1:]):
+                if a == b:
+                    continue
                 now = tuple(keys[a].tolist())
                 if now != key:
-                    if len(held) > 1:
-                        found += search(held, percent, spare)
+                    if held and (out := searched(held)) is not None:
+                        yield out
                     held, key = [], now
-                held += rows[a:b]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], schema=schema)
-        if len(held) > 1 and (found := search(held, percent, spare)):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], schema=schema)
+                held.append((*[c[a:b] for c in columns], sets[a:b]))
+        if held and (out := searched(held)) is not None:
+            yield out
 
     ordered = work.repartition(*_PAIR).sortWithinPartitions(*_PAIR)
     return batched(ordered).mapInArrow(run, "a long, b long").distinct()
 
 
-def _slotted(rows: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
-    """Rows that may have their key in ``wanted``: a broadcast of at most ``FILTER_SLOTS`` slots leaves out the others."""
-    slot = F.xxhash64(*keys).bitwiseAND(FILTER_SLOTS - 1)
-    slots = wanted.select(slot.alias("_slot")).distinct()
-    return rows.withColumn("_slot", slot).join(F.broadcast(slots), "_slot", "left_semi").drop("_slot")
+#: A document by its id and its text; a null id is one as well.
+_TEXT = ["own_null", "own_id", "own_version"]
+
 
+def _by_text(rows: DataFrame, doc_id: str = "doc_id", version=None) -> DataFrame:
+    version = F.xxhash64("text") if version is None else version
+    return rows.withColumns({
+        "own_null": F.col(doc_id).isNull(), "own_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(0).cast("long")), "own_version": version})
 
-def _sets(docs: DataFrame, wanted: DataFrame, shingle: int, ranks, repeated: bool) -> DataFrame:
-    """(cls, tokens, bits, first) of the classes in ``wanted`` (cls, doc_id, version), from their texts."""
+
+def _with_tokens(docs: DataFrame, wanted: DataFrame, extra: list[str], shingle: int, ranks) -> DataFrame:
+    """``wanted`` (cls, doc_id, version, extra) with the tokens of each class, worked out from its text again.
+
+    Texts are moved once, and only those that are wanted; repeated rows fall together on the same shuffle.
+    """
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = token_sets(batch.column("text"), shingle, ranks.value)
-        return pa.RecordBatch.from_arrays(
-            [batch.column("cls"), _arrays(sets), pa.array([signature(s).tobytes() for s in sets], pa.binary()),
-             pa.array([int(s[0]) for s in sets], pa.int64())], names=["cls", "tokens", "bits", "first"])
+        return pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("cls", *extra)], _arrays(sets)], names=["cls", *extra, "tokens"])
 
-    key = ["doc_id", "version"]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
-    rows = _slotted(rows, key, wanted).withColumnsRenamed({"doc_id": "own_id", "version": "own_version"})
-    texts = rows.join(wanted, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_version") == F.col("version"))).select("cls", "text")
-    return stored(batched(texts.dropDuplicates(["cls"]) if repeated else texts).mapInArrow(
-        per_batch(run), "cls long, tokens array<long>, bits binary, first long"))
+    wanted = _by_text(wanted, version=F.col("version")).select(*_TEXT, "cls", *extra)
+    texts = slotted(_by_text(docs.select("doc_id", "text")).select(*_TEXT, "text"), _TEXT, wanted)
+    rows = texts.join(wanted, _TEXT).dropDuplicates([*_TEXT, "cls", *extra]).select("cls", *extra, "text")
+    return batched(rows).mapInArrow(per_batch(run), ", ".join([*[f"{c} long" for c in ("cls", *extra)], "tokens array<long>"]))
 
 
-def _blocks(heads: DataFrame, percent: int) -> DataFrame:
-    """(leader, cls, n, band) of classes that share a key with another one.
+def _blocks(keys: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(leader, cls, n, band) of classes that share a key with another one, from (cls, key, short).
 
     Keys are counted by their least and largest class, which adds up before the shuffle; two classes of a key are named by these, and
-    only keys of more classes are joined back. Partners differ in size by the similarity at most, so they are in one band or in
-    two neighbours.
+    only keys of more classes are joined back. A key joins classes only if it may be the first common token of one that is
+    the smaller set (short). Partners differ in size by the similarity at most, so they are in one band or in two neighbours.
     """
-    keys = heads.select("cls", F.explode("keys").alias("key"))
     shared = stored(keys.groupBy("key").agg(
-        F.min("cls").alias("leader"), F.max("cls").alias("last"), F.count(F.lit(1)).alias("m")).where("m > 1"))
+        F.min("cls").alias("leader"), F.max("cls").alias("last"), F.count(F.lit(1)).alias("m"), F.max("short").alias("short")).where(
+        "leader < last and short").select("key", "leader", "last", "m"))
     large = shared.where("m > 2").select("key", "leader")
-    many = _slotted(keys, ["key"], large).join(large, "key").select("leader", "cls")
+    many = slotted(keys.select("cls", "key"), ["key"], large).join(large, "key").select("leader", "cls")
     two = shared.where("m = 2").select("leader", F.explode(F.array("leader", "last")).alias("cls"))
-    held = stored(many.unionByName(two).distinct())
-    discard(shared)
+    held = many.unionByName(two).distinct()
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("long")
-    return held.join(heads.select("cls", "n"), "cls").withColumn("band", band)
+    out = stored(held.join(sizes, "cls").withColumn("band", band))
+    discard(shared)
+    return out
 
 
-def classes_and_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """Rows (row, doc_id, version, n_shingles, cls) of all documents and components (node, component) of classes."""
+def _leaves(blocks: DataFrame, tied: DataFrame) -> DataFrame:
+    """(leader, band, leaf, leaves, cls, n, tie): classes of blocks in leaves of bounded size; a leader is in the first."""
+    room = F.greatest(F.lit(4), F.least(F.lit(LEAF), F.floor(F.lit(LEAF_TOKENS) / F.max("n"))))
+    counted = blocks.groupBy("leader", "band").agg(F.ceil(F.count(F.lit(1)) / room).alias("leaves"))
+    leaf = F.when(F.col("cls") == F.col("leader"), 0).otherwise(F.pmod(F.xxhash64("cls"), F.col("leaves")))
+    return blocks.join(counted, ["leader", "band"]).join(tied, F.col("cls") == F.col("node"), "left").select(
+        "leader", "band", leaf.cast("long").alias("leaf"), "leaves", "cls", "n", F.coalesce("component", "cls").alias("tie"))
+
+
+def _leaf_pairs(leafed: DataFrame, every: bool) -> DataFrame:
+    """Pairs of leaves of a block, in one band or in neighbours, that hold different components: each with itself and with first ones, or all."""
+    leaves = leafed.groupBy("leader", "band", "leaf").agg(F.min("tie").alias("low"), F.max("tie").alias("high"))
+    one, two = (leaves.select("leader", *[F.col(c).alias(f"{c}{k}") for c in ("band", "leaf", "low", "high")]) for k in (1, 2))
+    # the neighbouring band is reached by an equality too
+    two = two.withColumn("from", F.explode(F.array(F.col("band2"), F.col("band2") - 1))).withColumnRenamed("leader", "_leader")
+    pairs = one.join(two, (F.col("leader") == F.col("_leader")) & (F.col("band1") == F.col("from"))).where(
+        "band1 < band2 or leaf1 <= leaf2").where("least(low1, low2) < greatest(high1, high2)")
+    first = "leaf1 = 0 or leaf2 = 0 or (band1 = band2 and leaf1 = leaf2)"
+    # the others have been searched before, or are in this turn
+    return pairs.where(f"not ({first})" if every else first).select(*_PAIR)
+
+
+def _merged(tied: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) after further links; only the components that they touch are worked out anew."""
+    of = lambda side: F.coalesce(F.col(f"{side}_component"), F.col(side)).alias(side)
+    mapped = links
+    for side in ("a", "b"):
+        mapped = mapped.join(tied.select(F.col("node").alias(side), F.col("component").alias(f"{side}_component")), side, "left")
+    joined = components(mapped.select(of("a"), of("b")))
+    before = tied.join(joined.select(F.col("node").alias("component"), F.col("component").alias("now")), "component", "left").select(
+        "node", F.coalesce("now", "component").alias("component"))
+    return stored(before.unionByName(joined.join(tied.select("node"), "node", "left_anti")))
+
+
+def _cut(docs: DataFrame, leafed: DataFrame, heads: DataFrame, shingle: int, percent: int, ranks) -> DataFrame:
+    """Blocks in place of those in ``leafed``: members meet if they share a token that may be their first common one
+    in an order which puts the tokens of the block's leader last."""
+    leaders = leafed.select(F.col("leader").alias("cls")).distinct().join(heads.select("cls", "doc_id", "version"), "cls")
+    theirs = _with_tokens(docs, leaders, [], shingle, ranks).select(F.col("cls").alias("leader"), F.col("tokens").alias("last"))
+    members = leafed.select("cls", "leader").distinct().join(heads.select("cls", "doc_id", "version"), "cls")
+    rows = _with_tokens(docs, members, ["leader"], shingle, ranks).join(theirs, "leader")
+
+    def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
+        names, leaders = batch.column("cls").to_numpy(), batch.column("leader").to_numpy()
+        cls, key, short = [], [], []
+        for k, (tokens, last) in enumerate(zip(_list_slices(batch.column("tokens")), _list_slices(batch.column("last")))):
+            shared = np.isin(tokens, last, assume_unique=True)
+            smaller, larger = first_common(len(tokens), percent)
+            first = np.concatenate([tokens[~shared], tokens[shared]])[:larger]
+            key.append(mix(mix(first.view(np.uint64)) ^ mix(leaders[k:k + 1].view(np.uint64))).view(np.int64))
+            cls.append(np.full(len(first), names[k]))
+            short.append(np.arange(len(first)) < smaller)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (cls, key, short)], names=["cls", "key", "short"])
+
+    found = stored(batched(rows).mapInArrow(per_batch(keys), "cls long, key long, short boolean"))
+    out = _blocks(found, heads.select("cls", "n"), percent)
+    discard(found)
+    return out
+
+
+def linked_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All documents (row, doc_id, version, n_shingles, d1, d2), their classes (cls, d1, d2, n_shingles, n, doc_id, version, best)
+    and components (node, component) of linked classes."""
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(token_ranks(docs, shingle))
     keyed = described(docs, shingle, percent, ranks)
-    same = ["d1", "d2", "n_shingles"]
-    classes = stored(keyed.where("n_shingles > 0").groupBy(*same).agg(F.min("row").alias("cls")))
-    members = stored(keyed.select("row", "doc_id", "version", *same).join(classes, same, "left").drop("d1", "d2"))
-    heads = keyed.join(classes.select("cls"), F.col("row") == F.col("cls")).select(
-        "cls", F.col("n_shingles").alias("n"), "keys")
-    banded = stored(_blocks(heads, percent))
-    discard(keyed)
-    repeated = not members.where("cls is not null").groupBy("doc_id", "version").count().where("count > 1").isEmpty()
-    first = members.where("row = cls").select("cls", "doc_id", "version")
-    sets = _sets(docs, first.join(banded.select("cls").distinct(), "cls"), shingle, ranks, repeated)
-    counted = banded.groupBy("leader", "band").agg(F.ceil(F.count(F.lit(1)) / LEAF).alias("leaves"))
-    leafed = stored(banded.join(counted, ["leader", "band"]).withColumn(
-        "leaf", F.pmod(F.xxhash64("cls"), F.col("leaves"))).drop("leaves"))
-    nothing = spark.createDataFrame([], "a long, b long")
-    links, refuted, tied, turn = nothing, nothing, spark.createDataFrame([], "node long, component long"), 0
-    while True:
-        now = leafed.join(tied, F.col("cls") == F.col("node"), "left").select(
-            "leader", "band", "leaf", "cls", "n", F.coalesce("component", "cls").alias("tie"))
-        leaves = now.groupBy("leader", "band", "leaf").agg(F.min("tie").alias("low"), F.max("tie").alias("high"))
-        one, two = (leaves.select("leader", *[F.col(c).alias(f"{c}{k}") for c in ("band", "leaf", "low", "high")]) for k in (1, 2))
-        # the neighbouring band is reached by an equality too
-        two = two.withColumn("from", F.explode(F.array(F.col("band2"), F.col("band2") - 1)))
-        pairs = one.join(two.withColumnRenamed("leader", "_leader"), (F.col("leader") == F.col("_leader")) & (F.col("band1") == F.col("from"))).where(
-            "band1 < band2 or leaf1 <= leaf2").where("least(low1, low2) < greatest(high1, high2)")
-        if turn == 0:
-            pairs = pairs.where("leaf1 = 0 or (band1 = band2 and leaf1 = leaf2)")
-        # written, so that the search is planned from a small table of known size
-        pairs = stored(pairs.select(*_PAIR))
-        if turn and pairs.isEmpty():
-            break
-        against = refuted.groupBy("a").agg(F.collect_set("b").alias("refuted"))
-        # only leaves that are searched move bitmaps
-        wanted = pairs.select("leader", F.inline(F.array(*[
-            F.struct(F.col(f"band{k}").alias("band"), F.col(f"leaf{k}").alias("leaf")) for k in (1, 2)]))).distinct()
-        now = now.join(wanted, ["leader", "band", "leaf"])
-        known = now.join(_slotted(sets.select("cls", "bits", "first"), ["cls"], now), "cls").join(
-            against, F.col("cls") == F.col("a"), "left").drop("a")
+    named = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"), F.col("version").alias("version"))
+    classes = stored(keyed.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(
+        F.min("row").alias("cls"), F.count(F.lit(1)).alias("n"), F.min_by(F.struct("doc_id", "version"), "row").alias("f"), F.min(named).alias("best")).select(
+        "cls", "d1", "d2", "n_shingles", "n", "f.*", "best"))
+    heads = classes.select("cls", F.col("n_shingles").alias("n"), "doc_id", "version")
+    keys = keyed.select("row", "keys").join(classes.select("cls"), F.col("row") == F.col("cls")).select(
+        "cls", F.explode("keys").alias("key"), F.lit(True).alias("short"))
+    blocks = _blocks(keys, heads.select("cls", "n"), percent)
+    tied = spark.createDataFrame([], "node long, component long")
+    for turn in range(CUTS + 2):
+        leafed = stored(_leaves(blocks, tied))
+        if turn:
+            # blocks of one leaf a band have been searched whole
+            several = leafed.groupBy("leader").agg(
+                F.max("leaves").alias("most"), F.min("tie").alias("low"), F.max("tie").alias("high")).where("most > 1 and low < high")
+            left = stored(leafed.join(several.select("leader"), "leader", "left_semi"))
+            if left.isEmpty():
+                break
+            if turn <= CUTS:
+                blocks = _cut(docs, left, heads, shingle, percent, ranks)
+                leafed = stored(_leaves(blocks, tied))
+            else:
+                leafed = left
+        pairs = stored(_leaf_pairs(leafed, every=turn > CUTS))
         work = None
         for k in (1, 2):
             mine = pairs if k == 1 else pairs.where("band1 <> band2 or leaf1 <> leaf2")
             part = mine.withColumns({"band": F.col(f"band{k}"), "leaf": F.col(f"leaf{k}")}).join(
-                known, ["leader", "band", "leaf"]).select(
-                *_PAIR, F.lit(k).alias("side"), "cls", "n", "first", "tie", "bits", "refuted")
+                leafed, ["leader", "band", "leaf"]).select(*_PAIR, F.lit(k).cast("long").alias("side"), "cls", "tie")
             work = part if work is None else work.unionByName(part)
-        # a block whose links are refuted proposes four times as many in the next turn
-        proposed = stored(_proposed(work, percent, 4 ** turn))
-        discard(pairs)
-        if proposed.isEmpty():
-            if turn:
-                break
-        else:
-            sided = lambda c: _slotted(
-                sets.select("cls", "tokens"), ["cls"], proposed.select(F.col(c).alias("cls"))).select(
-                F.col("cls").alias(c), F.col("tokens").alias(f"{c}_tokens"))
-            both = F.size(F.array_intersect("a_tokens", "b_tokens"))
-            checked = stored(proposed.join(sided("a"), "a").join(sided("b"), "b").select("a", "b", (
-                both * (100 + percent) >= percent * (F.size("a_tokens") + F.size("b_tokens"))).alias("linked")))
-            refuted = refuted.unionByName(checked.where("not linked").drop("linked"))
-            new = checked.where("linked").drop("linked")
-            if not new.isEmpty():
-                links = links.unionByName(new)
-                tied = stored(components(links))
-        turn += 1
-        discard(proposed)
-    discard(sets)
-    return members, tied
-
-
-def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(row, doc_id, version, n_shingles, group) of all documents."""
-    members, tied = classes_and_links(docs, shingle, percent)
-    return members.join(tied, F.col("cls") == F.col("node"), "left").select(
-        "row", "doc_id", "version", "n_shingles", F.coalesce("component", "cls").alias("group"))
+        work = stored(work.join(heads.select("cls", "doc_id", "version"), "cls"))
+        links = stored(_searched(_with_tokens(docs, work, [*_PAIR, "side", "tie"], shingle, ranks), percent))
+        discard(work)
+        tied = _merged(tied, links)
+    return keyed, classes, tied
+
+
+def _grouped(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """All documents, and their classes (d1, d2, n_shingles, n, best) with the least document of their component."""
+    keyed, classes, tied = linked_classes(docs, shingle, percent)
+    grouped = stored(classes.join(tied, F.col("cls") == F.col("node"), "left").select(
+        "d1", "d2", "n_shingles", F.col("n").alias("copies"), "best", F.coalesce("component", "cls").alias("group")))
+    least = stored(grouped.groupBy("group").agg(F.min("best").alias("least"), F.count(F.lit(1)).alias("n")))
+    return keyed, stored(attached(grouped.drop("best"), least, ["group"]).select(
+        "d1", "d2", "n_shingles", F.col("copies").alias("n"), "least", "group"))
 
 
 def join_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Size of every document's set, and the smallest doc_id that links lead to."""
-    rows = _grouped(docs, shingle, percent)
-    names = rows.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(names, "group", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    keyed, groups = _grouped(docs, shingle, percent)
+    same = ["d1", "d2", "n_shingles"]
+    rows = keyed.select("doc_id", *same)
+    named = attached(rows.where("n_shingles > 0"), groups.select(*same, "n", F.col("least.doc_id").alias("component_id")), same)
+    return named.select("doc_id", "n_shingles", "component_id").unionByName(
+        rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def one_per_component(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Rows of ``docs``, columns unchanged: the smallest doc_id of every component, and all texts without shingles."""
-    rows = stored(_grouped(docs, shingle, percent))
-    first = rows.where("group is not null").groupBy("group").agg(
-        F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"), "version")).alias("s"))
+    _, groups = _grouped(docs, shingle, percent)
+    keep = _by_text(groups.groupBy("group").agg(F.first("least").alias("s")).select("s.doc_id", "s.version"), version=F.col("version")).select(*_TEXT)
+    blank = F.length(F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\x0c\r"))) == 0
+    whole = _by_text(docs.select(F.struct("*").alias("doc"), "doc_id", "text")).drop("doc_id")
+    # repeated rows cannot be told apart by id and text; one of them stays
+    kept = whole.where(~blank).join(keep, _TEXT).dropDuplicates(_TEXT).select("doc")
     # texts without shingles are no copies of each other and all stay
-    keep = first.select("s.doc_id", "s.version", F.lit(True).alias("some")).unionByName(
-        rows.where("group is null").select("doc_id", "version", F.lit(False).alias("some")).distinct())
-    whole = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64("text").alias("own_version"))
-    kept = whole.join(keep, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_version") == F.col("version")))
-    if not rows.where("group is not null").groupBy("doc_id", "version").count().where("count > 1").isEmpty():
-        # repeated rows cannot be told apart by id and text; one of them stays
-        kept = kept.where("some").dropDuplicates(["own_id", "own_version"]).unionByName(kept.where("not some"))
-    return kept.select("doc.*")
+    return kept.unionByName(whole.where(blank).select("doc")).select("doc.*")

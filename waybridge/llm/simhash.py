@@ -225,7 +225,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, crowd: int = CROWD)
     grouped = stored(different.join(nodes, F.col("fp") == F.col("node"), "left").select(
         "fp", "n", "least", F.coalesce("component", "fp").alias("component")))
     names = stored(grouped.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")))
-    named = stored(attached(grouped.withColumnRenamed("n", "copies"), names, "component").select(
+    named = stored(attached(grouped.withColumnRenamed("n", "copies"), names, ["component"]).select(
         "fp", F.col("copies").alias("n"), "component_id"))
-    return attached(rows, named, "fp").select(
+    return attached(rows, named, ["fp"]).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
