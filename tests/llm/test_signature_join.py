@@ -132,13 +132,12 @@ def test_texts_from_a_template_do_not_meet_pairwise(spark, monkeypatch):
     monkeypatch.setattr(signature_join, "LEAF", 8)
     searched, real = [], signature_join._searched
     monkeypatch.setattr(signature_join, "_searched", lambda work, percent: (searched.append(work.count()), real(work, percent))[1])
-    rows = []
-    for n in (80, 160, 320):
+    for n in (100, 300):
         searched.clear()
         got = signature_join.join_components(documents(spark, template(n, 7), clashes=False)).collect()
         assert len({r.component_id for r in got}) == n
-        rows.append(sum(searched))
-    assert all(b <= 2.3 * a for a, b in zip(rows[:-1], rows[1:])), rows
+        # a leaf meets itself and a first leaf; with all pairs of leaves it would be some n * n / 16
+        assert sum(searched) <= 4 * n
 
 
 def test_a_template_with_links_among_its_texts(spark, monkeypatch):

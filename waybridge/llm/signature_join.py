@@ -32,7 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from waybridge.llm.common import attached, batched, discard, mix, per_batch, slotted, stored
 from waybridge.llm.components import components
@@ -238,12 +238,13 @@ def _reaches(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def search(side: np.ndarray, name: np.ndarray, ties: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links that tie together all classes of a pair of leaves that the similarity ties, beyond those tied already.
 
-    Side 2 is empty when a leaf meets itself.
+    Side 2 is empty when a leaf meets itself. What is tied together is given as links to one of its members.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
-    order = np.lexsort((name, sizes, [s[0] for s in sets], side))
+    # sets of like size side by side, and among them those that begin alike
+    order = np.lexsort((name, [s[0] for s in sets], np.floor(np.log(sizes) / np.log(100 / percent)), side))
     side, name, ties, sizes, sets = side[order], name[order], ties[order], sizes[order], [sets[k] for k in order]
-    width = signature_width(int(sizes.min()))
+    width = signature_width(int(sizes.max()))
     bits = np.stack([signature(s, width).view(np.uint64) for s in sets])
     trees, places = [], []
     for k in (1, 2):
@@ -263,14 +264,12 @@ def search(side: np.ndarray, name: np.ndarray, ties: np.ndarray, sets: list[np.n
             x = up
         return x
 
-    out = []
     for k in np.lexsort((name[j], name[i], -overlap / (sizes[i] + sizes[j] + 1))).tolist() if len(i) else ():
         a, b = int(i[k]), int(j[k])
         x, y = find(int(ties[a])), find(int(ties[b]))
         if x != y and _reaches(sets[a], sets[b], percent):
-            root[x] = y
-            out.append((min(int(name[a]), int(name[b])), max(int(name[a]), int(name[b]))))
-    return out
+            root[max(x, y)] = min(x, y)
+    return [(x, top) for x in root if (top := find(x)) != x]
 
 
 _PAIR = ["leader", "band1", "leaf1", "band2", "leaf2"]
@@ -311,7 +310,7 @@ def _searched(work: DataFrame, percent: int) -> DataFrame:
             yield out
 
     ordered = work.repartition(*_PAIR).sortWithinPartitions(*_PAIR)
-    return batched(ordered).mapInArrow(run, "a long, b long").distinct()
+    return batched(ordered).mapInArrow(run, "a long, b long")
 
 
 #: A document by its id and its text; a null id is one as well.
@@ -339,12 +338,12 @@ def _with_tokens(docs: DataFrame, wanted: DataFrame, extra: list[str], shingle:
     return batched(rows).mapInArrow(per_batch(run), ", ".join([*[f"{c} long" for c in ("cls", *extra)], "tokens array<long>"]))
 
 
-def _blocks(keys: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """(leader, cls, n, band) of classes that share a key with another one, from (cls, key, short).
+def _blocks(keys: DataFrame, heads: DataFrame) -> DataFrame:
+    """(leader, cls, n, doc_id, version) of classes that share a key with another one, from (cls, key, short).
 
     Keys are counted by their least and largest class, which adds up before the shuffle; two classes of a key are named by these, and
     only keys of more classes are joined back. A key joins classes only if it may be the first common token of one that is
-    the smaller set (short). Partners differ in size by the similarity at most, so they are in one band or in two neighbours.
+    the smaller set (short).
     """
     shared = stored(keys.groupBy("key").agg(
         F.min("cls").alias("leader"), F.max("cls").alias("last"), F.count(F.lit(1)).alias("m"), F.max("short").alias("short")).where(
@@ -352,24 +351,40 @@ def _blocks(keys: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     large = shared.where("m > 2").select("key", "leader")
     many = slotted(keys.select("cls", "key"), ["key"], large).join(large, "key").select("leader", "cls")
     two = shared.where("m = 2").select("leader", F.explode(F.array("leader", "last")).alias("cls"))
-    held = many.unionByName(two).distinct()
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("long")
-    out = stored(held.join(sizes, "cls").withColumn("band", band))
+    out = stored(many.unionByName(two).distinct().join(heads, "cls"))
     discard(shared)
     return out
 
 
-def _leaves(blocks: DataFrame, tied: DataFrame) -> DataFrame:
-    """(leader, band, leaf, leaves, cls, n, tie): classes of blocks in leaves of bounded size; a leader is in the first."""
-    room = F.greatest(F.lit(4), F.least(F.lit(LEAF), F.floor(F.lit(LEAF_TOKENS) / F.max("n"))))
-    counted = blocks.groupBy("leader", "band").agg(F.ceil(F.count(F.lit(1)) / room).alias("leaves"))
-    leaf = F.when(F.col("cls") == F.col("leader"), 0).otherwise(F.pmod(F.xxhash64("cls"), F.col("leaves")))
-    return blocks.join(counted, ["leader", "band"]).join(tied, F.col("cls") == F.col("node"), "left").select(
-        "leader", "band", leaf.cast("long").alias("leaf"), "leaves", "cls", "n", F.coalesce("component", "cls").alias("tie"))
+def _room() -> Column:
+    """Classes that a leaf of the largest of them may hold."""
+    return F.greatest(F.lit(4), F.least(F.lit(LEAF), F.floor(F.lit(LEAF_TOKENS) / F.max("n"))))
+
+
+def _large(blocks: DataFrame) -> DataFrame:
+    """Members of the blocks that do not fit into one leaf."""
+    counted = blocks.groupBy("leader").agg((F.count(F.lit(1)) > _room()).alias("large")).where("large").select("leader")
+    return stored(blocks.join(counted, "leader", "left_semi"))
+
+
+def _leaves(blocks: DataFrame, percent: int) -> DataFrame:
+    """``blocks`` with band and leaf: leaves of bounded size, whose members are of like size; a leader is in the first.
+
+    Partners differ in size by the similarity at most, so they are in one band or in two neighbours.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("long")
+    banded = blocks.withColumn("band", band)
+    counted = banded.groupBy("leader", "band").agg(F.ceil(F.count(F.lit(1)) / _room()).alias("leaves")).where("leaves > 1")
+    leaf = F.when(F.col("cls") == F.col("leader"), 0).otherwise(F.pmod(F.xxhash64("cls"), F.coalesce("leaves", F.lit(1))))
+    return banded.join(counted, ["leader", "band"], "left").withColumn("leaf", leaf.cast("long")).drop("leaves")
+
+
+def _tied(rows: DataFrame, tied: DataFrame) -> DataFrame:
+    return rows.join(tied, F.col("cls") == F.col("node"), "left").withColumn("tie", F.coalesce("component", "cls")).drop("node", "component")
 
 
 def _leaf_pairs(leafed: DataFrame, every: bool) -> DataFrame:
-    """Pairs of leaves of a block, in one band or in neighbours, that hold different components: each with itself and with first ones, or all."""
+    """Pairs of leaves of a block, in one band or in neighbours, that hold different components: each with itself and with first ones, or all others."""
     leaves = leafed.groupBy("leader", "band", "leaf").agg(F.min("tie").alias("low"), F.max("tie").alias("high"))
     one, two = (leaves.select("leader", *[F.col(c).alias(f"{c}{k}") for c in ("band", "leaf", "low", "high")]) for k in (1, 2))
     # the neighbouring band is reached by an equality too
@@ -377,12 +392,25 @@ def _leaf_pairs(leafed: DataFrame, every: bool) -> DataFrame:
     pairs = one.join(two, (F.col("leader") == F.col("_leader")) & (F.col("band1") == F.col("from"))).where(
         "band1 < band2 or leaf1 <= leaf2").where("least(low1, low2) < greatest(high1, high2)")
     first = "leaf1 = 0 or leaf2 = 0 or (band1 = band2 and leaf1 = leaf2)"
-    # the others have been searched before, or are in this turn
     return pairs.where(f"not ({first})" if every else first).select(*_PAIR)
 
 
-def _merged(tied: DataFrame, links: DataFrame) -> DataFrame:
+def _paired(leafed: DataFrame, every: bool) -> DataFrame:
+    """Members of every pair of leaves that is to be searched."""
+    pairs = stored(_leaf_pairs(leafed, every))
+    work = None
+    for k in (1, 2):
+        mine = pairs if k == 1 else pairs.where("band1 <> band2 or leaf1 <> leaf2")
+        part = mine.withColumns({"band": F.col(f"band{k}"), "leaf": F.col(f"leaf{k}")}).join(
+            leafed, ["leader", "band", "leaf"]).select(*_PAIR, F.lit(k).cast("long").alias("side"), "cls", "tie", "doc_id", "version")
+        work = part if work is None else work.unionByName(part)
+    return work
+
+
+def _merged(tied: DataFrame | None, links: DataFrame) -> DataFrame:
     """Components (node, component) after further links; only the components that they touch are worked out anew."""
+    if tied is None:
+        return stored(components(links))
     of = lambda side: F.coalesce(F.col(f"{side}_component"), F.col(side)).alias(side)
     mapped = links
     for side in ("a", "b"):
@@ -393,13 +421,12 @@ def _merged(tied: DataFrame, links: DataFrame) -> DataFrame:
     return stored(before.unionByName(joined.join(tied.select("node"), "node", "left_anti")))
 
 
-def _cut(docs: DataFrame, leafed: DataFrame, heads: DataFrame, shingle: int, percent: int, ranks) -> DataFrame:
-    """Blocks in place of those in ``leafed``: members meet if they share a token that may be their first common one
+def _cut(docs: DataFrame, blocks: DataFrame, heads: DataFrame, shingle: int, percent: int, ranks) -> DataFrame:
+    """Blocks in place of ``blocks``: members meet if they share a token that may be their first common one
     in an order which puts the tokens of the block's leader last."""
-    leaders = leafed.select(F.col("leader").alias("cls")).distinct().join(heads.select("cls", "doc_id", "version"), "cls")
+    leaders = heads.join(blocks.select(F.col("leader").alias("cls")).distinct(), "cls")
     theirs = _with_tokens(docs, leaders, [], shingle, ranks).select(F.col("cls").alias("leader"), F.col("tokens").alias("last"))
-    members = leafed.select("cls", "leader").distinct().join(heads.select("cls", "doc_id", "version"), "cls")
-    rows = _with_tokens(docs, members, ["leader"], shingle, ranks).join(theirs, "leader")
+    rows = _with_tokens(docs, blocks, ["leader"], shingle, ranks).join(theirs, "leader")
 
     def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
         names, leaders = batch.column("cls").to_numpy(), batch.column("leader").to_numpy()
@@ -414,7 +441,7 @@ def _cut(docs: DataFrame, leafed: DataFrame, heads: DataFrame, shingle: int, per
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (cls, key, short)], names=["cls", "key", "short"])
 
     found = stored(batched(rows).mapInArrow(per_batch(keys), "cls long, key long, short boolean"))
-    out = _blocks(found, heads.select("cls", "n"), percent)
+    out = _blocks(found, heads)
     discard(found)
     return out
 
@@ -422,43 +449,43 @@ def _cut(docs: DataFrame, leafed: DataFrame, heads: DataFrame, shingle: int, per
 def linked_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All documents (row, doc_id, version, n_shingles, d1, d2), their classes (cls, d1, d2, n_shingles, n, doc_id, version, best)
     and components (node, component) of linked classes."""
-    spark = docs.sparkSession
-    ranks = spark.sparkContext.broadcast(token_ranks(docs, shingle))
+    ranks = docs.sparkSession.sparkContext.broadcast(token_ranks(docs, shingle))
     keyed = described(docs, shingle, percent, ranks)
     named = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"), F.col("version").alias("version"))
+    # equal sets have equal keys
     classes = stored(keyed.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(
-        F.min("row").alias("cls"), F.count(F.lit(1)).alias("n"), F.min_by(F.struct("doc_id", "version"), "row").alias("f"), F.min(named).alias("best")).select(
-        "cls", "d1", "d2", "n_shingles", "n", "f.*", "best"))
+        F.min("row").alias("cls"), F.count(F.lit(1)).alias("n"), F.min_by(F.struct("doc_id", "version"), "row").alias("f"),
+        F.min(named).alias("best"), F.first("keys").alias("keys")).select("cls", "d1", "d2", "n_shingles", "n", "f.*", "best", "keys"))
     heads = classes.select("cls", F.col("n_shingles").alias("n"), "doc_id", "version")
-    keys = keyed.select("row", "keys").join(classes.select("cls"), F.col("row") == F.col("cls")).select(
-        "cls", F.explode("keys").alias("key"), F.lit(True).alias("short"))
-    blocks = _blocks(keys, heads.select("cls", "n"), percent)
-    tied = spark.createDataFrame([], "node long, component long")
-    for turn in range(CUTS + 2):
-        leafed = stored(_leaves(blocks, tied))
-        if turn:
-            # blocks of one leaf a band have been searched whole
-            several = leafed.groupBy("leader").agg(
-                F.max("leaves").alias("most"), F.min("tie").alias("low"), F.max("tie").alias("high")).where("most > 1 and low < high")
-            left = stored(leafed.join(several.select("leader"), "leader", "left_semi"))
-            if left.isEmpty():
-                break
-            if turn <= CUTS:
-                blocks = _cut(docs, left, heads, shingle, percent, ranks)
-                leafed = stored(_leaves(blocks, tied))
-            else:
-                leafed = left
-        pairs = stored(_leaf_pairs(leafed, every=turn > CUTS))
-        work = None
-        for k in (1, 2):
-            mine = pairs if k == 1 else pairs.where("band1 <> band2 or leaf1 <> leaf2")
-            part = mine.withColumns({"band": F.col(f"band{k}"), "leaf": F.col(f"leaf{k}")}).join(
-                leafed, ["leader", "band", "leaf"]).select(*_PAIR, F.lit(k).cast("long").alias("side"), "cls", "tie")
-            work = part if work is None else work.unionByName(part)
-        work = stored(work.join(heads.select("cls", "doc_id", "version"), "cls"))
-        links = stored(_searched(_with_tokens(docs, work, [*_PAIR, "side", "tie"], shingle, ranks), percent))
+    blocks = _blocks(classes.select("cls", F.explode("keys").alias("key"), F.lit(True).alias("short")), heads)
+    searched = lambda work: stored(_searched(_with_tokens(docs, work, [*_PAIR, "side", "tie"], shingle, ranks), percent))
+    alone = lambda rows: rows.select("leader", *[F.lit(0).cast("long").alias(c) for c in _PAIR[1:]], F.lit(1).cast("long").alias("side"),
+                                     "cls", "tie", "doc_id", "version")
+    tied = None
+    for turn in range(CUTS + 1):
+        large = _large(blocks)
+        known = lambda rows: rows.withColumn("tie", F.col("cls")) if tied is None else _tied(rows, tied)
+        # blocks of one leaf are searched whole
+        work = alone(known(blocks).join(large.select("leader").distinct(), "leader", "left_anti"))
+        several = not large.isEmpty()
+        if several:
+            large = stored(known(_leaves(large, percent)))
+            work = work.unionByName(_paired(large, every=False))
+        work = stored(work)
+        links = searched(work)
         discard(work)
         tied = _merged(tied, links)
+        if not several:
+            break
+        now = _tied(large.drop("tie"), tied)
+        left = now.groupBy("leader").agg(F.min("tie").alias("low"), F.max("tie").alias("high")).where("low < high").select("leader")
+        left = stored(now.join(left, "leader", "left_semi"))
+        if left.isEmpty():
+            break
+        if turn < CUTS:
+            blocks = _cut(docs, left.select("leader", "cls", "doc_id", "version"), heads, shingle, percent, ranks)
+        else:
+            tied = _merged(tied, searched(stored(_paired(left, every=True))))
     return keyed, classes, tied
 
 
