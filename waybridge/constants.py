@@ -470,3 +470,19 @@ COMPARED_FIELDS = ["invoice_no", "packing_list_no", "waybill_no", "declaration_n
                    "goods_description", "total_packages", "gross_weight_kg", "consignor_name",
                    "consignee_name", "container_no", "total_amount", "declared_value", "currency",
                    "waybill_type", "route_countries", "departure_country", "destination_country"]
+
+# ---- retrieval -------------------------------------------------------------
+# fixed values: words that are looked up together with the results of a check
+CHECK_HINTS = {
+    "DOC-001": "单证缺失 原产地证书 清关要求",
+    "CONS-001": "货物描述 品名 归类一致",
+    "CONS-002": "件数 装箱计数 查验",
+    "CONS-003": "毛重 过磅 容差",
+    "CONS-004": "发货人 名称 注册一致",
+    "CONS-005": "收货人 名称 一致",
+    "CONS-006": "运单号 随附单证 报关",
+    "CONS-007": "集装箱号 箱号 铅封",
+    "CONS-008": "申报金额 发票金额",
+    "ROUTE-001": "运单类型 SMGS CIM 覆盖 路线",
+    "ROUTE-002": "起运国 运抵国 路线 转关",
+}

@@ -13,6 +13,7 @@ Shape of the work:
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -300,14 +301,33 @@ def text_facts(groups: DataFrame, kinds: list[str]) -> DataFrame:
     return groups.groupBy("batch_id").agg(*out)
 
 
-def goods_scores(flat: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+def _by_backend(pairs: DataFrame, similarity: Callable[[Column, Column], Column]) -> DataFrame:
+    """Pairs with the score of another similarity, asked once per different pair; the gram cosine where it has none."""
+    asked = pairs.select(F.col("goods_base").alias("a"), F.col("norm").alias("b")).distinct().select(
+        "a", "b", similarity(F.col("a"), F.col("b")).cast("double").alias("given"))
+    # written, so that no later step asks again
+    within = F.when(F.col("given").isNotNull(), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("given"))), 4))
+    scored = written(asked.select("a", "b", within.alias("given")))
+    gram = written(scored.where("given is null").select("a", "b", S.similarity(F.col("a"), F.col("b")).alias("score")))
+    whole = scored.where("given is not null").select("a", "b", F.col("given").alias("score")).unionByName(gram)
+    return pairs.join(whole, (F.col("goods_base") == F.col("a")) & (F.col("norm") == F.col("b"))).drop("a", "b")
+
+
+def goods_scores(flat: DataFrame, groups: DataFrame | None = None,
+                 similarity: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Score of every description that differs from the majority of its batch.
 
-    One row per differing description, with its score, guard and grade.
+    One row per differing description, with its score, guard and grade. ``similarity`` may be a function of two
+    columns or a registered Arrow UDF that gives a score from 0 to 1, or null where it has none.
     """
     groups = text_groups(flat, ["goods"]) if groups is None else groups
     base = text_facts(groups, ["goods"]).where("goods_groups > 1").select("batch_id", "goods_base")
     pairs = groups.join(base, "batch_id").where(F.col("norm") != F.col("goods_base"))
+    if similarity is not None:
+        return _by_backend(pairs, similarity).select(
+            "batch_id", F.col("goods_base").alias("base_text"), F.col("norm").alias("other_text"), F.col("n").alias("n_docs"),
+            F.col("first").alias("first_doc"), "score", S.contradiction(F.col("goods_base"), F.col("norm")).alias("guard")).withColumn(
+            "grade", S.grade(F.col("score"), F.col("guard")))
     scored = F.struct(
         S.similarity(F.col("goods_base"), F.col("norm")).alias("score"),
         S.contradiction(F.col("goods_base"), F.col("norm")).alias("guard"))
@@ -396,14 +416,15 @@ def _worst_deviation(low: str, high: str, base: str) -> Column:
 
 def statuses(docs: DataFrame, batches: DataFrame | None = None, rules: DataFrame | None = None,
              checks: list[str] | None = None, flat: DataFrame | None = None,
-             groups: DataFrame | None = None, repeated: DataFrame | None = None) -> DataFrame:
+             groups: DataFrame | None = None, repeated: DataFrame | None = None,
+             similarity: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """One row per batch with a status column per check and the facts behind it.
 
     ``batches`` brings declared compositions and structural problems, ``rules``
     the document rules; without them those checks are left out. ``checks``
     narrows the work to the named checks. ``flat`` and ``groups`` may bring prepared
     rows and text groups that the caller keeps, as both are read more than once, and
-    ``repeated`` the outcome of ``duplicate_types``.
+    ``repeated`` the outcome of ``duplicate_types``. ``similarity`` takes the place of the gram cosine (see ``goods_scores``).
     """
     wanted = set(checks or ALL_CHECKS)
     use_rules = rules is not None and RULE_CHECK in wanted
@@ -445,7 +466,7 @@ def statuses(docs: DataFrame, batches: DataFrame | None = None, rules: DataFrame
             F.col("n_declared") > 0,
             F.when(n("composition_differences") > 0, C.WARNING).otherwise(C.PASS))
     if "CONS-001" in wanted:
-        scores = goods_scores(flat, groups.where("kind = 'goods'")).groupBy("batch_id").agg(
+        scores = goods_scores(flat, groups.where("kind = 'goods'"), similarity).groupBy("batch_id").agg(
             _count(F.col("grade") == "mismatch").alias("goods_mismatches"),
             _count(F.col("grade") == "suspect").alias("goods_suspects"))
         out = out.join(scores, "batch_id", "left")
