@@ -17,7 +17,7 @@ holds the block's leader, so a crowd of near copies is tied together at a cost i
 several components is cut anew: its members order their tokens so that those the leader lacks come first, and meet only
 if they share a token among the first that such an order allows as first common one (fewer for the smaller of
 two sets than for the larger). Texts from one template have their own words there and do not meet; their block falls apart. After
-``CUTS`` such turns the leaf pairs that are still left are searched one by one, so every pair that may link has been seen.
+``CUTS`` such turns all leaf pairs that hold different components are searched, so every pair that may link has been seen.
 
 Defined cases: null or empty texts have no shingles, link with nothing and are their own component, named by
 their doc_id. A repeated row is a copy. A null doc_id links like any other and never names a component that
@@ -43,7 +43,7 @@ SLOT_BITS = 22
 #: Classes in a leaf of a block and their tokens, children of a tree node, and widest signature in bits.
 LEAF, LEAF_TOKENS, FANOUT, WIDEST = 256, 1 << 21, 8, 1 << 17
 #: Turns in which blocks that still hold several components are cut anew.
-CUTS = 2
+CUTS = 1
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
@@ -384,15 +384,14 @@ def _tied(rows: DataFrame, tied: DataFrame) -> DataFrame:
 
 
 def _leaf_pairs(leafed: DataFrame, every: bool) -> DataFrame:
-    """Pairs of leaves of a block, in one band or in neighbours, that hold different components: each with itself and with first ones, or all others."""
+    """Pairs of leaves of a block, in one band or in neighbours, that hold different components: each with itself and with first ones, or all."""
     leaves = leafed.groupBy("leader", "band", "leaf").agg(F.min("tie").alias("low"), F.max("tie").alias("high"))
     one, two = (leaves.select("leader", *[F.col(c).alias(f"{c}{k}") for c in ("band", "leaf", "low", "high")]) for k in (1, 2))
     # the neighbouring band is reached by an equality too
     two = two.withColumn("from", F.explode(F.array(F.col("band2"), F.col("band2") - 1))).withColumnRenamed("leader", "_leader")
     pairs = one.join(two, (F.col("leader") == F.col("_leader")) & (F.col("band1") == F.col("from"))).where(
         "band1 < band2 or leaf1 <= leaf2").where("least(low1, low2) < greatest(high1, high2)")
-    first = "leaf1 = 0 or leaf2 = 0 or (band1 = band2 and leaf1 = leaf2)"
-    return pairs.where(f"not ({first})" if every else first).select(*_PAIR)
+    return pairs.where("true" if every else "leaf1 = 0 or leaf2 = 0 or (band1 = band2 and leaf1 = leaf2)").select(*_PAIR)
 
 
 def _paired(leafed: DataFrame, every: bool) -> DataFrame:
@@ -424,9 +423,9 @@ def _merged(tied: DataFrame | None, links: DataFrame) -> DataFrame:
 def _cut(docs: DataFrame, blocks: DataFrame, heads: DataFrame, shingle: int, percent: int, ranks) -> DataFrame:
     """Blocks in place of ``blocks``: members meet if they share a token that may be their first common one
     in an order which puts the tokens of the block's leader last."""
-    leaders = heads.join(blocks.select(F.col("leader").alias("cls")).distinct(), "cls")
-    theirs = _with_tokens(docs, leaders, [], shingle, ranks).select(F.col("cls").alias("leader"), F.col("tokens").alias("last"))
-    rows = _with_tokens(docs, blocks, ["leader"], shingle, ranks).join(theirs, "leader")
+    members = stored(_with_tokens(docs, blocks, ["leader"], shingle, ranks))
+    # a leader is a member of its block
+    rows = members.join(members.where("cls = leader").select("leader", F.col("tokens").alias("last")), "leader")
 
     def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
         names, leaders = batch.column("cls").to_numpy(), batch.column("leader").to_numpy()
@@ -441,6 +440,7 @@ def _cut(docs: DataFrame, blocks: DataFrame, heads: DataFrame, shingle: int, per
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (cls, key, short)], names=["cls", "key", "short"])
 
     found = stored(batched(rows).mapInArrow(per_batch(keys), "cls long, key long, short boolean"))
+    discard(members)
     out = _blocks(found, heads)
     discard(found)
     return out
@@ -470,22 +470,19 @@ def linked_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
         several = not large.isEmpty()
         if several:
             large = stored(known(_leaves(large, percent)))
-            work = work.unionByName(_paired(large, every=False))
+            work = work.unionByName(_paired(large, every=turn == CUTS))
         work = stored(work)
         links = searched(work)
         discard(work)
         tied = _merged(tied, links)
-        if not several:
+        if not several or turn == CUTS:
             break
         now = _tied(large.drop("tie"), tied)
         left = now.groupBy("leader").agg(F.min("tie").alias("low"), F.max("tie").alias("high")).where("low < high").select("leader")
-        left = stored(now.join(left, "leader", "left_semi"))
+        left = stored(now.join(left, "leader", "left_semi").select("leader", "cls", "doc_id", "version"))
         if left.isEmpty():
             break
-        if turn < CUTS:
-            blocks = _cut(docs, left.select("leader", "cls", "doc_id", "version"), heads, shingle, percent, ranks)
-        else:
-            tied = _merged(tied, searched(stored(_paired(left, every=True))))
+        blocks = _cut(docs, left, heads, shingle, percent, ranks)
     return keyed, classes, tied
 
 
