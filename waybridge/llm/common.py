@@ -70,6 +70,23 @@ def attached(rows: DataFrame, named: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(heavy, keys).unionByName(rows.join(heavy.select(keys), keys, "left_anti").join(light, keys))
 
 
+def picked(rows: DataFrame, most: int) -> DataFrame:
+    """The ``most`` different rows (doc_id, text, ...) with the smallest hashes of doc_id, or all where there are no more.
+
+    Hashes are spread evenly, so a threshold lets few rows through before texts are moved; it is widened until enough are
+    below. Repeated rows count once.
+    """
+    total, wanted = rows.count(), 2 * most
+    keyed = rows.withColumns({"_hash": F.xxhash64("doc_id"), "_text": F.xxhash64("text")})
+    while True:
+        below = keyed if wanted >= total else keyed.where(F.col("_hash") < (wanted << 64) // total - (1 << 63))
+        some = stored(below.distinct())
+        if wanted >= total or some.count() >= most:
+            return some.orderBy("_hash", "doc_id", "_text").limit(most).select(rows.columns)
+        wanted *= 16
+        discard(some)
+
+
 #: Slots of a bitmap that tells which rows may have a partner; its size is fixed.
 SLOTS = 1 << 22
 

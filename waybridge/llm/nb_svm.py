@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from waybridge.llm.common import batched, discard, mix, objects, per_batch, record_batch, stored
+from waybridge.llm.common import batched, discard, mix, objects, per_batch, picked, record_batch, slotted, stored
 
 #: Hashed n-grams; bounds the model and the count tables.
 FEATURE_BITS = 18
@@ -134,9 +134,7 @@ def labelled(docs: DataFrame, labels: DataFrame, folds: int, held_out: int) -> D
         F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") > 0).cast("int").alias("y"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(fold(F.col("doc_id"), folds) != held_out)
     # texts without a label are left out before the shuffle, as far as the slots of labelled ids tell them apart
-    slot = F.xxhash64("doc_id").bitwiseAND(LABEL_SLOTS - 1).alias("slot")
-    slots = marks.select(slot).distinct()
-    likely = rows.withColumn("slot", slot).join(F.broadcast(slots), "slot", "left_semi").drop("slot")
+    likely = slotted(rows, ["doc_id"], marks)
     # the same plan at every size: few labels could be broadcast, many could not
     return stored(likely.hint("merge").join(marks, "doc_id"))
 
@@ -172,7 +170,7 @@ def fit(train: DataFrame) -> Model:
     scale = np.log((p / p.sum()) / (q / q.sum()))
     some = None
     for label in (0, 1):
-        part = train.where(F.col("y") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS // 2)
+        part = picked(train.where(F.col("y") == label), SAMPLE_ROWS // 2)
         some = part if some is None else some.unionByName(part)
 
     def describe(batch: pa.RecordBatch) -> pa.RecordBatch:
