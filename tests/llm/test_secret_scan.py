@@ -82,3 +82,31 @@ def test_words_and_alphabets_are_no_keys():
                  "abcdefghijklmnopqrstuvwxyz", "the-quick-brown-fox-jumps-over-2",
                  "getElementsByTagNameAndClass", "anticonstitutionnellement"):
         assert secret_scan.scan(text.encode()) == [], text
+
+
+def test_grouped_letter_keys_are_found():
+    rng = random.Random(10)
+    for letters in (LOWER, UPPER):
+        for groups, size in ((4, 5), (5, 5), (4, 6), (6, 4)):
+            keys = ["-".join("".join(rng.choices(letters, k=size)) for _ in range(groups)) for _ in range(400)]
+            found = sum(bool(secret_scan.scan(f"key is {k} ok".encode())) for k in keys)
+            assert found >= 0.95 * len(keys), (letters[0], groups, size, found)
+
+
+def test_paths_and_identifiers_are_no_keys():
+    for text in ("/home/alice/projects/webapp2/node_modules/left-pad/index", "/usr/lib/x86_64-linux-gnu/libstdc++/v12",
+                 "data/raw/imagenet2012/val/ILSVRC2012_val_00000293", "test_parse_http_headers_with_utf8_bom_and_crlf_v2",
+                 "getElementsByTagNameNS2AndClassName", LOWER + UPPER + DIGITS, UPPER + LOWER + DIGITS + "+/"):
+        assert secret_scan.scan(text.encode()) == [], text
+
+
+def test_few_names_of_an_installed_python_are_marked():
+    import pathlib
+    import sysconfig
+    root = pathlib.Path(sysconfig.get_paths()["stdlib"])
+    paths = sorted(str(p) for p in root.rglob("*.py") if "site-packages" not in p.parts)[:4_000]
+    names = sorted({w for p in sorted(root.glob("*.py")) for w in re.findall(r"[A-Za-z0-9_]{20,}", p.read_text(errors="replace"))})
+    assert len(paths) > 500 and len(names) > 1_000
+    for texts in (paths, names):
+        marked = [t for t in texts if any(k > 2 for _, k, _ in secret_scan.scan(t.encode()))]
+        assert len(marked) <= 0.01 * len(texts), (len(marked), len(texts), marked[:20])

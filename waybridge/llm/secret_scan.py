@@ -1,11 +1,12 @@
 """Secret scans: fixed shapes, and high-entropy strings found with a sliding window.
 
-Candidates are runs of token characters. Over a candidate slides a window; the counts of its characters are
+Candidates are runs of token characters; a path is cut into its segments. Over a candidate slides a window; the counts of its characters are
 kept up to date as one character enters and one leaves, and with them the Shannon entropy. Where it
 reaches the limit of the candidate's character class, the window's stretch is a finding; touching stretches
 become one span. Each class has the limit that 99.5 % of random strings of its alphabet reach in one window, so
 that with the allow list 98 % of random keys of 20 characters are found, and more of longer ones. The allow list
-takes out what is random-looking but public or made of words; a run of 20 letters or more counts as words only if its letter pairs are those of language.
+takes out what is random-looking but public or made of words: a candidate is cut, at separators and changes of case, into segments, and if those
+whose letter pairs are those of language hold half of its letters, only the stretches between them are searched, each by itself.
 
 Defined cases: a null or empty text has no spans. Positions are code points, the end exclusive. Rows are
 scanned alone, so repeated rows repeat their result. An empty table gives no rows. Other columns are not read.
@@ -37,12 +38,17 @@ LIMITS = {
     "entropy_hex": ((20, 2.82), (24, 3.2)), "entropy_base64": ((20, 3.58),), "entropy_lower_digit": ((20, 3.34),),
     "entropy_upper_digit": ((20, 3.28),), "entropy_one_case": ((20, 3.16),), "entropy_two_case": ((20, 3.52),)}
 LEAST = 20
-#: A candidate that holds words of language is searched without them, and whole with this limit of any class.
-WHOLE = (20, 3.9)
+#: Share of frequent letter pairs from which a run may be words, and from which an identifier of several names is taken for one.
+USUAL, USUAL_SNAKE = 0.45, 0.3
 #: Allow list: public identifiers, and runs made of plain words and numbers.
 _UUID = re.compile(rb"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _BETWEEN = re.compile(rb"[+/_=-]+")
-_WORD = re.compile(rb"[A-Z]*|[a-z]*([A-Z][a-z]{2,})*|[0-9]{1,12}")
+_SEGMENT = re.compile(rb"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+#: A path's segment: names of one case or with a capital, with numbers around and between.
+_NAME = rb"[0-9]*+(?:[A-Z]?+[a-z]++|[A-Z]++)?+[0-9]*+(?:[A-Z]?+[a-z]++|[A-Z]++)?+[0-9]*+"
+_PATH = re.compile(rb"[+_=-]*+%b(?:[+_=-]++%b)*+" % (_NAME, _NAME))
+#: Identifiers of several names joined by underscores.
+_SNAKE = re.compile(rb"_*+[A-Za-z]++[0-9]*+(?:_++[A-Za-z0-9]++)++_*+")
 _LETTERS = re.compile(rb"[A-Za-z]+")
 #: Frequent letter pairs of English, German, French and Spanish: a fifth of all pairs, most of those in words.
 _PAIRS = frozenset(
@@ -112,22 +118,49 @@ def spoken(part: bytes) -> bool:
             or 2 * sum(abs(low[i + 1] - low[i]) == 1 for i in range(n)) >= n)
 
 
-def is_word(part: bytes) -> bool:
-    return bool(_WORD.fullmatch(part)) and (len(part) < LEAST or spoken(part))
+def words(run: bytes) -> list[tuple[int, int]] | None:
+    """Places of a run's words, if these hold half of its letters and digits and its letter pairs are those of language; else None.
+
+    Names of up to three letters between separators tell nothing either way.
+    """
+    found, spelled, chars, pairs, usual, at = [], 0, 0, 0, 0, 0
+    for sep in [*_BETWEEN.finditer(run), None]:
+        end = sep.start() if sep else len(run)
+        inside = end - at
+        for m in _SEGMENT.finditer(run, at, end):
+            segment = m.group().lower()
+            inside -= len(segment) if len(segment) < 4 and len(segment) == end - at else 0
+            pairs += len(segment) - 1
+            usual += sum(segment[i:i + 2] in _PAIRS or abs(segment[i + 1] - segment[i]) == 1 for i in range(len(segment) - 1))
+            if spoken(segment):
+                found.append(m.span())
+                spelled += len(segment)
+        chars += inside
+        at = sep.end() if sep else end
+    if 2 * spelled >= chars and usual >= USUAL * pairs:
+        return found
+    return [(0, len(run))] if _SNAKE.fullmatch(run) and usual >= USUAL_SNAKE * pairs else None
+
+
+def path_segments(run: bytes) -> list[tuple[int, int]]:
+    """The segments of a path, else the whole run."""
+    if run.count(b"/") < 2:
+        return [(0, len(run))]
+    ends = [m.start() for m in re.finditer(rb"/", run)] + [len(run)]
+    cuts = list(zip([0, *[e + 1 for e in ends[:-1]]], ends))
+    return cuts if all(_PATH.fullmatch(run, a, b) for a, b in cuts) else [(0, len(run))]
 
 
 def allowed(data: bytes, start: int, end: int) -> bool:
-    """Whether a candidate is on the allow list."""
-    run = data[start:end]
-    return bool(all(is_word(part) for part in _BETWEEN.split(run)) or _UUID.fullmatch(run.strip(b"-_=/+"))
-                or _DIGEST_BEFORE.search(data[max(0, start - 40):start]))
+    """Whether a candidate is a public identifier."""
+    return bool(_UUID.fullmatch(data[start:end].strip(b"-_=/+")) or _DIGEST_BEFORE.search(data[max(0, start - 40):start]))
 
 
 def char_class(run: bytes) -> str | None:
-    """The class of a run by its letters and digits; digits alone have none."""
+    """The class of a run by its letters and digits; digits with one letter at most have none."""
     plain = run.translate(None, b"+/_=-")
     letters = plain.translate(None, b"0123456789")
-    if not letters:
+    if len(letters) < 2:
         return None
     digits = len(letters) < len(plain)
     if digits and _HEX_ONLY.fullmatch(plain):
@@ -137,32 +170,24 @@ def char_class(run: bytes) -> str | None:
     return "entropy_base64" if digits else "entropy_two_case"
 
 
-def high_entropy(run: bytes) -> tuple[str | None, list[tuple[int, int]]]:
-    """Class of a candidate and its stretches of high entropy.
+def stretch_entropy(run: bytes) -> tuple[str | None, list[tuple[int, int]]]:
+    """Class of a stretch without words, and where in it the entropy is high.
 
-    Words of language are left out first. Only keys of mixed case use separators as characters; in the other
-    classes these group a key or join words, and are left out too.
+    Keys of mixed case use separators as characters; in the other classes these group a key and are left out.
     """
-    keep, at = [], 0
-    for sep in [*_BETWEEN.finditer(run), None]:
-        end = sep.start() if sep else len(run)
-        if not spoken(run[at:end]):
-            keep += range(at, end)
-        if sep:
-            keep += range(sep.start(), sep.end())
-            at = sep.end()
-    kind = char_class(bytes(run[i] for i in keep))
-    if kind != "entropy_base64":
-        keep = [i for i in keep if run[i] not in b"+/_=-"]
+    kind = char_class(run)
+    if kind is None:
+        return None, []
     found = []
-    if kind is not None:
+    for as_characters in (True, False):
+        if kind not in ("entropy_base64", "entropy_two_case") if as_characters else kind == "entropy_base64":
+            continue
+        keep = [i for i in range(len(run)) if as_characters or run[i] not in b"+/_=-"]
         kept = bytes(run[i] for i in keep)
-        found = [(keep[a], keep[b - 1] + 1) for w, limit in LIMITS[kind] for a, b in entropy_stretches(kept, w, limit)]
-    if len(keep) < len(run):
-        found += entropy_stretches(run, *WHOLE)
-        kind = kind or char_class(run)
+        found += [(keep[a], keep[b - 1] + 1) for w, limit in LIMITS[kind] for a, b in entropy_stretches(kept, w, limit)]
+    found.sort()
     joined: list[list[int]] = []
-    for a, b in sorted(found):
+    for a, b in found:
         if joined and joined[-1][1] >= a:
             joined[-1][1] = max(joined[-1][1], b)
         else:
@@ -170,6 +195,19 @@ def high_entropy(run: bytes) -> tuple[str | None, list[tuple[int, int]]]:
     return kind, [(a, b) for a, b in joined]
 
 
+def high_entropy(run: bytes) -> list[tuple[str, int, int]]:
+    """Classes and places of high entropy in a candidate."""
+    out = []
+    for first, last in path_segments(run):
+        places = words(run[first:last])
+        cuts = [(0, 0), *(places or []), (last - first, last - first)]
+        for (_, a), (b, _) in zip(cuts[:-1], cuts[1:]):
+            if b - a >= LEAST:
+                kind, found = stretch_entropy(run[first + a:first + b])
+                out += [(kind, first + a + x, first + a + y) for x, y in found]
+    return out
+
+
 def scan(data: bytes) -> list[tuple[int, int, int]]:
     """(start, kind, end) in bytes, sorted."""
     spans = []
@@ -186,8 +224,7 @@ def scan(data: bytes) -> list[tuple[int, int, int]]:
     for start, end in candidates:
         if allowed(data, start, end):
             continue
-        kind, stretches = high_entropy(data[start:end])
-        for a, b in stretches:
+        for kind, a, b in high_entropy(data[start:end]):
             a, b = start + a, start + b
             if not any(s <= a and b <= e for s, _, e in base):
                 spans.append((a, KINDS.index(kind), b))
