@@ -26,7 +26,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from waybridge.llm.common import batched, record_batch, stored
+from waybridge.llm.common import batched, per_batch, record_batch, stored
 
 FRAME_BYTES, BUNDLE_BYTES, LEVEL = 1 << 18, 1 << 26, 3
 #: Fixed values of the seekable format and of the record profile.
@@ -168,30 +168,51 @@ def parse(plain: bytes, start: int) -> tuple:
             page(b"WARC-Refers-To") if kind == "revisit" else None, payload if kind == "response" else None)
 
 
-def records(frames: DataFrame, payloads: bool = True) -> DataFrame:
-    """Read records back, frame by frame and offset by offset."""
+def places(frames: DataFrame) -> DataFrame:
+    """(bundle, frame, packed, plain): sizes of all frames, as the bundles' seek tables have them."""
+    schema = pa.schema([("bundle", pa.int64()), ("frame", pa.int64()), ("packed", pa.int64()), ("plain", pa.int64())])
+
+    def read(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [(bundle, k, packed, plain) for bundle, data in zip(*(batch.column(c).to_pylist() for c in ("bundle", "data")))
+                for k, (_, packed, plain) in enumerate(frame_places(data))]
+        return record_batch(schema, dict(zip(schema.names, zip(*rows))))
+
+    tables = frames.where(F.size("record_offsets") == 0).select("bundle", "data")
+    return batched(tables).mapInArrow(per_batch(read), "bundle long, frame long, packed long, plain long")
+
+
+def _opened(frames: DataFrame, sizes: DataFrame, payloads: bool) -> DataFrame:
+    """Records at ``record_offsets`` of frames, which are opened by their place in the seek table."""
     def read(batches):
         opener = zstandard.ZstdDecompressor()
         for batch in batches:
-            for data, size, offsets in zip(*(batch.column(c).to_pylist() for c in (
-                    "data", "plain_bytes", "record_offsets"))):
+            for data, packed, size, offsets in zip(*(batch.column(c).to_pylist() for c in ("data", "packed", "plain", "record_offsets"))):
+                if len(data) != packed:
+                    raise ValueError("a frame is not as long as its seek table says")
                 plain = opener.decompress(data, max_output_size=size)
+                if len(plain) != size:
+                    raise ValueError("a frame's content is not as long as its seek table says")
                 rows = [parse(plain, at) for at in offsets]
                 if not payloads:
                     rows = [(*r[:-1], None) for r in rows]
                 yield record_batch(RECORDS, dict(zip(RECORDS.names, zip(*rows))))
 
     # frames are large, so only a few travel at a time
-    rows = frames.where(F.size("record_offsets") > 0).select("data", "plain_bytes", "record_offsets")
+    rows = frames.select("bundle", "frame", "data", "record_offsets").join(sizes, ["bundle", "frame"]).drop("bundle", "frame")
     return batched(rows).mapInArrow(
         read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, "
               "refers_to long, payload binary")
 
 
+def records(frames: DataFrame, payloads: bool = True) -> DataFrame:
+    """Read all records back: frames by the seek tables, records by the offsets of the identifier map."""
+    return _opened(frames.where(F.size("record_offsets") > 0), places(frames), payloads)
+
+
 def fetch(frames: DataFrame, wanted: DataFrame) -> DataFrame:
     """Records of the page ids in ``wanted``: only frames that hold one are opened, only at its offset."""
     ids = wanted.select(F.col("page_id").cast("long").alias("_id")).distinct()
-    places = frames.select("bundle", "frame", F.explode(F.arrays_zip("record_ids", "record_offsets")).alias("r"))
-    hits = places.join(ids, F.col("r.record_ids") == F.col("_id")).groupBy("bundle", "frame").agg(
+    held = frames.select("bundle", "frame", F.explode(F.arrays_zip("record_ids", "record_offsets")).alias("r"))
+    hits = held.join(ids, F.col("r.record_ids") == F.col("_id")).groupBy("bundle", "frame").agg(
         F.sort_array(F.collect_list("r.record_offsets")).alias("record_offsets"))
-    return records(frames.drop("record_ids", "record_offsets").join(hits, ["bundle", "frame"]))
+    return _opened(frames.drop("record_ids", "record_offsets").join(hits, ["bundle", "frame"]), places(frames), True)
