@@ -443,6 +443,54 @@ def read_trip_sheet(spark, sf_dir):
                        "train_type", "wagon_count", F.coalesce("error", F.lit("")).alias("error"), F.col("settle_total").cast("double").alias("settle_total"))
 
 
+# the own ledger and the agent's statement as sheets: totals, undated and short lines, unknown names, other spellings of dates
+_OWN_GOOD = "NOT (mo = 1 AND st = 'P') AND mo <> 6 AND NOT (mo = 5 AND st = 'O') AND NOT (mo = 9 AND st = 'F')"
+_RANKED = "row_number() OVER (PARTITION BY day, station, port, r_name ORDER BY row_index)"
+
+
+def two_grids(spark, sf_dir):
+    V.tables(spark, sf_dir, "region")
+    trips = V.view(spark, sf_dir, "trips").join(spark.table("region"), F.col("rk") == F.col("r_regionkey"))
+    cut = (F.col("mo") == 5) & (F.col("st") == "O")
+    total = (F.col("mo") == 1) & (F.col("st") == "P")
+    undated = (F.col("mo") == 9) & (F.col("st") == "F")
+    code = F.concat(F.lit("N"), "nk")
+    dest = F.when(F.col("mo") == 6, F.concat(F.lit("X"), code)).when(F.col("mo") == 3, F.concat(F.lower(code), F.lit("混编"))).otherwise(code)
+    route = F.when(total, F.lit("合计")).when(cut, F.concat_ws("-", "seg", "port")).otherwise(F.concat_ws("-", F.col("seg"), F.col("port"), dest))
+    date = (F.when(total, F.lit("")).when(undated, F.lit("soon")).when(F.col("mo") == 2, F.date_format("order_date", "yyyy.M.d"))
+            .when(F.col("mo") == 4, F.datediff("order_date", F.lit("1899-12-30").cast("date")).cast("string")).otherwise(text("order_date")))
+    head = lambda *captions: spark.range(1).select(
+        F.lit(1).alias("sheet"), F.lit(1).alias("row_index"), F.array(*map(F.lit, captions)).alias("cells"))
+    place = [F.lit(1).alias("sheet"), (F.col("o_orderkey") + 2).cast("int").alias("row_index")]
+    own = head("序号", "发运日期", "班列路线", "预付金额", "结算金额合计").unionByName(
+        trips.select(*place, F.array(text("o_orderkey"), date, route, text("pr"), text("amt")).alias("cells")))
+    later = F.when(F.col("mo") == 7, F.date_add("order_date", 1)).otherwise(F.col("order_date"))
+    charged = F.when(F.col("mo") == 10, F.col("amt") + 100).otherwise(F.col("amt"))
+    agent = head("开行日期", "发站", "口岸", "到站", "合计").unionByName(trips.where("mo <> 8").select(*place, F.array(
+        F.date_format(later, "yyyy/M/d"), F.col("seg"), F.lower("port"), F.col("r_name"), charged.cast("string")).alias("cells")))
+    return own, agent
+
+
+@query("ledger_grids", f"""{V.duck_with('trips')}, t AS (SELECT trips.*, r_name, CAST(o_orderkey + 2 AS INT) AS row_index FROM trips JOIN region ON rk = r_regionkey),
+o AS (SELECT *, {_RANKED} AS k FROM (SELECT row_index, order_date AS day, station, port, r_name, amt AS total FROM t WHERE {_OWN_GOOD})),
+a AS (SELECT *, {_RANKED} AS k FROM (SELECT row_index, CAST(CASE WHEN mo = 7 THEN order_date + INTERVAL 1 DAY ELSE order_date END AS DATE) AS day, station, port, r_name, CASE WHEN mo = 10 THEN amt + 100 ELSE amt END AS total FROM t WHERE mo <> 8))
+SELECT coalesce(o.row_index, -1) AS own_row, coalesce(a.row_index, -1) AS agent_row, CASE WHEN o.row_index IS NULL THEN 'own_missing' WHEN a.row_index IS NULL THEN 'agent_missing' WHEN o.total = a.total THEN 'confirmed' ELSE 'pending' END AS status
+ FROM o FULL JOIN a ON o.day = a.day AND o.station = a.station AND o.port = a.port AND o.r_name = a.r_name AND o.k = a.k
+UNION ALL SELECT row_index, -1, CASE WHEN mo = 6 THEN 'unresolved_name' ELSE 'error' END FROM t WHERE mo = 6 OR (mo = 5 AND st = 'O') OR (mo = 9 AND st = 'F')""")
+def ledger_grids(spark, sf_dir):
+    """From two raw sheets to paired rows: headers found, dates and routes read, names resolved, rows paired."""
+    own, agent = two_grids(spark, sf_dir)
+    lookup = refdata.name_lookup(code_table(spark))
+    own, agent = (PR.resolve_places(rows, lookup) for rows in (G.read_own_ledger(own), G.read_agent_statement(agent)))
+    good = lambda rows: rows.where("error is null and size(unresolved) = 0")
+    paired = PR.pair(good(own), good(agent)).select(
+        F.coalesce("own_row_index", F.lit(-1)).alias("own_row"), F.coalesce("agent_row_index", F.lit(-1)).alias("agent_row"), "status")
+    left = own.where("error is not null or size(unresolved) > 0").select(
+        F.col("row_index").alias("own_row"), F.lit(-1).alias("agent_row"),
+        F.when(F.col("error").isNotNull(), "error").otherwise("unresolved_name").alias("status"))
+    return paired.unionByName(left)
+
+
 # ---- funds --------------------------------------------------------------------------
 
 PART = "(fund_purpose IN ('预付运费', '尾款结算', '其他'))"
@@ -639,6 +687,6 @@ def keyed_update(spark, sf_dir):
     return out.select("batch_id", F.coalesce("remark", F.lit("")).alias("remark"))
 
 
-@query("row_counts", "SELECT 'orders' AS \"table\", count(*) AS n FROM orders UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'lineitem', count(*) FROM lineitem")
+@query("row_counts", " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS n FROM {t}" for t in V.TABLES))
 def row_counts(spark, sf_dir):
-    return TB.row_counts({t: V.read(spark, sf_dir, t) for t in ("orders", "customer", "lineitem")})
+    return TB.row_counts({t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in V.TABLES})

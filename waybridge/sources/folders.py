@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from waybridge.session import written
+
 _BAD = "_corrupt_record"
 
 
@@ -21,7 +23,8 @@ def read_records(spark: SparkSession, path: str, schema: str, key: str = "batch_
         .json(path).select("*", F.col("_metadata.file_path").alias("file")))
     named = F.coalesce(F.trim(F.col(key)), F.lit("")) != ""
     state = F.when(F.col(_BAD).isNotNull(), "unreadable").when(~named, "unnamed")
-    judged = rows.withColumn("reason", state)
+    # written, since the reader looks only at fields that a plan needs, and so would find fewer bad files in some
+    judged = written(rows.withColumn("reason", state))
     last = judged.where("reason is null").groupBy(key).agg(F.max("file").alias("_last"))
     good = judged.where("reason is null").join(last, key)
     usable = good.where("file = _last").drop("_last", "reason", _BAD)
