@@ -607,6 +607,20 @@ def list_compare(spark, sf_dir):
         "row_no", F.coalesce("row_no", F.lit(-1)))
 
 
+_RANK = "CASE status WHEN 'both_mismatch' THEN 0 WHEN 'wagon_mismatch' THEN 1 WHEN 'seal_mismatch' THEN 2 ELSE 3 END"
+
+
+@query("list_page", f"{LIST}, o AS (SELECT *, row_number() OVER (ORDER BY {_RANK}, nullif(filename, '') NULLS LAST, row_no) AS place FROM cmp) SELECT place, filename, row_no, status FROM o WHERE place <= 100")
+def list_page(spark, sf_dir):
+    """The first page of a comparison as it is shown, mismatches first."""
+    page = LC.display_order(LC.compare_lists(*compare_inputs(spark, sf_dir))).limit(100)
+    # one page of rows
+    order = Window.orderBy(F.when(F.col("status") == "both_mismatch", 0).when(F.col("status") == "wagon_mismatch", 1).when(
+        F.col("status") == "seal_mismatch", 2).otherwise(3), F.col("filename").asc_nulls_last(), "row_no")
+    return page.select(F.row_number().over(order).cast("long").alias("place"), F.coalesce("filename", F.lit("")).alias("filename"),
+                       F.coalesce("row_no", F.lit(-1)).alias("row_no"), "status")
+
+
 @query("list_summary", f"""{LIST} SELECT s.status, count(cmp.status) AS n FROM (VALUES {', '.join(f"('{s}')" for s in LC.STATES)}) s(status) LEFT JOIN cmp ON s.status = cmp.status GROUP BY s.status""")
 def list_summary(spark, sf_dir):
     return LC.compare_summary(LC.compare_lists(*compare_inputs(spark, sf_dir)))

@@ -155,6 +155,22 @@ def one_line_texts(spark, sf_dir):
     return V.read(spark, sf_dir, "documents").select("doc_id", T.one_line(F.col("text")).alias("line"))
 
 
+@query("money_texts", """SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN '未填写' ELSE format('{:,}', c // 100) || '.' || lpad(CAST(c % 100 AS VARCHAR), 2, '0') END AS shown
+ FROM (SELECT o_orderkey, o_orderstatus, CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 100 AS BIGINT) AS c FROM orders)""")
+def money_texts(spark, sf_dir):
+    amount = F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice").cast("decimal(18,2)"))
+    return V.read(spark, sf_dir, "orders").select("o_orderkey", T.money_text(amount).alias("shown"))
+
+
+_IDS = """SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'B-' || CAST(o_orderkey AS {text}) WHEN 'O' THEN CAST(o_orderkey AS {text}) || '#' ELSE CAST(o_orderkey AS {text}) || '_' || o_orderpriority END AS batch_id FROM orders"""
+
+
+@query("usable_batch_ids", f"SELECT o_orderkey, regexp_matches(batch_id, '^[A-Za-z0-9_-]{{4,64}}$') AS usable FROM ({_IDS.format(text='VARCHAR')})")
+def usable_batch_ids(spark, sf_dir):
+    V.tables(spark, sf_dir, "orders")
+    return spark.sql(_IDS.format(text="STRING")).select("o_orderkey", T.is_batch_id(F.col("batch_id")).alias("usable"))
+
+
 EDITS = ["{n}", " {n}.456 ", "1,{n}.5", "about {n}", " ", "-{n}.005"]
 
 
