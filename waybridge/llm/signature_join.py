@@ -452,12 +452,15 @@ def linked_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     ranks = docs.sparkSession.sparkContext.broadcast(token_ranks(docs, shingle))
     keyed = described(docs, shingle, percent, ranks)
     named = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"), F.col("version").alias("version"))
-    # equal sets have equal keys
-    classes = stored(keyed.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(
+    # equal sets have equal keys; these are large, so each table that holds them goes as soon as it is read
+    with_keys = stored(keyed.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(
         F.min("row").alias("cls"), F.count(F.lit(1)).alias("n"), F.min_by(F.struct("doc_id", "version"), "row").alias("f"),
         F.min(named).alias("best"), F.first("keys").alias("keys")).select("cls", "d1", "d2", "n_shingles", "n", "f.*", "best", "keys"))
+    rows, classes = stored(keyed.drop("keys")), stored(with_keys.drop("keys"))
+    discard(keyed)
     heads = classes.select("cls", F.col("n_shingles").alias("n"), "doc_id", "version")
-    blocks = _blocks(classes.select("cls", F.explode("keys").alias("key"), F.lit(True).alias("short")), heads)
+    blocks = _blocks(with_keys.select("cls", F.explode("keys").alias("key"), F.lit(True).alias("short")), heads)
+    discard(with_keys)
     searched = lambda work: stored(_searched(_with_tokens(docs, work, [*_PAIR, "side", "tie"], shingle, ranks), percent))
     alone = lambda rows: rows.select("leader", *[F.lit(0).cast("long").alias(c) for c in _PAIR[1:]], F.lit(1).cast("long").alias("side"),
                                      "cls", "tie", "doc_id", "version")
@@ -483,7 +486,7 @@ def linked_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
         if left.isEmpty():
             break
         blocks = _cut(docs, left, heads, shingle, percent, ranks)
-    return keyed, classes, tied
+    return rows, classes, tied
 
 
 def _grouped(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
