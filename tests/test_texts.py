@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tests.batches import batch, load
 from waybridge import constants as C
 from waybridge.operators import boxes as B, extract as X, forms as FM, lookup as L, pages as PG, rules as R, tables as TB
+from waybridge.sources.batches import doc_fields, docs_from_wide
 
 
 def test_three_single_page_waybills(spark):
@@ -142,3 +143,34 @@ def test_patch_changes_only_named_fields(spark):
     patch = spark.createDataFrame([(1, None, "z", ["x"]), (2, "n", "m", ["x", "y"])], "k int, x string, y string, provided array<string>")
     got = sorted(tuple(r) for r in TB.patch_upsert(old, patch, ["k"], ["x", "y"]).collect())
     assert got == [(1, None, "b"), (2, "n", "m")]
+
+
+def described_form(spark):
+    lines = [("f", 1, 1, 300.0, 230.0, 420.0, "货值 Cargo Value"), ("f", 1, 2, 300.0, 242.0, 420.0, "USD 500"), ("f", 1, 3, 300.0, 325.0, 420.0, "Валюта CHF"),
+             ("f", 1, 4, 10.0, 230.0, 120.0, "18 重量 Масса"), ("f", 1, 5, 10.0, 242.0, 120.0, "毛重 12300")]
+    return FM.written(FM.described(spark.createDataFrame(lines, "file string, page int, line_no int, x0 double, top double, x1 double, text string")))
+
+
+def test_captions_are_described_once(spark):
+    """What a caption holds is written before it is read several times; the plan of a field has none of the steps behind it."""
+    facts = described_form(spark)
+    value, weight = FM.cargo_value(facts), FM.weights(facts)
+    assert [(r.value, r.currency) for r in value.collect()] == [(500.0, "USD")]
+    assert [(r.gross_weight_kg, r.net_state) for r in weight.collect()] == [(12300.0, "not_found")]
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(value).count("Generate ") == 0 and plan(weight).count("Generate ") <= 3
+
+
+def test_named_fields_are_read_without_the_map(spark):
+    wide = spark.createDataFrame([("b", 0, "invoice", "i", "INV 1", None, "7", " "), ("b", 1, "packing_list", "p", None, "mu 2", None, "x"), ("c", 0, None, None, None, None, None, None)],
+                                 "batch_id string, doc_index int, doc_type string, doc_id string, invoice_no string, container_no string, total_packages string, issuer string")
+    docs = docs_from_wide(wide, ["invoice_no", "container_no", "total_packages", "issuer"])
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    rows = lambda df: sorted(map(str, df.collect()))
+    names = ["total_packages", "invoice_no"]
+    some, every = doc_fields(docs, names), doc_fields(docs).where(F.col("field").isin(*names))
+    assert rows(some) == rows(every) == rows(doc_fields(docs.drop("known"), names)) and some.count() == 2
+    assert rows(doc_fields(docs, ["issuer"])) == rows(doc_fields(docs).where("field = 'issuer'"))
+    index = L.identity_index(docs)
+    assert rows(index) == rows(L.identity_index(docs.drop("known"))) and index.count() == 2
+    assert "map_from_entries" in plan(every) and "map_from_entries" not in plan(some) + plan(index)

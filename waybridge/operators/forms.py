@@ -109,8 +109,9 @@ def _tails(lines: DataFrame, fields: dict[str, list[str]]) -> DataFrame:
 
 def captions(facts: DataFrame, fields: dict[str, list[str]]) -> DataFrame:
     """One row per caption line and field: tail, place, box number (own or lent) and rank inside (file, field)."""
-    hits = _tails(facts.where(F.col("text").rlike(any_of([w for words in fields.values() for w in words]))).select(
-        "file", "page", "line_no", "x0", "top", "x1", "box", "text", "body"), fields)
+    # few lines are captions, and they are read several times
+    hits = written(_tails(facts.where(F.col("text").rlike(any_of([w for words in fields.values() for w in words]))).select(
+        "file", "page", "line_no", "x0", "top", "x1", "box", "text", "body"), fields))
     lone = facts.where(F.trim("text").rlike(r"^\d{1,2}$")).select(
         "file", "page", F.col("x0").alias("lx"), F.col("top").alias("lt"), F.col("line_no").alias("lent_by"), F.trim("text").alias("lent"))
     near = hits.where("box is null").select("file", "page", "line_no", "x0", "top").distinct().join(lone, ["file", "page"]).where(
@@ -292,7 +293,8 @@ def weights(facts: DataFrame) -> DataFrame:
 
 def cargo_value(facts: DataFrame) -> DataFrame:
     """Value and currency of a file: both near one caption, else a currency on its own caption line."""
-    hits = with_column(captions(facts, {f: C.BOX_CAPTIONS[f][1] for f in ("cargo_value", "currency")}), facts)
+    # both fields are read from these, so they are written once
+    hits = written(with_column(captions(facts, {f: C.BOX_CAPTIONS[f][1] for f in ("cargo_value", "currency")}), facts))
     sign = lambda t: F.nullif(F.regexp_extract(t, C.CURRENCY_PATTERN, 0), F.lit(""))
     texts = F.concat(F.array("tail"), F.transform(F.filter(
         F.slice("column", 1, VALUE_LINES), lambda x: ~x["heading"]), lambda x: x["text"]))
