@@ -85,3 +85,27 @@ def test_probabilities_equal_the_textbook_and_sum_to_one(spark):
         assert chars[0] == n and abs(entropy[0, at] - want / n) < 1e-9
     letters = set("".join(ALPHABETS.values())) | {" "}
     assert abs(sum(p("  a"[:3] + c) for c in letters) + (4096 - len(letters)) * 0 - 1) < 0.05
+
+
+def test_every_learning_row_is_counted_and_calibrated_on(spark):
+    df, rows = corpus(spark, 150)
+    # repeated rows are learned from, and calibrated on, again
+    df = df.unionByName(df.where("doc_id % 3 = 0"))
+    times = {r[0]: 1 + (r[0] % 3 == 0) for r in rows}
+    learning = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    models, trial = language_id.learn_whole(df, 4, 2), language_id.learn(df, 4, 2)
+    words = lambda t: [w.rstrip(".").lower() for w in t.split()]
+    text = rows[0][1]
+    for at, lang in enumerate(models.langs):
+        p = by_hand([w for i, t, la, _, _ in learning if la == lang for w in words(t) * times[i]])
+        grams = [s[i - 3:i + 1] for s in ("   " + w + " " for w in words(text)) for i in range(3, len(s))]
+        entropy, chars = models.entropies(pa.array([text]))
+        assert abs(entropy[0, at] + sum(math.log(p(g)) for g in grams) / chars[0]) < 1e-9
+    apart = {r.doc_id for r in df.where(language_id.kept_apart(F.col("doc_id"))).collect()}
+    for at, lang in enumerate(trial.langs):
+        texts = [t for i, t, la, _, _ in learning if la == lang and i in apart for _ in range(times[i])]
+        assert texts or math.isinf(models.limits[at])
+        if texts:
+            own = trial.entropies(pa.array(texts))[0][:, at]
+            assert abs(models.limits[at] - (own.mean() + 4 * max(own.std(), 0.05))) < 1e-9
+    assert models.sharpness == trial.sharpness and max(times[i] for i in apart & {r[0] for r in learning}) == 2

@@ -4,7 +4,8 @@ Per language a character model of order four over lower-case words, with a space
 Counts of four-grams are gathered over all learning rows; the lower orders are worked out from them as numbers of
 distinct left neighbours. Discounted parts and back-off weights are stored per language and order in sorted
 arrays of hashed grams. A text's language is the one with the lowest cross-entropy per character. The
-entropies that further texts of a language reach, which are not counted, set the limit above which a text is marked as rejected.
+entropies that one learning row in eight, all such rows, reach under models of the other seven set the sharpness of the score and the
+limit above which a text is marked as rejected; then these rows are counted with the others.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so is every text when nothing was
 learned. Ties go to the language that sorts first. A repeated row is judged, and learned from, again. An empty
@@ -20,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from waybridge.llm.common import batched, discard, objects, per_batch, picked, record_batch, stored
+from waybridge.llm.common import batched, discard, objects, per_batch, record_batch, stored
 from waybridge.llm.nb_svm import fold
 
 ORDER = 4
@@ -29,10 +30,10 @@ CHAR_BITS = 12
 #: Grams are stored by their remainder of this prime, which bounds each array. It lies far from any power of two,
 #: since grams are packed by powers of two.
 SLOTS = 15_485_863
-#: Rows that the rejection limit and the sharpness of the score are set on at most.
-CALIBRATION_ROWS = 2_000
-#: One learning row in so many is kept for that and not counted.
+#: One learning row in so many is kept for the rejection limits and the sharpness of the score, and counted after that.
 CALIBRATION_PART = 8
+#: Sharpnesses of the score that are tried.
+SHARPNESS = (0.01, 0.03, 0.1, 0.3, 1.0)
 #: A text is rejected beyond this many standard deviations of its language's usual entropy.
 REJECT_DEVIATIONS = 4.0
 #: Four-grams whose values a Python worker remembers.
@@ -198,20 +199,13 @@ class Models:
 
 
 def kept_apart(doc_id: Column) -> Column:
-    """Whether a learning row is kept for calibration and not counted."""
+    """Whether a learning row is kept for calibration and counted after it."""
     return F.pmod(F.xxhash64(F.lit("calibration"), doc_id), F.lit(CALIBRATION_PART)) == 0
 
 
-def learn(docs: DataFrame, folds: int, held_out: int) -> Models:
-    """Models from the rows with text and lang outside the held-out fold."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(
-        "text is not null and lang is not null").where(fold(F.col("doc_id"), folds) != held_out)
-    # calibration meets texts that were not learned from
-    apart = kept_apart(F.col("doc_id"))
-    # the counts are read several times by the lower orders
-    counts = stored(gram_counts(rows.where(~apart)))
+def _models(counts: DataFrame) -> Models:
+    """The models of four-gram counts."""
     table = smoothed(counts).toArrow()
-    discard(counts)
     lang, part = np.array(table["lang"].to_numpy(zero_copy_only=False)), table["part"].to_numpy()
     slot, value = table["slot"].to_numpy(), table["value"].to_numpy()
     langs = sorted(set(lang))
@@ -224,43 +218,95 @@ def learn(docs: DataFrame, folds: int, held_out: int) -> Models:
                 some = some[np.argsort(slot[some])]
                 arrays[p] = (slot[some], value[some])
         parts.append(arrays)
-    models = Models(langs, parts)
-    if langs:
+    return Models(langs, parts)
+
+
+def _learning_rows(docs: DataFrame, folds: int, held_out: int) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(
+        "text is not null and lang is not null").where(fold(F.col("doc_id"), folds) != held_out)
+
+
+def _trial(rows: DataFrame) -> tuple[Models, DataFrame]:
+    """Models and stored counts of the rows that are not kept apart, calibrated on those that are."""
+    # calibration meets texts that its models were not learned from
+    apart = kept_apart(F.col("doc_id"))
+    # the counts are read several times by the lower orders
+    counts = stored(gram_counts(rows.where(~apart)))
+    models = _models(counts)
+    if models.langs:
         _calibrate(models, rows.where(apart))
+    return models, counts
+
+
+def learn(docs: DataFrame, folds: int, held_out: int) -> Models:
+    """Models from the rows with text and lang outside the held-out fold but for those kept apart, calibrated on these."""
+    models, counts = _trial(_learning_rows(docs, folds, held_out))
+    discard(counts)
+    return models
+
+
+def learn_whole(docs: DataFrame, folds: int, held_out: int) -> Models:
+    """Models from all rows with text and lang outside the held-out fold, with the calibration of :func:`learn`."""
+    rows = _learning_rows(docs, folds, held_out)
+    trial, counts = _trial(rows)
+    limits = {} if trial.limits is None else dict(zip(trial.langs, trial.limits))
+    rest = gram_counts(rows.where(kept_apart(F.col("doc_id"))))
+    whole = stored(counts.unionByName(rest).groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    discard(counts)
+    models = _models(whole)
+    discard(whole)
+    models.limits = np.array([limits.get(name, np.inf) for name in models.langs])
+    models.sharpness = trial.sharpness
     return models
 
 
 def _calibrate(models: Models, rows: DataFrame) -> None:
     """Rejection limits per language, and the sharpness that makes scores match how often they are right.
 
-    A language without a text among ``rows`` rejects none.
+    Every text of ``rows`` with a letter takes part, each in the task that reads it; only sums reach the driver. A language
+    without such a text rejects none.
     """
-    sample = picked(rows.where(F.col("lang").isin(models.langs)), CALIBRATION_ROWS).select("text", "lang").toArrow()
-    if not sample.num_rows:
-        models.limits = np.full(len(models.langs), np.inf)
-        return
-    entropy, chars = models.entropies(sample["text"].combine_chunks())
-    truth = np.array([models.langs.index(x) for x in sample["lang"].to_pylist()])
-    some = chars > 0
-    entropy, chars, truth = entropy[some], chars[some], truth[some]
-    limits = []
-    for lang in range(len(models.langs)):
-        own = entropy[truth == lang, lang]
-        limits.append(own.mean() + REJECT_DEVIATIONS * max(own.std(), 0.05) if len(own) else np.inf)
-    models.limits = np.array(limits)
-    if len(truth):
-        right = (entropy.argmin(axis=1) == truth).astype(float)
-        loss = {}
-        for sharpness in (0.01, 0.03, 0.1, 0.3, 1.0):
-            p = np.clip(models.posterior(entropy, chars, sharpness), 1e-6, 1 - 1e-6)
-            loss[sharpness] = -(right * np.log(p) + (1 - right) * np.log(1 - p)).mean()
-        models.sharpness = min(loss, key=loss.get)
-    models.known, models.values = np.zeros(0, np.int64), None
+    shared = rows.sparkSession.sparkContext.broadcast(models)
+
+    def sums(batches):
+        models = shared.value
+        at = {name: i for i, name in enumerate(models.langs)}
+        own, loss = np.zeros((len(at), 3)), np.zeros(len(SHARPNESS))
+        for batch in batches:
+            entropy, chars = models.entropies(batch.column("text"))
+            truth = np.array([at[x] for x in batch.column("lang").to_pylist()], np.int64)
+            some = chars > 0
+            entropy, chars, truth = entropy[some], chars[some], truth[some]
+            if not len(truth):
+                continue
+            value = entropy[np.arange(len(truth)), truth]
+            for power in range(3):
+                own[:, power] += np.bincount(truth, value ** power, minlength=len(at))
+            right = (entropy.argmin(axis=1) == truth).astype(float)
+            for i, sharpness in enumerate(SHARPNESS):
+                p = np.clip(models.posterior(entropy, chars, sharpness), 1e-6, 1 - 1e-6)
+                loss[i] -= (right * np.log(p) + (1 - right) * np.log(1 - p)).sum()
+        values = np.concatenate([own.ravel(), loss])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], names=["place", "value"])
+
+    table = batched(rows.where(F.col("lang").isin(models.langs)).select("text", "lang")).mapInArrow(
+        sums, "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).toArrow()
+    total = np.zeros(3 * len(models.langs) + len(SHARPNESS))
+    total[table["place"].to_numpy()] = table["value"].to_numpy()
+    limits = np.full(len(models.langs), np.inf)
+    for lang, (n, first, second) in enumerate(total[:3 * len(limits)].reshape(-1, 3)):
+        if n:
+            deviation = np.sqrt(max(second / n - (first / n) ** 2, 0.0))
+            limits[lang] = first / n + REJECT_DEVIATIONS * max(deviation, 0.05)
+    models.limits = limits
+    if np.isfinite(limits).any():
+        models.sharpness = SHARPNESS[int(total[3 * len(limits):].argmin())]
+    shared.destroy()
 
 
 def identify(docs: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:
     """Language of every whole text; ``rejected`` marks texts unlike what their language was learned from."""
-    models = learn(docs, folds, held_out)
+    models = learn_whole(docs, folds, held_out)
     shared = docs.sparkSession.sparkContext.broadcast(models)
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()),
                         ("entropy", pa.float64()), ("rejected", pa.bool_())])
