@@ -134,3 +134,43 @@ def test_instance_labels(spark):
     _, docs = load(spark, [batch("b", extra=extra)])
     labels = [r.label for r in V.instance_labels(docs).where("doc_type = 'railway_waybill'").orderBy("doc_index").collect()]
     assert labels == ["运单#1", "运单#2", "运单#3", "运单#4"]
+
+
+def test_edited_documents_are_shuffled_once(spark):
+    from waybridge.operators.scenario import scenario_documents
+
+    docs = load(spark, [batch("a"), batch("b")])[1]
+    rows = [("count", "a", "invoice", "total_packages", "1", 0), ("count", "a", "invoice", "total_packages", "2", 1), ("count", "a", "invoice-1", "currency", "EUR", 0),
+            ("count", "a", None, "currency", "X", 0), ("none", "a", "nothing", "currency", "X", 0), (None, "a", "invoice", "currency", "X", 0)]
+    edits = spark.createDataFrame(rows, "scenario_id string, batch_id string, target string, field string, text string, edit_order int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = scenario_documents(docs, edits)
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+        got = {(r.batch_id, r.doc_type): {k: v.text for k, v in r.fields.items()} for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {b for b, _ in got} == {"a#count", "a#none", None} and len(got) == 15
+    edited, left = got["a#count", "invoice"], got["a#none", "invoice"]
+    assert (edited["total_packages"], edited["currency"]) == ("2", "EUR") and left == got[None, "invoice"]
+    assert {k: v for k, v in edited.items() if k not in ("total_packages", "currency")} == {
+        k: v for k, v in left.items() if k not in ("total_packages", "currency")}
+    assert (left["total_packages"], left["currency"]) == ("480", "USD")
+
+
+def test_arriving_records_stay_out_of_memory(spark, tmp_path, monkeypatch):
+    import json
+
+    from tests.batches import PKG
+    from waybridge.streaming import jobs
+
+    kept, verify = [], jobs.verify
+    monkeypatch.setattr(jobs, "verify", lambda docs, batches, rules: kept.extend(
+        df.storageLevel.useMemory for df in (docs, batches)) or verify(docs, batches, rules))
+    records = [json.dumps(r, ensure_ascii=False) for r in (batch("one"), batch("two", PKG))] + ["{not json"]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join(records))
+    jobs.verify_stream(jobs.batch_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
+    got = {r.batch_id: (r.score, r.grade) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {"one": (0, "low"), "two": (25, "medium")} and kept == [False, False]
