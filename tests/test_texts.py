@@ -174,3 +174,12 @@ def test_named_fields_are_read_without_the_map(spark):
     index = L.identity_index(docs)
     assert rows(index) == rows(L.identity_index(docs.drop("known"))) and index.count() == 2
     assert "map_from_entries" in plan(every) and "map_from_entries" not in plan(some) + plan(index)
+
+
+def test_rules_reach_the_documents_without_dealing_them_out_by_type(spark):
+    """The rule list has no size that Spark knows; documents have few types, so a shuffle by type gives a task most of them."""
+    _, docs = load(spark, [batch("x")])
+    rows = R.with_rule_issues(docs, R.default_rules(spark))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(doc_type" not in plan
+    assert all(not r.rule_issues for r in rows.collect())
