@@ -1,5 +1,6 @@
 """Small tables for the tests of the corpus operators."""
 
+import functools
 import random
 
 from pyspark.sql import functions as F
@@ -13,11 +14,17 @@ def sentence(rng, words, n):
     return " ".join(rng.choice(words) for _ in range(n)).capitalize() + "."
 
 
-def vocabulary(seed, n=400, letters="abcdefghijklmnopqrstuvwxyz"):
+@functools.cache
+def _vocabulary(seed, n, letters):
     rng = random.Random(seed)
     return ["".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(n)]
 
 
+def vocabulary(seed, n=400, letters="abcdefghijklmnopqrstuvwxyz"):
+    """A new list each time, made up once: one test asks for it for each of 20,000 words."""
+    return list(_vocabulary(seed, n, letters))
+
+
 def documents(spark, texts, clashes=True):
     """Texts, or (doc_id, text) pairs, as a table of documents with extra columns."""
     pairs = [t if isinstance(t, tuple) else (i, t) for i, t in enumerate(texts)]
