@@ -174,3 +174,18 @@ def test_arriving_records_stay_out_of_memory(spark, tmp_path, monkeypatch):
     jobs.verify_stream(jobs.batch_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
     got = {r.batch_id: (r.score, r.grade) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {"one": (0, "low"), "two": (25, "medium")} and kept == [False, False]
+
+
+def test_fields_are_built_for_documents_of_repeated_types_only(spark):
+    from waybridge.sources.batches import docs_from_wide
+    rows = [("a", i, kind, f"{kind}{i}", no) for i, (kind, no) in enumerate(
+        [("invoice", "1"), ("invoice", "2"), ("waybill", "3"), (None, "4"), (None, "4")])]
+    rows += [("b", 0, "invoice", "x", "1"), ("c", 0, "invoice", "y", None), ("c", 1, "invoice", "z", None), (None, 0, "invoice", "n", "1"), (None, 1, "invoice", "m", "2")]
+    wide = spark.createDataFrame(rows, "batch_id string, doc_index int, doc_type string, doc_id string, invoice_no string")
+    docs = docs_from_wide(wide, ["invoice_no"])
+    repeated = K.duplicate_types(docs)
+    got = {(r.batch_id, r.doc_type): (r.n_docs, r.conflicting_fields) for r in repeated.collect()}
+    assert got == {("a", "invoice"): (2, 1), ("a", "unknown"): (2, 0), ("c", "invoice"): (2, 0), (None, "invoice"): (2, 0)}
+    plan = repeated._jdf.queryExecution().optimizedPlan().toString()
+    # a plan lists what is worked out later first
+    assert 0 < plan.index("map_from_entries") < plan.index("LeftSemi")
