@@ -231,3 +231,19 @@ def test_arriving_batches_in_the_store(spark, tmp_path):
     assert len(stored("documents", "batch_id")) == 9
     assert not any(i[:2] == ("two", "CONS-002") for i in stored("issues", "batch_id", "check_id"))
     assert store.version() == 1
+
+
+def test_grams_travel_under_numbers_and_texts_without_a_key_do_not_count(spark, monkeypatch):
+    from waybridge.operators import passages as PS
+    stored = []
+    monkeypatch.setattr(PS, "written", lambda df, real=PS.written: stored.append(df) or real(df))
+    line = "one line that is its own key"
+    q = spark.createDataFrame([("q", line), (None, line)], "looking string, text string")
+    p = spark.createDataFrame([(None, line), (None, line + "!"), ("far one line", "far one line"), ("own", "a key of its"), ("own", "line")],
+                              "passage string, text string")
+    rows = lambda df: sorted(map(tuple, df.select("looking", "rank", "passage", "score").collect()))
+    got = rows(PS.nearest_passages(q, p, "looking", "passage"))
+    assert [r[:3] for r in got] == [("q", 1, "own"), ("q", 2, "far one line")] or [r[:3] for r in got] == [("q", 1, "far one line"), ("q", 2, "own")]
+    assert got == rows(PS.top_passages(PS.passage_scores(q, p, "looking", "passage"), "looking", "passage"))
+    counts = [df for df in stored if "gram" in df.columns]
+    assert counts and all(kind == "bigint" for df in counts for name, kind in df.dtypes if name != "gram")
