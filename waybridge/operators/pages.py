@@ -76,10 +76,13 @@ def group_pages(pages: DataFrame) -> DataFrame:
     differs = (F.lag("doc_type").over(inside) != F.col("doc_type")) | (F.col("doc_type") == C.UNKNOWN)
     rows = rows.withColumn("starts", (differs & (F.row_number().over(inside) > 1)).cast("int"))
     rows = rows.withColumn("run", F.sum("starts").over(inside))
-    in_run = Window.partitionBy("file", "piece", "run").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
-    renamed = F.coalesce(F.last("identity", ignorenulls=True).over(in_run) != F.col("identity"), F.lit(False))
+    # runs follow one another, so the last name before a page is one of its run or there is none; a window per run would sort the piece anew
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("named_last", F.last(
+        F.when(F.col("identity").isNotNull(), F.struct("run", "identity")), ignorenulls=True).over(before))
+    renamed = F.coalesce((F.col("named_last.run") == F.col("run")) & (F.col("named_last.identity") != F.col("identity")), F.lit(False))
     rows = rows.withColumn("opens", F.greatest(F.col("starts"), renamed.cast("int")))
-    rows = rows.withColumn("opened", F.sum("opens").over(inside))
+    rows = rows.withColumn("opened", F.sum("opens").over(inside)).drop("named_last")
 
     named = F.col("identity").isNotNull()
     pieces = rows.groupBy("file", "piece").agg(
