@@ -178,6 +178,18 @@ def test_opinions_from_files(spark, tmp_path):
     assert got["goods"].basis[0] == "K2" and got["route"].basis[0] == "K1" and "K3" not in got["goods"].basis
 
 
+def test_passages_whose_key_has_any_name(spark):
+    """Keys may be called ``id`` or ``text``, and need not be numbers."""
+    from waybridge.operators import passages as PS
+
+    asked = spark.createDataFrame([("P1", "rail waybill"), ("P2", "goods and boxes")], "k string, words string")
+    known = spark.createDataFrame([("K01", "waybill of the rail"), ("K02", "boxes of goods"), (None, "rail waybill")], "k string, words string")
+    want = [("P1", "K01", 1), ("P2", "K02", 1)]
+    for q, p in (("id", "passage"), ("query", "id"), ("text", "id"), ("query", "text")):
+        got = PS.nearest_passages(asked.toDF(q, "words"), known.toDF(p, "words"), q, p, "words", 1)
+        assert sorted((r[q], r[p], r["rank"]) for r in got.collect()) == want
+
+
 def test_a_similarity_that_is_given(spark):
     import pandas as pd
 

@@ -10,6 +10,7 @@ from waybridge import constants as C
 from waybridge.functions.canonical import pair_signature, route_signature
 from waybridge.operators import checks as K
 from waybridge.operators.passages import basis_per_check
+from waybridge.session import written
 from waybridge.sources.refdata import with_preset_opinion
 
 
@@ -31,5 +32,6 @@ def gray_cases(flat: DataFrame, similarity: Callable[[Column, Column], Column] |
 def opinions(flat: DataFrame, presets: DataFrame, hints: DataFrame, passages: DataFrame,
              similarity: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Gray cases with the opinion stored for their signature, where there is one, and the basis of their check."""
-    cases = with_preset_opinion(gray_cases(flat, similarity), presets)
+    # the checks that are looked up are read from the cases too, so these are worked out once
+    cases = written(with_preset_opinion(gray_cases(flat, similarity), presets))
     return basis_per_check(cases, hints, passages)
