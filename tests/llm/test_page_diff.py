@@ -34,6 +34,17 @@ def test_articles_keep_what_their_neighbours_quote_too(spark):
     assert all(got[k][0] == f"Shared passage.\n\nOwn {k}." for k in range(5))
 
 
+def test_articles_lose_what_their_neighbours_have_in_their_frame_only(spark):
+    """Pages that name their article are compared too: a line of the site inside the element goes, a quoted one stays."""
+    own = lambda k: f"<p>Own words of page {k}, and some more of them.<p>Quoted by all."
+    page = lambda k: f"<article>{own(k)}</article><footer><p>Read our letter</footer>"
+    odd = f"<article>{own(9)}<p>Read our letter</article>"
+    got = texts(spark, [(k, f"http://h/{k}", page(k)) for k in range(4)] + [(9, "http://h/9", odd), (10, "http://alone/9", odd)])
+    want = lambda k: f"Own words of page {k}, and some more of them.\n\nQuoted by all."
+    assert all(got[k][0] == want(k) for k in (0, 1, 2, 3, 9))
+    assert got[10][0] == want(9) + "\n\nRead our letter"
+
+
 def test_pages_without_article_lose_what_the_nearest_page_has_too(spark):
     page = lambda k: f"<div>Site line</div><p>Own {k}</p><p>More {k}</p><div>All rights &amp; wrongs</div>"
     rows = [(k, f"http://h.example/a/{k}", page(k)) for k in range(6)] + [(10, "http://alone.example/a/3", page(10))]
