@@ -2,8 +2,9 @@ import pytest
 
 from tests.batches import GOLDEN, batch, load
 from waybridge.operators import checks as K
-from waybridge.operators.rules import default_rules
+from waybridge.operators.rules import default_rules, rule_rows, with_rule_issues
 from waybridge.plans import verify as V
+from waybridge.sources.batches import docs_from_wide
 
 
 @pytest.fixture(scope="module")
@@ -189,3 +190,30 @@ def test_fields_are_built_for_documents_of_repeated_types_only(spark):
     plan = repeated._jdf.queryExecution().optimizedPlan().toString()
     # a plan lists what is worked out later first
     assert 0 < plan.index("map_from_entries") < plan.index("LeftSemi")
+
+
+def test_batches_are_judged_once(golden):
+    """Reports read the statuses several times, and documents meet their batch's facts in one shuffle; both plans stay short."""
+    batches, docs, rules, _ = golden
+    repeated = K.duplicate_types(docs, batches)
+    flat, checked = V.checked(docs, batches, rules, repeated)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    points = V.scored_results(V.results(checked, flat), checked)
+    assert "aggregate(" not in plan(points) and plan(points).count("Join ") == 2
+    groups = V.document_groups(flat, checked, repeated)
+    assert plan(groups).count("Join ") == 2 and plan(V.batch_level_issues(checked)).count("Join ") == 0
+    assert groups.count() == docs.count()
+
+
+def test_issues_of_a_document_start_with_its_fails(spark):
+    """Fails first, then as defined; the entries of a document's fields are compiled, not interpreted inside a lambda."""
+    raw = [{"rule_id": r, "doc_type": "invoice", "field": f, "rule_type": "required", "severity": s} for r, f, s in (
+        ("a", "hs_code", "warning"), ("b", "incoterm", "fail"), ("c", "invoice_no", "fail"), ("d", "unit_price", None), ("e", "marks", "fail"))]
+    raw.append({"rule_id": "f", "doc_type": "invoice", "field": "total_amount", "rule_type": "range", "min": 5.0, "severity": "fail"})
+    wide = spark.createDataFrame([("b", 0, "invoice", "i", "INV 1", "4"), ("c", 0, "invoice", "i", "　", None), ("d", 0, "packing_list", "p", None, "x"), ("e", 0, "invoice", "i", " \x7f", "6")],
+                                 "batch_id string, doc_index int, doc_type string, doc_id string, invoice_no string, total_amount string")
+    rows = with_rule_issues(docs_from_wide(wide, ["invoice_no", "total_amount"]), rule_rows(spark, raw))
+    got = {r.batch_id: [i.rule_id for i in r.rule_issues] for r in rows.collect()}
+    assert got == {"b": ["b", "e", "f", "a", "d"], "c": ["b", "c", "e", "a", "d"], "d": [], "e": ["b", "e", "a", "d"]}
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(array(" not in plan and "filter(_entries" in plan
