@@ -217,3 +217,25 @@ def test_issues_of_a_document_start_with_its_fails(spark):
     assert got == {"b": ["b", "e", "f", "a", "d"], "c": ["b", "c", "e", "a", "d"], "d": [], "e": ["b", "e", "a", "d"]}
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "filter(array(" not in plan and "filter(_entries" in plan
+
+
+def test_arriving_records_leave_no_tables_behind(spark, tmp_path):
+    """What an epoch writes for itself is deleted when it is done, so the disk holds the input and the outcome."""
+    import json
+    import os
+
+    from tests.batches import PKG
+    from waybridge.session import shared_folder
+    from waybridge.streaming import jobs
+
+    tables = lambda: {n for n in os.listdir(shared_folder(spark).removeprefix("file:")) if n.startswith("table-")}
+    before = tables()
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join(json.dumps(r, ensure_ascii=False) for r in (batch("one"), batch("two", PKG))))
+    stream = jobs.batch_stream(spark, str(tmp_path / "in"))
+    jobs.verify_stream(stream, str(tmp_path / "out"), str(tmp_path / "a")).awaitTermination()
+    store = jobs.batch_store(spark, str(tmp_path / "store"))
+    jobs.verify_into(stream, store, "s", str(tmp_path / "b")).awaitTermination()
+    assert tables() == before
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    assert {(r.batch_id, r.score) for r in store.read()["batches"].collect()} == {("one", 0), ("two", 25)}
