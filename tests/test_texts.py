@@ -151,6 +151,20 @@ def described_form(spark):
     return FM.written(FM.described(spark.createDataFrame(lines, "file string, page int, line_no int, x0 double, top double, x1 double, text string")))
 
 
+def test_forms_are_joined_without_a_broadcast(spark):
+    """A written table's size on disk says little of it in memory, so no side of a form's joins goes to the driver."""
+    plan = FM.form_fields(described_form(spark).select("file", "page", "line_no", "x0", "top", "x1", "text"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_captions_are_found_by_their_first_letter(spark):
+    texts = ["", "x", "ПОЛУЧАТЕЛЬ", "a consignee b", "件数", "数 件", "G", "gross weight 5", "Gros", "описание товара", "1 Sender:", "место назначения", "Вес Нетто"]
+    rows = spark.createDataFrame([(t,) for t in texts + [w.swapcase() for w in FM.CAPTION_WORDS]], "t string")
+    for words in (FM.CAPTION_WORDS, C.GROSS_WORDS, C.NET_WORDS + C.WEIGHT_WORDS, C.BOX_HEADINGS, [r"\d+", "x"]):
+        assert all(r[0] == r[1] for r in rows.select(F.col("t").rlike(FM.holds(words)), F.col("t").rlike(FM.any_of(words))).collect())
+    assert "(?=[" in FM.holds(FM.CAPTION_WORDS) and "(?=[" not in FM.holds([r"\d+", "x"])
+
+
 def test_captions_are_described_once(spark):
     """What a caption holds is written before it is read several times; the plan of a field has none of the steps behind it."""
     facts = described_form(spark)

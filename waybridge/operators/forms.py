@@ -34,7 +34,15 @@ def any_of(words: list[str]) -> str:
     return "(?iu)(?:" + "|".join(re.escape(w) if re.search(r"[.()@]", w) else w for w in words) + ")"
 
 
-CAPTION = any_of([w for _, words in C.BOX_CAPTIONS.values() for w in words])
+def holds(words: list[str]) -> str:
+    """``any_of`` behind a test of the first letter, which most places of a text fail at once; for words that are no patterns."""
+    plain = all(w[:1].isalnum() and not set(w) & set("\\[]{}|*+?^$") for w in words)
+    first = f"(?=[{''.join(sorted({w[0] for w in words}))}])" if plain else ""
+    return any_of(words).replace("(?iu)", f"(?iu){first}", 1)
+
+
+CAPTION_WORDS = [w for _, words in C.BOX_CAPTIONS.values() for w in words]
+CAPTION = any_of(CAPTION_WORDS)
 
 
 def _trimmed(text: Column, edge: str) -> Column:
@@ -51,7 +59,7 @@ NOT_A_VALUE = {
     "nothing": lambda t: t == "",
     "a remark": lambda t: t.rlike(_OPENING),
     "a caption": lambda t: t.rlike("^" + CAPTION.replace("(?iu)", "(?iu)", 1) + "$"),
-    "a short text around a caption": lambda t: t.rlike(CAPTION) & (F.length(t) <= 45),
+    "a short text around a caption": lambda t: (F.length(t) <= 45) & t.rlike(holds(CAPTION_WORDS)),
     "a box number": lambda t: t.rlike(r"^\d{1,2}[.\s]*$"),
 }
 
@@ -61,6 +69,15 @@ def step(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
+def merged(rows: DataFrame) -> DataFrame:
+    """Rows per file or line, to be joined by a shuffle whatever Spark takes their size for.
+
+    It knows the size of a written table packed; forms repeat their captions, so a table of a few MB may be a hundred when it is
+    sent to the driver and broadcast.
+    """
+    return rows.hint("merge")
+
+
 def judged(df: DataFrame, text: Column, flag: str) -> DataFrame:
     """Add ``flag``: whether a text looks like a value."""
     out = step(df, _bare=_trimmed(text, _EDGE))
@@ -90,16 +107,16 @@ def described(lines: DataFrame) -> DataFrame:
     """Lines with their box number, the text behind it, and what kind of line they are."""
     out = step(lines, box=F.nullif(F.regexp_extract("text", r"^\s*(\d{1,2})[.\s]+", 1), F.lit("")))
     out = step(out, body=F.when(F.col("box").isNotNull(), F.trim(F.regexp_replace("text", r"^\s*\d{1,2}[.\s]+", ""))).otherwise(F.col("text")))
-    headings = any_of(C.BOX_HEADINGS).replace("(?iu)", "")
+    headings = holds(C.BOX_HEADINGS).replace("(?iu)", "")
     return judged(step(
-        out, stops=F.col("box").isNotNull() & F.col("body").rlike(CAPTION),
+        out, stops=F.col("box").isNotNull() & F.col("body").rlike(holds(CAPTION_WORDS)),
         heading=F.col("box").isNull() & (F.length("body") < 40) & F.col("body").rlike(headings) & ~F.col("body").rlike(r"\d"),
         code=F.trim("body").rlike(r"^\d{3,8}$")), F.trim("body"), "valued")
 
 
 def _tails(lines: DataFrame, fields: dict[str, list[str]]) -> DataFrame:
     """One row per line and field whose caption it holds, with what stands behind the caption."""
-    found = F.filter(F.array(*[F.when(F.col("text").rlike(any_of(words)), F.lit(f)) for f, words in fields.items()]), lambda f: f.isNotNull())
+    found = F.filter(F.array(*[F.when(F.col("text").rlike(holds(words)), F.lit(f)) for f, words in fields.items()]), lambda f: f.isNotNull())
     hits = lines.select("*", F.explode(found).alias("field"))
     tail = F.lit(None).cast("string")
     for f, words in fields.items():
@@ -110,14 +127,14 @@ def _tails(lines: DataFrame, fields: dict[str, list[str]]) -> DataFrame:
 def captions(facts: DataFrame, fields: dict[str, list[str]]) -> DataFrame:
     """One row per caption line and field: tail, place, box number (own or lent) and rank inside (file, field)."""
     # few lines are captions, and they are read several times
-    hits = written(_tails(facts.where(F.col("text").rlike(any_of([w for words in fields.values() for w in words]))).select(
+    hits = written(_tails(facts.where(F.col("text").rlike(holds([w for words in fields.values() for w in words]))).select(
         "file", "page", "line_no", "x0", "top", "x1", "box", "text", "body"), fields))
     lone = facts.where(F.trim("text").rlike(r"^\d{1,2}$")).select(
         "file", "page", F.col("x0").alias("lx"), F.col("top").alias("lt"), F.col("line_no").alias("lent_by"), F.trim("text").alias("lent"))
-    near = hits.where("box is null").select("file", "page", "line_no", "x0", "top").distinct().join(lone, ["file", "page"]).where(
+    near = hits.where("box is null").select("file", "page", "line_no", "x0", "top").distinct().join(merged(lone), ["file", "page"]).where(
         (F.abs(F.col("lt") - F.col("top")) < LEND_TOP) & (F.abs(F.col("lx") - F.col("x0")) < LEND_LEFT)).groupBy(
         "file", "page", "line_no").agg(F.min_by("lent", "lent_by").alias("lent"))
-    return hits.join(near, ["file", "page", "line_no"], "left").withColumn(
+    return hits.join(merged(near), ["file", "page", "line_no"], "left").withColumn(
         "rank", F.struct(F.coalesce("box", "lent").isNull().alias("bare"), "page", "top", "line_no"))
 
 
@@ -127,13 +144,13 @@ def with_column(hits: DataFrame, facts: DataFrame) -> DataFrame:
                          F.struct("line_no", "text", "body", "stops", "heading", "valued", "code").alias("line"))
     gap = F.col("bt") - F.col("top")
     reach = F.when(F.col("field") == "carrier_segments", WIDE).otherwise(RIGHT)
-    held = hits.select("file", "page", "line_no", "field", "x0", "top", "x1").join(below, ["file", "page"]).where(
+    held = hits.select("file", "page", "line_no", "field", "x0", "top", "x1").join(merged(below), ["file", "page"]).where(
         (gap > 0) & (gap < DEPTH) & (F.col("at") != F.col("line_no")) & F.col("bx").between(F.col("x0") - LEFT, F.col("x1") + reach))
     held = held.groupBy("file", "page", "line_no", "field").agg(F.sort_array(F.collect_list("line")).alias("column"))
     stop = F.coalesce(F.nullif(F.array_position(F.transform("column", lambda x: x["stops"]), True), F.lit(0)), F.size("column") + 1)
     held = held.withColumn("column", F.slice("column", F.lit(1), (stop - 1).cast("int")))
     empty = F.array().cast(held.schema["column"].dataType)
-    return hits.join(held, ["file", "page", "line_no", "field"], "left").withColumn("column", F.coalesce("column", empty))
+    return hits.join(merged(held), ["file", "page", "line_no", "field"], "left").withColumn("column", F.coalesce("column", empty))
 
 
 def _first(rows: DataFrame, *columns: str) -> DataFrame:
@@ -232,10 +249,10 @@ def containers(facts: DataFrame) -> DataFrame:
     own = F.nullif(F.regexp_extract(F.regexp_replace(upper, C.CONTAINER_IN_TEXT, ""), size, 1), F.lit(""))
     beside = facts.select("file", "page", F.col("line_no").alias("at"), F.col("x0").alias("bx"), F.col("top").alias("bt"),
                           F.nullif(F.regexp_extract(upper, size, 1), F.lit("")).alias("beside")).where("beside is not null")
-    right = best.join(beside, ["file", "page"]).where(
+    right = best.join(merged(beside), ["file", "page"]).where(
         (F.col("at") != F.col("line_no")) & (F.abs(F.col("bt") - F.col("top")) < 6) & (F.col("bx") >= F.col("x1"))).groupBy(
         "file").agg(F.min_by("beside", "at").alias("beside"))
-    return best.join(right, "file", "left").select(
+    return best.join(merged(right), "file", "left").select(
         "file", F.col("text").alias("raw"), "value", F.coalesce(own, "beside").alias("size_type"))
 
 
@@ -278,10 +295,10 @@ def weights(facts: DataFrame) -> DataFrame:
     kilo = r"(?iuU)\b(?:" + "|".join(C.KG_WORDS) + r")\b"
     signs = facts.where(F.col("text").rlike(kilo)).groupBy("file", "page").agg(F.collect_set("top").alias("tops"))
     near = F.col("text").rlike(kilo) | F.exists("tops", lambda y: F.abs(F.col("top") - y) <= 14)
-    others = facts.where(~F.col("stops")).join(signs, ["file", "page"]).where(near).select(
+    others = facts.where(~F.col("stops")).join(merged(signs), ["file", "page"]).where(near).select(
         "file", F.explode(numbers_in(F.col("text"))).alias("number")).withColumn("value", number(F.col("number"))).where(
         (F.col("value") >= low) & (F.col("value") < high)).groupBy("file").agg(F.collect_set("value").alias("others"))
-    rows = facts.select("file").distinct().join(box, "file", "left").join(others, "file", "left")
+    rows = facts.select("file").distinct().join(merged(box), "file", "left").join(merged(others), "file", "left")
     gross = F.coalesce("gross", "bare")
     none = F.array().cast("array<double>")
     unsure = (F.coalesce("n_bare", F.lit(0)) > 1) | (F.size(F.array_except(F.coalesce("others", none), F.coalesce("known", none))) > 0)
@@ -304,7 +321,7 @@ def cargo_value(facts: DataFrame) -> DataFrame:
         "value", number(F.try_element_at(F.get(amounts, F.lit(0)), F.lit(-1)))).withColumn("currency", F.get(signs, F.lit(0))).where(
         "value is not null and currency is not null"), "value", "currency").drop("field")
     alone = _first(hits.where("field = 'currency'").withColumn("alone", sign(F.col("tail"))).where("alone is not null"), "alone").drop("field")
-    return both.join(alone, "file", "full").select("file", "value", F.coalesce("currency", "alone").alias("currency"))
+    return both.join(merged(alone), "file", "full").select("file", "value", F.coalesce("currency", "alone").alias("currency"))
 
 
 def form_fields(lines: DataFrame) -> DataFrame:
@@ -347,7 +364,7 @@ def line_values(lines: DataFrame, fields: dict[str, list[str]] = C.LINE_CAPTIONS
     """
     after = lines.select("file", (F.col("line_no") - 1).alias("line_no"), F.col("text").alias("next"))
     hits = _tails(lines.where(F.col("text").rlike(any_of([w for words in fields.values() for w in words]))).select(
-        "file", "line_no", "text"), fields).join(after, ["file", "line_no"], "left")
+        "file", "line_no", "text"), fields).join(merged(after), ["file", "line_no"], "left")
     body = F.trim(F.regexp_replace("next", r"^\s*\d{1,2}[.\s]+", ""))
     hits = judged(hits, F.col("next"), "next_valued")
     following = F.when(F.col("next_valued") & ~(body.rlike(CAPTION) & (F.length(body) < 48)), T.strip(F.col("next")))
